@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +34,42 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in spark.checkpoint.dir; only a session that names none, as in tests, gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder that the session names.
+    """Cuts the lineage with a checkpoint in the shared folder."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
 
-    Only a session that names none, as in tests, gets a folder of its own.
-    """
+
+def written(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage with a table of columns in the shared folder, which takes less disk than a checkpoint of rows."""
     spark = frame.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return frame.checkpoint()
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def word_lists(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text with A-Z lower-cased, in lists of about `size` bytes, so that a huge text is never split at once."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.end() if gap else len(data)
+        if words := data[at:end].lower().split():
+            yield words
+        at = end
+
+
+def held_out(key: Column, modulus: int, remainder: int) -> Column:
+    """Whether the crc32 of the key as text leaves the remainder; a null key counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

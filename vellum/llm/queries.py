@@ -16,6 +16,7 @@ from vellum.llm.decontaminate import contaminated
 from vellum.llm.html_text import extract_text
 from vellum.llm.mixing import mix_sources
 from vellum.llm.secrets import BASE_RULES, scan_secrets, spans_text
+from vellum.llm.simhash import near_duplicates
 from vellum.llm.tokens import count_tokens
 from vellum.llm.topk import exact_topk, quantised
 
@@ -48,6 +49,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What op7 reports, read back from the formatted text and its loss mask."""
     for batch in batches:
@@ -72,7 +77,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op7_chat, op10_topk)}
+    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op10_topk)}
 
 
 SQL = {
