@@ -62,31 +62,32 @@ def mix_sources(
     share: float = 1.5,
     cap: float = 2.0,
     seed: str = "mix-1",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row for each row of docs: its id, size, source_size, target and copies.
+    """One row for each row of docs: its id, size, source_size, target, copies and the kept columns.
 
     The size is the number of words (null or empty text: 0). A null source is a source of
     its own. A source of size 0 has target 0 and its documents no copies. Rows that repeat
     an id share its decision. An empty table gives an empty result. Other columns, whatever
     their names, are not read.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), *keep)
+    sizes = own.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, share, cap)
     # A salt spreads the rows of a hot source; a run-time broadcast of the few targets needs none of it.
-    salted = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = own.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     spread = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "of")
-    on = salted["source"].eqNullSafe(spread["of"]) & (salted["salt"] == spread["salt"])
+    on = salted["__source"].eqNullSafe(spread["of"]) & (salted["__salt"] == spread["salt"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)
-    return salted.join(spread, on).select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"))
+    return salted.join(spread, on).select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), *keep)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with copy_no from 1 (also among equal rows).
+    """The rows of docs, each as often as the mix takes it, with copy_no from 1.
 
-    Rows with one id count as one document here: they stay together, all or none of them.
+    Columns of docs that are named as the mix's own (size, source_size, target, copies, copy_no) are left out.
     """
-    plan = mix_sources(docs, id_col=id_col, **params).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    on = docs[id_col].eqNullSafe(plan["__id"])
-    rest = [docs[c] for c in docs.columns if c != "copy_no"]
-    return docs.join(plan, on).select(*rest, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy_no"))
+    others = [c for c in docs.columns if c not in (id_col, "size", "source_size", "target", "copies", "copy_no")]
+    mixed = mix_sources(docs, id_col=id_col, keep=others, **params).filter("copies > 0")
+    return mixed.select(F.col("doc_id").alias(id_col), *others, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))

@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm.chat import format_chats, read_back, unescape
-from vellum.llm.common import table
+from vellum.llm.common import held_out, table
 from vellum.llm.decontaminate import contaminated
 from vellum.llm.html_text import extract_text
+from vellum.llm.language import identify_languages
+from vellum.llm.lm import score_documents
 from vellum.llm.mixing import mix_sources
 from vellum.llm.secrets import BASE_RULES, scan_secrets, spans_text
 from vellum.llm.simhash import near_duplicates
@@ -71,13 +73,24 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(turns).mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, learn_from=~held_out(F.col("doc_id"), 5, 0))
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(table(spark, sf_dir, "documents"), learn_from=~held_out(F.col("doc_id"), 7, 2))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", quantised(F.col("embedding")).alias("weights"))
     return exact_topk(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op10_topk)}
+    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk)}
 
 
 SQL = {

@@ -106,23 +106,23 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), spans).otherwise(F.array().cast(span_type))
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """One row for each row of docs: doc_id, text (null: empty) and spans, by start, then rule order.
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, text (null: empty), spans, by start, then rule order, and the kept columns.
 
     A document without any match has an empty array. Rows that repeat an id share their
     candidates, yet each is verified on its own text. A null id is a document like any other.
     An empty table gives an empty result; other columns are not read.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep)
     indexed = [r for r in rules if trigram_query(r)]
-    found = candidates(own, indexed).withColumnRenamed("doc_id", "of")
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["of"]), "left")
+    found = candidates(own.select("doc_id", "text"), indexed).select(F.col("doc_id").alias("__of"), F.col("kinds").alias("__kinds"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found["__of"]), "left")
     none = F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>")
     each = [
-        rule_spans(F.col("text"), r, i) if r not in indexed else F.when(F.array_contains("kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none)
+        rule_spans(F.col("text"), r, i) if r not in indexed else F.when(F.array_contains("__kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none)
         for i, r in enumerate(rules)
     ]
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"))
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"), *keep)
 
 
 def spans_text(spans: Column) -> Column:
