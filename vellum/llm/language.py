@@ -97,7 +97,8 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     # The least hashes of a frequent language lie below a bound that its count tells, so few of its rows are ranked.
     bounds = ids.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE * (1 << 40)) / F.count("*")).alias("bound"))
     order = Window.partitionBy("lang").orderBy("at", "doc_id")
-    few = ids.join(bounds, "lang").filter("at <= bound")
+    # One row for each language, of which the model has a column of weights each.
+    few = ids.join(F.broadcast(bounds), "lang").filter("at <= bound")
     picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
     # A few rows for each language: the bound that makes this broadcast safe.
     joined = docs.join(F.broadcast(picked.select("doc_id", "lang", "place").dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"])
