@@ -1,19 +1,406 @@
-"""The registered queries of the document engine, each with its SQL twin."""
+"""The registered queries of the document engine; plans.oracle has their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import patterns as P
+from vellum.functions.text import bullet_strength, count_words, has_metric
+from vellum.operators import geometry, rewrite, store
+from vellum.operators.findings import work_bullets
+from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, overused
+from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
+from vellum.plans import oracle
+from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores
+from vellum.plans.terms import ROLES, default_targets, default_terms
+from vellum.sources.text import link_targets, scan_lines
+from vellum.streaming import events as stream
+
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_lines(table(spark, sf_dir, "documents"))
+
+
+def _plain_terms(spark: SparkSession) -> DataFrame:
+    return default_terms(spark).filter(~F.col("term").isin(*oracle.SPECIAL) & (F.col("term") != "node.js"))
+
+
+def _plain_targets(spark: SparkSession) -> DataFrame:
+    return default_targets(spark).filter(~F.col("term").isin(*oracle.SPECIAL))
+
+
+def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^• ", ""))
+
+
+def _rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
+    own = corpus_findings(spark, sf_dir).filter(F.col("rule_id") == rule)
+    return own.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 1).alias("cost"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return q_overall(spark, sf_dir)
+
+
+@query
+def q_line_scan(spark, sf_dir):
+    n = F.count("*")
+    return _doc_lines(spark, sf_dir).groupBy("doc_id").agg(
+        n.alias("n_lines"), F.sum(count_words(F.col("text"))).alias("n_words"), F.sum(F.length("text")).alias("n_chars"), F.greatest(F.lit(1), F.ceil(n / 55)).alias("pages")
+    )
+
+
+@query
+def q_contact_lines(spark, sf_dir):
+    email, phone = F.col("text").rlike(P.EMAIL), F.col("text").rlike(P.PHONE)
+    at = lambda c: F.when(c, F.col("line_no"))
+    first = F.min_by(F.regexp_extract("text", P.EMAIL, 0), at(email))
+    return _doc_lines(spark, sf_dir).filter(email | phone).groupBy("doc_id").agg(F.min(at(email)).alias("email_line"), F.min(at(phone)).alias("phone_line"), first.alias("email"))
+
+
+@query
+def q_metric_lines(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).filter(has_metric(F.col("text"))).groupBy("doc_id").agg(F.count("*").alias("n_metric"))
+
+
+@query
+def q_first_person(spark, sf_dir):
+    return _doc_lines(spark, sf_dir).filter(F.col("text").rlike(P.FIRST_PERSON)).groupBy("doc_id").agg(F.min("line_no").alias("line_no"))
+
+
+@query
+def q_acronyms(spark, sf_dir):
+    return named_candidates(table(spark, sf_dir, "documents"))
+
+
+@query
+def q_page_tags(spark, sf_dir):
+    inner = lambda tag: F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", F.coalesce(F.get(inner("h1"), F.lit(0)), F.lit("")).alias("raw_h1"), F.size(link_targets(F.col("html"))).alias("n_links"), F.size(inner("p")).alias("n_paragraphs"))
+
+
+@query
+def q_bullet_strength(spark, sf_dir):
+    return work_bullets(corpus_model(spark, sf_dir).lines).select("doc_id", "line_no", bullet_strength(F.col("text")).alias("s")).select("doc_id", "line_no", "s.*")
+
+
+@query
+def q_impact(spark, sf_dir):
+    marks = q_bullet_strength(spark, sf_dir)
+    return marks.groupBy("doc_id").agg(F.count("*").alias("n_bullets"), F.round(F.sum("score") / (3.0 * F.count("*")), 6).alias("mean"), F.sum("metric").alias("with_number"), F.sum("verb").alias("with_verb"))
+
+
+@query
+def q_weak_openers(spark, sf_dir):
+    return _rule(spark, sf_dir, "weak-opener")
+
+
+@query
+def q_filler(spark, sf_dir):
+    return _rule(spark, sf_dir, "filler")
+
+
+@query
+def q_generic_phrases(spark, sf_dir):
+    return _rule(spark, sf_dir, "generic-phrase")
+
+
+@query
+def q_repeated_openers(spark, sf_dir):
+    words = work_bullets(corpus_model(spark, sf_dir).lines).filter("opener <> ''")
+    own = F.array_sort(F.collect_list(F.struct("pos", "line_no", "weak")))
+    grouped = words.groupBy("doc_id", F.col("opener").alias("word")).agg(F.count("*").alias("n"), own.alias("own"))
+    return grouped.filter("n >= 3 and not own[0].weak").select("doc_id", "word", "n", F.col("own")[2]["line_no"].alias("third"))
+
+
+@query
+def q_shapes(spark, sf_dir):
+    return work_bullets(corpus_model(spark, sf_dir).lines).groupBy("doc_id", "shape").agg(F.count("*").alias("n"))
+
+
+@query
+def q_keyword_hits(spark, sf_dir):
+    return keyword_hits(_text_lines(spark, sf_dir), _plain_terms(spark)).groupBy("doc_id", "term").agg(F.sum("hits").alias("hits"), F.count("*").alias("n_lines"))
+
+
+@query
+def q_match_percent(spark, sf_dir):
+    return match_percent(match_targets(_text_lines(spark, sf_dir), _plain_terms(spark), _plain_targets(spark)))
+
+
+@query
+def q_overused(spark, sf_dir):
+    lines = _text_lines(spark, sf_dir)
+    words = lines.groupBy("doc_id").agg(F.sum(count_words(F.col("text"))).alias("words"))
+    return overused(match_targets(lines, _plain_terms(spark), _plain_targets(spark)), words)
+
+
+@query
+def q_implications(spark, sf_dir):
+    return implications(default_terms(spark))
+
+
+@query
+def q_supported(spark, sf_dir):
+    matches = match_targets(_text_lines(spark, sf_dir), _plain_terms(spark), _plain_targets(spark))
+    return matches.filter("hits = 0").select("doc_id", "term", "weight", "supported_by")
+
+
+@query
+def q_roles(spark, sf_dir):
+    m = corpus_model(spark, sf_dir)
+    titles = m.entries.filter("section = 'experience' and title is not null").select("doc_id", F.col("title").alias("text"))
+    return infer_roles(titles, m.lines.filter("section in ('skills', 'summary')"), default_terms(spark), ROLES)
+
+
+@query
+def q_kinds(spark, sf_dir):
+    return corpus_model(spark, sf_dir).lines.groupBy("kind", "section").agg(F.count("*").alias("n"))
+
+
+@query
+def q_sections(spark, sf_dir):
+    return corpus_model(spark, sf_dir).lines.filter("not opens").groupBy("doc_id", "section").agg(F.count("*").alias("n"))
+
+
+@query
+def q_entries(spark, sf_dir):
+    return corpus_model(spark, sf_dir).entries.filter("section = 'experience'").select("doc_id", "header_line", "dates", "n_bullets")
+
+
+@query
+def q_years(spark, sf_dir):
+    return corpus_model(spark, sf_dir).years
+
+
+@query
+def q_date_forms(spark, sf_dir):
+    dates = F.col("dates")
+    form = F.when(dates.rlike(r"\d{1,2}/\d{2,4}"), "numeric").when(dates.rlike(r"(?i)[a-z]{3,}\.?\s*'?\d{2,4}"), "month-year").otherwise("year")
+    roles = corpus_model(spark, sf_dir).entries.filter("section = 'experience' and dates is not null")
+    return roles.groupBy("doc_id").agg(F.countDistinct(form).alias("forms")).filter("forms > 1")
+
+
+@query
+def q_missing_sections(spark, sf_dir):
+    own = corpus_findings(spark, sf_dir).filter(F.col("rule_id").isin("missing-education", "missing-skills"))
+    return own.groupBy("doc_id").agg(F.sum("cost").cast("int").alias("cost"))
+
+
+@query
+def q_contact_missing(spark, sf_dir):
+    tone = F.coalesce(F.substring_index("email", "@", 1).rlike(P.EMAIL_TONE), F.lit(False))
+    return corpus_model(spark, sf_dir).contact.select("doc_id", F.isnull("email").alias("no_email"), F.isnull("phone").alias("no_phone"), F.isnull("linkedin").alias("no_linkedin"), tone.alias("odd_tone"))
+
+
+@query
+def q_findings(spark, sf_dir):
+    return corpus_findings(spark, sf_dir).groupBy("category", "rule_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 1).alias("cost"))
+
+
+@query
+def q_category_scores(spark, sf_dir):
+    return corpus_scores(spark, sf_dir)
+
+
+@query
+def q_overall(spark, sf_dir):
+    return overall_scores(corpus_scores(spark, sf_dir))
+
+
+@query
+def q_engines(spark, sf_dir):
+    return engine_scores(corpus_scores(spark, sf_dir))
+
+
+@query
+def q_plan(spark, sf_dir):
+    return plan_items(corpus_findings(spark, sf_dir), corpus_scores(spark, sf_dir))
+
+
+@query
+def q_projected(spark, sf_dir):
+    return projected_scores(q_overall(spark, sf_dir), q_plan(spark, sf_dir))
+
+
+@query
+def q_weak_spots(spark, sf_dir):
+    return weak_spots(corpus_scores(spark, sf_dir))
+
+
+@query
+def q_line_marks(spark, sf_dir):
+    return store.line_marks(corpus_findings(spark, sf_dir))
+
+
+def _micros(ts):
+    """Microseconds since the epoch of a time without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("identity"), "ts", "event_id")
+
+
+@query
+def q_rate_sliding(spark, sf_dir):
+    return stream.sliding_limit(_requests(spark, sf_dir), 2).select("event_id", "used")
+
+
+@query
+def q_rate_tumbling(spark, sf_dir):
+    return stream.tumbling_limit(_requests(spark, sf_dir), 2).select("kind", "identity", _micros(F.col("start")).alias("start_us"), "used", "over")
+
+
+@query
+def q_event_dedup(spark, sf_dir):
+    return stream.first_arrivals(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"), "user_id", "event_type", by="event_id")
+
+
+@query
+def q_latest_by_key(spark, sf_dir):
+    return stream.latest_by_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), "user_id", "event_type", by="event_id")
+
+
+@query
+def q_stage_durations(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("analysis_id"), F.col("turn").alias("seq"), F.col("turn").alias("at"), "role")
+    return stream.stage_durations(turns).select(F.col("analysis_id").alias("conv_id"), F.col("seq").alias("turn"), "role", "ended_at")
+
+
+@query
+def q_quiet_sessions(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "value")
+    return stream.quiet_sessions(events, "30 minutes").select("key", _micros(F.col("started")).alias("started_us"), "n")
+
+
+@query
+def q_json_props(spark, sf_dir):
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
+
+
+@query
+def q_event_fold(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "click", "finding").when(F.col("event_type") == "purchase", "done").otherwise("stage")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("analysis_id"), F.col("event_id").alias("seq"), kind.alias("type"), (F.col("event_id") % 7).alias("key"), F.col("props").alias("payload"))
+    return stream.fold_batch(events).select("analysis_id", "n_events", F.col("n_findings").alias("n_clicks"), "done")
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = oracle.CTE["item"].replace("//", "div").replace('"row"', "`row`").replace("FROM part", "FROM {part}")
+    return spark.sql(sql, part=table(spark, sf_dir, "part"))
+
+
+@query
+def q_column_histogram(spark, sf_dir):
+    return geometry.column_histogram(_items(spark, sf_dir))
+
+
+@query
+def q_longest_gap(spark, sf_dir):
+    return geometry.longest_gap(_items(spark, sf_dir))
+
+
+@query
+def q_two_columns(spark, sf_dir):
+    return geometry.two_columns(_items(spark, sf_dir))
+
+
+@query
+def q_displaced(spark, sf_dir):
+    return geometry.displaced(_items(spark, sf_dir))
+
+
+@query
+def q_table_rows(spark, sf_dir):
+    return geometry.flattened_tables(_items(spark, sf_dir))
+
+
+@query
+def q_running_headers(spark, sf_dir):
+    return geometry.running_headers(_items(spark, sf_dir))
+
+
+@query
+def q_upper_median(spark, sf_dir):
+    return geometry.upper_median(_items(spark, sf_dir), "w")
+
+
+@query
+def q_placeholders(spark, sf_dir):
+    work = work_bullets(corpus_model(spark, sf_dir).lines)
+    text = F.concat("text", F.when(F.col("line_no") % 2 == 0, " [[number]]").otherwise(""), F.lit(" [[result: what improved]] [[number]]"))
+    return rewrite.placeholders(work.withColumn("text", text)).groupBy("doc_id", "line_no").agg(F.count("*").cast("int").alias("n"))
+
+
+@query
+def q_rewritten(spark, sf_dir):
+    work = work_bullets(corpus_model(spark, sf_dir).lines).filter("strength < 3")
+    return work.select("doc_id", "line_no", rewrite.rewritten_bullet(F.col("text")).alias("text"))
+
+
+@query
+def q_unsupported_numbers(spark, sf_dir):
+    return rewrite.unsupported_numbers(q_rewritten(spark, sf_dir), corpus_lines(spark, sf_dir))
+
+
+@query
+def q_hunk_runs(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    kind, section = F.when(F.col("l_partkey") % 3 == 0, "edit").otherwise("same"), F.when(F.col("l_linenumber") < 4, "a").otherwise("b")
+    hunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("hunk_ord"), kind.alias("kind"), section.alias("section"))
+    return rewrite.merged_runs(hunks)
+
+
+@query
+def q_unreferenced(spark, sf_dir):
+    lines = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("line_no"))
+    owner = lines.withColumnRenamed("line_no", "l_orderkey")
+    hunks = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").join(owner, "l_orderkey").select("doc_id", F.array("l_orderkey").alias("original_lines"))
+    return rewrite.unreferenced(lines, hunks).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query
+def q_export(spark, sf_dir):
+    return rewrite.export_text(corpus_model(spark, sf_dir).lines)
+
+
+@query
+def q_history(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    ids = orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("doc_id"))
+    docs = orders.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("doc_id"))
+    analyses = orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 100).cast("int").alias("score"))
+    return store.history(ids, docs, analyses).select("session_id", "doc_id", "score")
+
+
+@query
+def q_compare_runs(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    run = lambda n: part.filter(F.col("p_partkey") % n == 0).groupBy((F.col("p_partkey") % 100).alias("doc_id"), F.col("p_brand").alias("category")).agg(F.max("p_size").cast("int").alias("score"))
+    return store.compare_runs(run(2), run(3))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_FOUND)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
