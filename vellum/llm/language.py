@@ -9,8 +9,9 @@ regression on these features scores every language by batched matrix products.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -46,22 +47,14 @@ class Model:
     vocabulary: list[np.ndarray]
     landmarks: np.ndarray
     weights: np.ndarray
-
-    def __post_init__(self) -> None:
-        self._index: list[np.ndarray] | None = None
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """A 0/1 row for each text over the vocabulary, normalised to length one."""
-        if self._index is None:  # built where it is used, not shipped
-            self._index, at = [], 0
-            for order, codes in zip(ORDERS, self.vocabulary):
-                index = np.full(256**order, sum(map(len, self.vocabulary)), dtype=np.int32)
-                index[codes] = np.arange(at, at + len(codes))
-                self._index.append(index)
-                at += len(codes)
+        index_of_order = _indexes(self)
         rows = np.zeros((len(texts), sum(map(len, self.vocabulary)) + 1), dtype=np.float32)
         for row, text in zip(rows, texts):
-            for index, codes in zip(self._index, grams(text)):
+            for index, codes in zip(index_of_order, grams(text)):
                 row[index[codes]] = 1
         rows = rows[:, :-1]
         return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
@@ -70,6 +63,23 @@ class Model:
         return (self.presence(texts) @ self.landmarks.T) @ self.weights
 
 
+#: The place of each n-gram in the vocabulary, of the last model used in this process alone: it is large, and built where it is used.
+_LAST: dict[str, list[np.ndarray]] = {}
+
+
+def _indexes(model: Model) -> list[np.ndarray]:
+    if model.key not in _LAST:
+        _LAST.clear()
+        total, at, built = sum(map(len, model.vocabulary)), 0, []
+        for order, codes in zip(ORDERS, model.vocabulary):
+            index = np.full(256**order, total, dtype=np.min_scalar_type(total))
+            index[codes] = np.arange(at, at + len(codes))
+            built.append(index)
+            at += len(codes)
+        _LAST[model.key] = built
+    return _LAST[model.key]
+
+
 def fit(texts: list[str], labels: list[str]) -> Model:
     """texts and labels: the sample, in the order that decides which texts are landmarks."""
     languages = sorted(set(labels))
@@ -87,7 +97,6 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     weight = np.where(target > 0, 0.5 / (target > 0).sum(axis=0), 0.5 / np.maximum((target < 0).sum(axis=0), 1)) * len(texts)
     solved = [np.linalg.solve((features * w[:, None]).T @ features + RIDGE * len(texts) / features.shape[1] * np.eye(features.shape[1]), (features * w[:, None]).T @ t) for w, t in zip(weight.T, target.T)]
     model.weights = (whiten @ np.stack(solved, axis=1)).astype(np.float32)
-    model._index = None
     return model
 
 
