@@ -209,7 +209,7 @@ def main_blocks(page: str) -> list[str]:
         if label == "short":
             near = [j for j in (before[i], after[i]) if j is not None]
             if near:
-                label = found[min(near, key=lambda j: (abs(j - i), j < i))].label
+                label = found[min(near, key=lambda j: (abs(j - i), found[j].label == "good"))].label
                 if b.landmark[1] == "main" and (len(near) == 1 or "good" in (found[j].label for j in near)):
                     label = "good"  # inside an article a block is boilerplate only between such blocks
             elif b.landmark[1] == "main" or (not has_main and not decided):
