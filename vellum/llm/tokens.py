@@ -18,8 +18,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The pre-tokenizer's pattern of byte-level BPE vocabularies; a fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Letters and numbers (hex ranges) that are newer than Unicode 16.0, the version of the tokenizer library; fixed values.
+NEWER_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+NEWER_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+
+
+def _ranges(spec: str) -> str:
+    return "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in spec.split())
+
+
+_LETTER, _NUMBER = rf"[\p{{L}}--[{_ranges(NEWER_LETTERS)}]]", rf"[\p{{N}}--[{_ranges(NEWER_NUMBERS)}]]"
+#: The pre-tokenizer's pattern of byte-level BPE vocabularies; a fixed value. Texts without a newer character take the plain form.
+_FORM = r"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?[^\sLETTERNUMBER]+|\s+(?!\S)|\s+"
+PATTERN = _FORM.replace("LETTER", r"\p{L}").replace("NUMBER", r"\p{N}")
+_EXACT = regex.compile("(?V1)" + _FORM.replace("LETTER", _LETTER).replace("NUMBER", _NUMBER))
+_NEWER = regex.compile(f"[{_ranges(NEWER_LETTERS)}{_ranges(NEWER_NUMBERS)}]")
 #: Pre-tokens whose counts a task remembers; the memory is emptied when full.
 REMEMBERED = 400_000
 #: Characters of text that are split at a time.
@@ -98,11 +111,11 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 def count_texts(texts: list[str], table: MergeTable, known: dict[str, int]) -> list[int]:
     """Tokens of each text. Special strings count as one token each. known: counts of pre-tokens, kept between calls."""
     special = regex.compile("|".join(map(regex.escape, table.specials)) or r"(?!)")
-    split = regex.compile(PATTERN).findall
+    plain = regex.compile(PATTERN).findall
     out: list[int] = []
     for part in _slices(texts):
         cut = [special.split(t) if any(s in t for s in table.specials) else [t] for t in part]
-        found = [[w for piece in pieces for w in split(piece)] for pieces in cut]
+        found = [[w for piece in pieces for w in (_EXACT.findall if _NEWER.search(piece) else plain)(piece)] for pieces in cut]
         if len(known) > REMEMBERED:
             known.clear()
         fresh = list({w for ws in found for w in ws if w not in known})
