@@ -109,7 +109,7 @@ def sql(body: str, *ctes: str) -> str:
 def capped(found: str, cost: float, cap: float, *ctes: str) -> str:
     """Costs of one rule by document, kept in order until the cap."""
     body = f""", f AS ({found}), c AS (SELECT doc_id, line_no, coalesce(sum({cost}) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM f)
-SELECT doc_id, count(*) AS n, round(sum(least({cost}, {cap} - prior)), 1) AS cost FROM c WHERE prior < {cap} GROUP BY doc_id"""
+SELECT doc_id, count(*) AS n, round(sum(least({cost}, {cap} - prior))::DOUBLE, 1) AS cost FROM c WHERE prior < {cap} GROUP BY doc_id"""
     return sql(body, *ctes)
 
 
