@@ -216,7 +216,7 @@ def q_findings(spark, sf_dir):
 
 @query
 def q_category_scores(spark, sf_dir):
-    return corpus_scores(spark, sf_dir)
+    return corpus_scores(spark, sf_dir).select("doc_id", "category", "score")
 
 
 @query

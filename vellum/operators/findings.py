@@ -141,7 +141,7 @@ def document_findings(m: Model) -> DataFrame:
         first(opens & (section == "summary") & F.lower("raw").contains("objective")).alias("objective"), first(text.rlike(P.REFERENCES)).alias("references"),
         first(F.col("plain") & text.rlike(P.FIRST_PERSON)).alias("person"), first(summary & text.rlike(P.SEEKING)).alias("seeking"),
         F.sum(F.when(summary, F.col("words"))).alias("summary_words"), first(summary).alias("summary_line"),
-        F.count("pos").alias("n_work"), F.avg(strength).alias("strength"), F.count(F.when((F.col("kind") == "contact") & (section == "contact") & (F.col("source") == "body"), 1)).alias("n_contact"),
+        F.count("pos").alias("n_work"), F.try_divide(F.sum(strength), F.count("pos")).alias("strength"), F.count(F.when((F.col("kind") == "contact") & (section == "contact") & (F.col("source") == "body"), 1)).alias("n_contact"),
         first((F.col("kind") == "contact") & (section == "contact")).alias("contact_line"),
     )
     form = F.when(F.col("dates").rlike(r"\d{1,2}/\d{2,4}"), "numeric").when(F.col("dates").rlike(r"(?i)[a-z]{3,}\.?\s*'?\d{2,4}"), "month-year").when(F.col("dates").isNotNull(), "year")

@@ -48,7 +48,7 @@ def category_scores(m: Model, findings: DataFrame) -> DataFrame:
     docs = m.lines.select("doc_id").distinct()
     grid = docs.select("doc_id", F.explode(F.array(*map(F.lit, WEIGHTS))).alias("category"))
     costs = findings.groupBy("doc_id", "category").agg(F.sum("cost").alias("cost"), F.sum(F.when(F.col("rule_id") == "overused-keyword", F.col("cost")).otherwise(0)).alias("overuse"))
-    strength = work_bullets(m.lines).groupBy("doc_id").agg((F.avg("strength") / 3).alias("mean"), F.count("*").alias("n"))
+    strength = work_bullets(m.lines).groupBy("doc_id").agg((F.sum("strength") / (3.0 * F.count("*"))).alias("mean"), F.count("*").alias("n"))
     joined = grid.join(costs, ["doc_id", "category"], "left").join(strength, "doc_id", "left").join(match_percent(m.matches), "doc_id", "left")
     impact = F.when(F.col("mean").isNull(), 15).otherwise(F.least(_rounded(F.col("mean") * 100), F.when(F.col("n") < 3, 60).otherwise(100)))
     cost = F.coalesce("cost", F.lit(0.0))

@@ -78,6 +78,42 @@ CTE = {
   (SELECT term, '(?:' || string_agg('(^|[^a-z0-9])' || regexp_replace(regexp_replace(form, '([.*+?^${}()|\[\]\\/])', '\\\1', 'g'), ' ', '[\\s-]{2}', 'g') || '([^a-z0-9+#]|$)', '|') || ')' AS pat FROM term_form GROUP BY term) WHERE regexp_matches(d, pat)""",
     "implies": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {lit(i)})" for t, _, _, implied in DEFAULT for i in implied) + ") AS v(term, implied)",
     "target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS if t not in SPECIAL) + ") AS v(term, weight)",
+    # Written as a technology is: R and C not beside a-z, 0-9 (nor + or # after); every position is looked at.
+    "all_target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS) + ") AS v(term, weight)",
+    "all_hit": r"""SELECT doc_id, term, sum(hits) AS hits FROM (SELECT doc_id, term, hits FROM hit UNION ALL SELECT doc_id, 'r', len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = 'R' AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(text, i + 1, 1), '[a-z0-9+#]'))) FROM corpus WHERE text LIKE '%R%')
+  GROUP BY doc_id, term HAVING sum(hits) > 0""",
+    "doc_words": f"SELECT doc_id, count(*) AS n_lines, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id",
+    "keyword_score": """SELECT d.doc_id, greatest(0, floor(round(100.0 * sum(CASE WHEN h.term IS NULL THEN 0 ELSE t.weight END) / sum(t.weight))
+    - least(9, 3 * count(CASE WHEN h.hits > greatest(4, round(greatest(50, d.words) / 120.0)) THEN 1 END)) + 0.5)) AS score
+  FROM doc_words d CROSS JOIN all_target t LEFT JOIN all_hit h ON h.doc_id = d.doc_id AND h.term = t.term GROUP BY d.doc_id""",
+    "impact_score": "SELECT doc_id, least(CASE WHEN count(*) < 3 THEN 60 ELSE 100 END, floor(sum(verb + metric + outcome) / (3.0 * count(*)) * 100 + 0.5)) AS score FROM strength GROUP BY doc_id",
+    "headed": f"""SELECT doc_id, entry, bool_or(dated) AS dated, max(CASE WHEN dated THEN {extract('raw', P.DATE_RANGE)} ELSE '' END) AS dates, count(CASE WHEN NOT is_header THEN 1 END) AS n_bullets FROM exp_entry WHERE entry > 0 GROUP BY doc_id, entry""",
+    "structure_score": f"""SELECT b.doc_id, greatest(0, 100 - (CASE WHEN b.edu_at = 1000000 THEN 15 ELSE 0 END + CASE WHEN b.skills_at IS NULL THEN 15 ELSE 0 END + CASE WHEN b.doc_id % 6 = 0 THEN 8 ELSE 0 END
+    + CASE WHEN coalesce(h.forms, 0) > 1 THEN 5 ELSE 0 END + least(10, 5 * coalesce(h.n_empty, 0)) + CASE WHEN o.doc_id IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN r.doc_id IS NOT NULL THEN 3 ELSE 0 END
+    + CASE WHEN w.n_lines > 110 THEN 8 WHEN w.words > 950 AND coalesce(y.years, 0) < 8 THEN 4 ELSE 0 END + CASE WHEN w.words < 120 THEN 12 WHEN w.words < 200 THEN 6 ELSE 0 END + CASE WHEN e.doc_id IS NULL THEN 30 ELSE 0 END)) AS score
+  FROM bounds b JOIN doc_words w USING (doc_id)
+  LEFT JOIN (SELECT DISTINCT doc_id FROM exp_entry) e USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(dates, '\\d{{1,2}}/\\d{{2,4}}') THEN 'numeric' WHEN regexp_matches(dates, '(?i)[a-z]{{3,}}\\.?\\s*''?\\d{{2,4}}') THEN 'month-year' ELSE 'year' END) AS forms, count(CASE WHEN n_bullets = 0 THEN 1 END) AS n_empty FROM headed GROUP BY doc_id) h USING (doc_id)
+  LEFT JOIN (SELECT DISTINCT doc_id FROM corpus WHERE text = 'Objective') o USING (doc_id)
+  LEFT JOIN (SELECT DISTINCT doc_id FROM corpus WHERE {matches("text", P.REFERENCES)}) r USING (doc_id)
+  LEFT JOIN (SELECT doc_id, greatest(0, max(CASE WHEN {matches(extract('raw', P.DATE_RANGE, 2), P.OPEN_END)} THEN 2024 ELSE regexp_extract({extract('raw', P.DATE_RANGE, 2)}, '((?:19|20)\\d{{2}})', 1)::INT END) - min(regexp_extract({extract('raw', P.DATE_RANGE, 1)}, '((?:19|20)\\d{{2}})', 1)::INT)) AS years FROM exp_entry WHERE dated GROUP BY doc_id) y USING (doc_id)""",
+    "opener": f"SELECT doc_id, {_FIRST.format(c='text')} AS word, count(*) AS n, arg_min({matches('trim(text)', P.WEAK_START)}, pos) AS weak FROM work GROUP BY doc_id, word",
+    "writing_cost": " UNION ALL ".join([
+        f"SELECT doc_id, least(40, 8 * count(*)) AS cost FROM work WHERE {matches('trim(text)', P.WEAK_START)} GROUP BY doc_id",
+        f"SELECT doc_id, least(15, 3 * count(*)) FROM prose WHERE {matches('text', P.FILLER)} GROUP BY doc_id",
+        f"SELECT doc_id, least(9, 3 * count(*)) FROM prose WHERE {matches('text', P.PASSIVE)} GROUP BY doc_id",
+        f"SELECT doc_id, 5 FROM prose WHERE {matches('text', P.FIRST_PERSON)} GROUP BY doc_id",
+        f"SELECT doc_id, 5 FROM sum_prose WHERE {matches('text', P.SEEKING)} GROUP BY doc_id",
+        "SELECT doc_id, least(12, 4 * count(*)) FROM opener WHERE word <> '' AND n >= 3 AND NOT weak GROUP BY doc_id",
+        "SELECT doc_id, least(24, 4 * sum(n)) FROM (SELECT doc_id, " + " + ".join(f"{matches('text', p)}::INT" for _, p in P.GENERIC) + " AS n FROM prose) GROUP BY doc_id HAVING sum(n) > 0",
+    ]),
+    "writing_score": "SELECT d.doc_id, greatest(0, 100 - coalesce(sum(w.cost), 0)) AS score FROM doc_words d LEFT JOIN writing_cost w USING (doc_id) GROUP BY d.doc_id",
+    "contact_score": f"""SELECT doc_id, greatest(0, 100 - (CASE WHEN NOT {matches('text', P.EMAIL)} THEN 30 ELSE 0 END + CASE WHEN NOT {matches('text', P.PHONE)} THEN 20 ELSE 0 END + CASE WHEN NOT {matches('text', r'linkedin\.com')} THEN 12 ELSE 0 END
+    + CASE WHEN placed THEN 0 ELSE 15 END + CASE WHEN {matches(f"split_part({extract('text', P.EMAIL)}, '@', 1)", P.EMAIL_TONE)} THEN 5 ELSE 0 END)) AS score
+  FROM (SELECT c.doc_id, any_value(CASE WHEN c.line_no = 2 THEN c.text END) AS text, bool_or((c.line_no <= 6 OR c.line_no < b.first_at) AND place <> '' AND NOT {matches('place', P.TITLE)} AND NOT {matches('place', P.DEGREE)}) AS placed
+    FROM (SELECT *, coalesce(nullif({extract('bare', P.STRICT_LOCATION)}, ''), {extract('bare', P.LOCATION)}) AS place FROM (SELECT *, regexp_replace(text, '^• ', '') AS bare FROM corpus)) c JOIN (SELECT doc_id, least(exp_at, coalesce(sum_at, 1000000), coalesce(skills_at, 1000000)) AS first_at FROM bounds) b USING (doc_id) GROUP BY c.doc_id)""",
+    "score": "SELECT doc_id, 'parse' AS category, 100 AS score FROM doc_words UNION ALL "
+    + " UNION ALL ".join(f"SELECT doc_id, '{c}', score FROM {t}_score" for c, t in (("keywords", "keyword"), ("impact", "impact"), ("structure", "structure"), ("writing", "writing"), ("contact", "contact"))),
     "request": "SELECT event_type AS kind, user_id AS identity, ts, event_id FROM events",
     "item": """SELECT p_partkey % 60 AS doc_id, CAST(p_partkey AS INT) AS stream_index, CASE WHEN p_partkey % 13 = 0 THEN 'Yearly report' ELSE p_name END AS text, CAST(1 + (p_partkey // 60) % 2 AS INT) AS page,
   CAST(CASE WHEN p_partkey % 7 < 4 OR p_partkey % 60 < 10 THEN 0.06 ELSE 0.60 END AS DOUBLE) AS x, CAST(0.02 + (p_partkey % 13) * 0.06 AS DOUBLE) AS y,
@@ -87,6 +123,9 @@ CTE = {
 NEEDS = {
     "bounds": ("corpus",), "exp_line": ("corpus", "bounds"), "exp_mark": ("exp_line",), "exp_entry": ("exp_mark",), "work": ("exp_entry",), "strength": ("work",), "exp_prose": ("exp_entry",),
     "sum_prose": ("corpus", "bounds"), "edu_prose": ("corpus", "bounds"), "prose": ("exp_prose", "sum_prose", "edu_prose"), "hit": ("corpus", "term_form"),
+    "all_hit": ("corpus", "hit"), "doc_words": ("corpus",), "keyword_score": ("doc_words", "all_target", "all_hit"), "impact_score": ("strength",), "headed": ("exp_entry",),
+    "structure_score": ("bounds", "doc_words", "exp_entry", "headed"), "opener": ("work",), "writing_cost": ("work", "prose", "opener"), "writing_score": ("doc_words", "writing_cost"),
+    "contact_score": ("corpus", "bounds"), "score": ("doc_words", "keyword_score", "impact_score", "structure_score", "writing_score", "contact_score"),
 }
 
 
@@ -115,7 +154,24 @@ SELECT doc_id, count(*) AS n, round(sum(least({cost}, {cap} - prior))::DOUBLE, 1
 
 _CATEGORY = "CASE WHEN {0} < 50 THEN 'filtered' WHEN {0} < 70 THEN 'borderline' WHEN {0} < 85 THEN 'competitive' ELSE 'strong' END"
 
+_WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'impact' THEN {2} WHEN 'structure' THEN {3} WHEN 'writing' THEN {4} ELSE {5} END"
+_OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
+_ENGINES = {"workday": (30, 25, 15, 15, 10, 5), "greenhouse": (20, 20, 25, 15, 15, 5), "lever": (20, 25, 20, 15, 15, 5), "taleo": (35, 30, 10, 15, 5, 5)}
+
 SQL = {
+    "q_overall": sql(f"{_OVERALL} SELECT doc_id, round(raw, 1)::DOUBLE AS raw_total, least(99, floor(raw + 0.5))::INT AS overall, {_CATEGORY.format('least(99, floor(raw + 0.5))')} AS band FROM o", "score"),
+    "q_category_scores": sql(" SELECT doc_id, category, score::INT AS score FROM score", "score"),
+    "q_engines": sql(
+        " SELECT doc_id, engine, least(99, floor(round(part, 9) + 0.5))::INT AS score FROM ("
+        + " UNION ALL ".join(f"SELECT doc_id, '{e}' AS engine, sum(score * {_WEIGHT.format(*w)}) / {sum(w)}.0 AS part FROM score GROUP BY doc_id" for e, w in _ENGINES.items())
+        + ")",
+        "score",
+    ),
+    "q_weak_spots": sql(
+        f""", l AS (SELECT doc_id, category, ((100 - score) * {_WEIGHT.format(25, 25, 20, 15, 10, 5)} / 100.0)::DOUBLE AS lost FROM score WHERE score < 90), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lost DESC, category DESC)::INT AS rank FROM l)
+SELECT doc_id, category, lost, rank FROM k WHERE rank <= 3""",
+        "score",
+    ),
     "q_line_scan": sql(f" SELECT doc_id, count(*) AS n_lines, sum({_words('text')})::BIGINT AS n_words, sum(length(text))::BIGINT AS n_chars, greatest(1, ceil(count(*) / 55.0))::BIGINT AS pages FROM doc_line GROUP BY doc_id", "doc_line"),
     "q_contact_lines": sql(
         f" SELECT doc_id, min(CASE WHEN {matches('text', P.EMAIL)} THEN line_no END)::INT AS email_line, min(CASE WHEN {matches('text', P.PHONE)} THEN line_no END)::INT AS phone_line, "
