@@ -32,6 +32,7 @@ _LETTER, _NUMBER = rf"[\p{{L}}--[{_ranges(NEWER_LETTERS)}]]", rf"[\p{{N}}--[{_ra
 _FORM = r"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?[^\sLETTERNUMBER]+|\s+(?!\S)|\s+"
 PATTERN = _FORM.replace("LETTER", r"\p{L}").replace("NUMBER", r"\p{N}")
 _EXACT = regex.compile("(?V1)" + _FORM.replace("LETTER", _LETTER).replace("NUMBER", _NUMBER))
+_PLAIN = regex.compile(PATTERN)
 _NEWER = regex.compile(f"[{_ranges(NEWER_LETTERS)}{_ranges(NEWER_NUMBERS)}]")
 #: Pre-tokens whose counts a task remembers; the memory is emptied when full.
 REMEMBERED = 400_000
@@ -96,6 +97,16 @@ class MergeTable:
         return counts
 
 
+def _split(text: str) -> list[str]:
+    """The pre-tokens of a text; only one with characters beyond Latin-1 can hold a newer letter or number."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        if _NEWER.search(text):
+            return _EXACT.findall(text)
+    return _PLAIN.findall(text)
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     part, size = [], 0
     for text in texts:
@@ -111,11 +122,10 @@ def _slices(texts: list[str]) -> Iterator[list[str]]:
 def count_texts(texts: list[str], table: MergeTable, known: dict[str, int]) -> list[int]:
     """Tokens of each text. Special strings count as one token each. known: counts of pre-tokens, kept between calls."""
     special = regex.compile("|".join(map(regex.escape, table.specials)) or r"(?!)")
-    plain = regex.compile(PATTERN).findall
     out: list[int] = []
     for part in _slices(texts):
         cut = [special.split(t) if any(s in t for s in table.specials) else [t] for t in part]
-        found = [[w for piece in pieces for w in (_EXACT.findall if _NEWER.search(piece) else plain)(piece)] for pieces in cut]
+        found = [[w for piece in pieces for w in _split(piece)] for pieces in cut]
         if len(known) > REMEMBERED:
             known.clear()
         fresh = list({w for ws in found for w in ws if w not in known})
