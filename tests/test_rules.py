@@ -161,3 +161,17 @@ def test_records_expire(spark, tmp_path):
     rows = spark.read.parquet(path)
     assert store.live(rows).count() == 2
     assert store.live(rows, F.timestamp_add("DAY", F.lit(8), F.current_timestamp())).count() == 0
+
+
+def test_dates_take_one_form(spark):
+    forms = {"January 2019 – present": "Jan 2019 – Present", "3/19 - 11/2020": "Mar 2019 – Nov 2020", "Fall 2018": "Fall 2018", "2017": "2017", "Sept. '08 until 2010": "Sep 2008 – 2010", "": "[[Mon YYYY – Mon YYYY]]"}
+    assert {d: one(spark, rewrite.normal_dates(F.col("d")), d=d) for d in forms} == forms
+
+
+def test_headlines_and_summaries(spark):
+    schema = "doc_id long, entry int, section string, dates string, title string, org string"
+    entries = spark.createDataFrame([(1, 1, "experience", "5/2019 – now", "Nurse", "Acme"), (1, 2, "experience", None, None, "Globex"), (1, 3, "education", "2008", None, None)], schema)
+    assert [r.text for r in rewrite.headlines(entries).orderBy("entry").collect()] == ["Nurse — Acme | May 2019 – Present", "[[Job title]] — Globex | [[Mon YYYY – Mon YYYY]]", "[[Degree — School]] | 2008"]
+    lines = spark.createDataFrame([(1, 5, "skills", "text", "Python, SQL, Excel")], "doc_id long, line_no int, section string, kind string, text string")
+    years = spark.createDataFrame([(1, 5)], "doc_id long, years int")
+    assert rewrite.summaries(lines, entries, years).first().text == "Nurse with 5+ years across Acme and Globex; hands-on with Python, SQL and Excel."

@@ -356,6 +356,23 @@ def q_rewritten(spark, sf_dir):
     return work.select("doc_id", "line_no", rewrite.rewritten_bullet(F.col("text")).alias("text"))
 
 
+@query
+def q_normal_dates(spark, sf_dir):
+    roles = corpus_model(spark, sf_dir).entries.filter("section = 'experience'")
+    return roles.select("doc_id", "header_line", rewrite.normal_dates(F.col("dates")).alias("dates"))
+
+
+@query
+def q_headlines(spark, sf_dir):
+    return rewrite.headlines(corpus_model(spark, sf_dir).entries)
+
+
+@query
+def q_summaries(spark, sf_dir):
+    m = corpus_model(spark, sf_dir)
+    return rewrite.summaries(m.lines, m.entries, m.years)
+
+
 @query
 def q_unsupported_numbers(spark, sf_dir):
     return rewrite.unsupported_numbers(q_rewritten(spark, sf_dir), corpus_lines(spark, sf_dir))

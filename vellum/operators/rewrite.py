@@ -41,6 +41,68 @@ def rewritten_bullet(text: Column) -> Column:
     return F.concat(upper_first(scrubbed(whole)), F.lit("."))
 
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+#: What parts the two dates of a range.
+TO = r"(?i)\s*(?:–|—|-|−|to|until|through|~)\s*"
+NO_DATES = "[[Mon YYYY – Mon YYYY]]"
+
+
+def normal_date(text: Column) -> Column:
+    """One date as Present, Season YYYY, Mon YYYY or YYYY; what is no date stays."""
+    t = F.trim(text)
+    season, named, digits = r"(?i)(spring|summer|fall|autumn|winter)\s+((?:19|20)\d{2})", r"(?i)([a-z]{3,})\.?\s*'?(\d{2,4})", r"(\d{1,2})/(\d{2,4})"
+    part = lambda pattern, n: F.regexp_extract(t, pattern, n)
+    year = lambda y: F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(y)
+    month = F.element_at(F.create_map(*[x for m in MONTHS for x in (F.lit(m.lower()), F.lit(m))]), F.lower(F.left(part(named, 1), F.lit(3))))
+    number = F.greatest(F.lit(1), F.least(F.lit(12), F.coalesce(F.nullif(part(digits, 1), F.lit("")).cast("int"), F.lit(1))))
+    return (
+        F.when(t.rlike(P.OPEN_END), "Present")
+        .when(t.rlike(season), F.concat(upper_first(F.lower(part(season, 1))), F.lit(" "), part(season, 2)))
+        .when(t.rlike(named), F.concat_ws(" ", month, year(part(named, 2))))
+        .when(t.rlike(digits), F.concat(F.element_at(F.array(*map(F.lit, MONTHS)), number), F.lit(" "), year(part(digits, 2))))
+        .when(t.rlike(r"(19|20)\d{2}"), F.regexp_extract(t, r"((?:19|20)\d{2})", 1))
+        .otherwise(t)
+    )
+
+
+def normal_dates(dates: Column) -> Column:
+    """A date or a range in one form; a placeholder for none."""
+    parts = F.filter(F.split(dates, TO), lambda p: p != "")
+    both = F.concat(normal_date(F.get(parts, F.lit(0))), F.lit(" – "), normal_date(F.element_at(parts, -1)))
+    return F.when(F.coalesce(dates, F.lit("")) == "", NO_DATES).when(F.size(parts) >= 2, both).otherwise(normal_date(F.coalesce(F.get(parts, F.lit(0)), dates)))
+
+
+def headlines(entries: DataFrame) -> DataFrame:
+    """(doc_id, entry, text): each entry's header in one form, with placeholders for what it lacks."""
+    edu = F.col("section") == "education"
+    work = F.concat(F.coalesce("title", F.lit("[[Job title]]")), F.lit(" — "), F.coalesce("org", F.lit("[[Employer]]")))
+    school = F.coalesce(F.nullif(F.concat_ws(" — ", "title", "org"), F.lit("")), F.lit("[[Degree — School]]"))
+    return entries.select("doc_id", "entry", F.concat_ws(" | ", F.when(edu, school).otherwise(work), normal_dates(F.col("dates"))).alias("text"))
+
+
+def _listed(items: Column) -> Column:
+    """One, two and three; null for none."""
+    n = F.size(items)
+    return F.when(n > 1, F.concat(F.array_join(F.slice(items, F.lit(1), n - 1), ", "), F.lit(" and "), F.element_at(items, -1))).when(n == 1, F.get(items, F.lit(0)))
+
+
+def summaries(lines: DataFrame, entries: DataFrame, years: DataFrame) -> DataFrame:
+    """(doc_id, text): one line of fact for each document, from its first role, years, employers and skills, if it has a role."""
+    roles = entries.filter("section = 'experience'").groupBy("doc_id").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("entry"))).alias("title"), F.array_sort(F.collect_list(F.when(F.col("org").isNotNull(), F.struct("entry", "org")))).alias("orgs"))
+    parts = F.filter(F.transform(F.split("text", r"[,|•·]"), lambda x: F.trim(x)), lambda x: F.length(x).between(2, 29))
+    skills = lines.filter("section = 'skills' and kind <> 'heading'").select("doc_id", "line_no", parts.alias("parts")).groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "parts"))), lambda x: x["parts"])).alias("skills"))
+    joined = roles.join(skills, "doc_id", "left").join(years, "doc_id", "left")
+    orgs = _listed(F.slice(F.transform("orgs", lambda x: x["org"]), 1, 3))
+    text = F.concat(
+        F.coalesce("title", F.lit("[[Job title]]")),
+        F.when(F.col("years") >= 1, F.concat(F.lit(" with "), F.col("years").cast("string"), F.lit("+ years"))).otherwise(""),
+        F.coalesce(F.concat(F.lit(" across "), orgs), F.lit("")),
+        F.coalesce(F.concat(F.lit("; hands-on with "), _listed(F.slice("skills", 1, 4))), F.lit("")),
+        F.lit("."),
+    )
+    return joined.select("doc_id", text.alias("text"))
+
+
 def placeholders(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, pos, hint): the distinct placeholders of each line, in order."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[\[([^\]]*)\]\]"), F.lit(1)))

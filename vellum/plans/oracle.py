@@ -226,6 +226,12 @@ SELECT m.doc_id, m.term, m.weight::INT AS weight, string_agg(DISTINCT p.term, ',
 SELECT doc_id, header_line, dates, n_bullets FROM e""",
         "exp_entry",
     ),
+    "q_normal_dates": sql(
+        f""", e AS (SELECT doc_id, entry, min(CASE WHEN is_header THEN line_no END)::INT AS header_line, max(CASE WHEN is_header THEN {extract('raw', P.DATE_RANGE)} END) AS d FROM exp_entry WHERE entry > 0 GROUP BY doc_id, entry),
+p AS (SELECT doc_id, header_line, list_transform(string_split_regex(d, '\\s*–\\s*'), lambda t: CASE WHEN t = 'Present' THEN t WHEN t LIKE '%/%' THEN ['Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec'][split_part(t, '/', 1)::INT] || ' ' || split_part(t, '/', 2) ELSE t END) AS t FROM e)
+SELECT doc_id, header_line, t[1] || ' – ' || t[2] AS dates FROM p""",
+        "exp_entry",
+    ),
     "q_years": sql(
         f""", e AS (SELECT doc_id, {extract('raw', P.DATE_RANGE, 1)} AS a, {extract('raw', P.DATE_RANGE, 2)} AS b FROM exp_entry WHERE dated),
 y AS (SELECT doc_id, regexp_extract(a, '((?:19|20)\\d{{2}})', 1)::INT AS s, CASE WHEN {matches('b', P.OPEN_END)} THEN 2024 ELSE regexp_extract(b, '((?:19|20)\\d{{2}})', 1)::INT END AS e FROM e)
