@@ -360,6 +360,31 @@ def test_lm_base_scores_are_exact(spark, sf_dir, monkeypatch):
     assert all(r.score <= 0 for r in got)
 
 
+def test_lm_scores_use_every_level(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "FILTER_BYTES", 20_000, raising=False)  # no such bound decides which levels count
+    monkeypatch.setattr(lm, "BATCH_BYTES", 50_000, raising=False)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("length(text) > 0")
+    got = {r.doc_id: r.score for r in lm.score_documents(docs.repartition(3), learn_from=F.col("doc_id") % 3 != 0).collect()}
+    texts = {r.doc_id: lm.token_hashes(r.text.encode()).tolist() for r in docs.collect()}
+    before = {i: [lm._END, *ws[:-1]] for i, ws in texts.items()}
+    words = Counter(w for i, ws in texts.items() if i % 3 for w in ws)
+    pairs = Counter(p for i, ws in texts.items() if i % 3 for p in zip(before[i], ws))
+    norm = sum(words.values()) + len(words) + 1
+    near = lambda n: float(lm.level_count(lm.levels_of(np.array([n])))[0]) if n else 0.0
+
+    def want(i):
+        total = 0.0
+        for p in zip(before[i], texts[i]):
+            single, both = (near(words[p[1]]) + 1) / norm, near(pairs[p])
+            total += math.log10(min(lm.LAMBDA * min(both / near(words[p[0]]), 1) + (1 - lm.LAMBDA) * single if both else single, 1))
+        return total
+
+    # A learned text's n-grams are members; only levels that a filter holds by mistake set its score apart.
+    learned = [i for i in texts if i % 3]
+    assert np.mean([abs(got[i] - want(i)) < 0.03 * abs(want(i)) for i in learned]) > 0.9
+    assert abs(sum(got.values()) / sum(map(want, texts)) - 1) < 0.05
+
+
 def test_filters_hold_every_count():
     rng = np.random.default_rng(3)
     hashes = rng.integers(0, 2**63, 5000, dtype=np.uint64)

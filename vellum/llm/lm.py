@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Training documents are counted in parallel: a task counts the unigrams and bigrams of its
-texts by 64-bit hash, packs them by shard, and the shards' counts are merged without any row
-for a single n-gram. Quantised to level 1 + floor(log2(count)), an n-gram is a member of one
-filter for each level up to its own; a shard has filters sized by their members. The filters
-of all levels that fit FILTER_BYTES, rarest levels left out first, are broadcast, and a count
-is read back by probing level after level until one fails. A bigram's share of its context's
-count is smoothed with the add-one unigram probability.
+Documents are read in batches; a task tallies the unigrams and bigrams of a batch by 64-bit
+hash, packs them by shard, and the shards' counts are merged without any row for a single
+n-gram. Quantised to level 1 + floor(log2(count)), an n-gram is a member of one filter for
+each level up to its own; a shard has filters sized by their members. A shard probes its
+filters, level after level until one fails, for all n-grams of each batch and sends the
+levels back to the batch, so no process holds more than one shard's filters and every level
+counts, however large the input. A bigram's share of its context's count is smoothed with
+the add-one unigram probability.
 
 The base score needs exact unigram counts: those of the most frequent words, as many as
-FREQUENT, are broadcast too; all others meet the documents' rare words in a join.
+FREQUENT, are broadcast; all others meet the documents' rare words in a join.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import small_batches, word_lists, written
 
-#: Tokens that a task counts at a time, exact counts that are broadcast at most, and bytes of filters that are broadcast at most.
-COUNTED, FREQUENT, FILTER_BYTES = 1_000_000, 1 << 19, 32 << 20
+#: Bytes of text that make a batch (about a million tokens), and exact counts that are broadcast at most.
+BATCH_BYTES, FREQUENT = 6 << 20, 1 << 19
 BITS_PER_MEMBER, PROBES, LEVELS = 8, 5, 40
 #: Share of the bigram estimate in a smoothed probability.
 LAMBDA = 0.6
@@ -88,7 +91,7 @@ def make_filter(hashes: np.ndarray) -> bytes:
 
 @dataclass
 class Filters:
-    """All broadcast filters, one after the other; starts and bits: byte and size of each by [kind][level][shard]."""
+    """Filters, one after the other; starts and bits: byte and size of each by [kind][level][shard]."""
 
     shards: int
     data: np.ndarray
@@ -119,76 +122,94 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def ngram_counts(docs: DataFrame, shards: int) -> DataFrame:
-    """(kind, shard, level, members, h, c, bits): exact unigram counts (kind 0, h and c), and for each kind, shard and level a filter (bits)."""
+def stable(frame: DataFrame) -> DataFrame:
+    """The frame, written first if a shuffle makes it: its rows could come in another order when it is read again."""
+    return written(frame) if "Exchange" in frame._jdf.queryExecution().executedPlan().toString() else frame
+
+
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """Name and rows of each batch of a partition of (doc_id, text_hash, text, learned). The name tells the rows, so a reading that batches them otherwise is noticed."""
+    held, size, number = [], 0, 0
+
+    def closed() -> tuple[str, pa.Table]:
+        whole = pa.Table.from_batches(held)
+        digest = int(whole["text_hash"].to_numpy().sum(dtype=np.int64))
+        return f"{TaskContext.get().partitionId()}.{number}.{len(whole)}.{digest}", whole
+
+    for batch in batches:
+        start = 0
+        for i, length in enumerate(pc.fill_null(pc.binary_length(batch["text"]), 0).to_pylist()):
+            size += length
+            if size >= BATCH_BYTES:
+                held.append(batch.slice(start, i + 1 - start))
+                yield closed()
+                held, size, number, start = [], 0, number + 1, i + 1
+        if start < batch.num_rows:
+            held.append(batch.slice(start))
+    if held:
+        yield closed()
+
+
+def _packed(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct, sorted hashes by shard, and where each shard starts in it."""
+    shard = shard_of(hashes, shards)
+    order = np.argsort(shard, kind="stable")
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def ngram_levels(keyed: DataFrame, shards: int) -> DataFrame:
+    """(batch, kind, shard, levels, h, c): for each batch of all rows, kind and shard the levels of the batch's distinct n-grams, sorted by hash, one byte each; and exact unigram counts of the learned rows (h and c)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(tokens: list[np.ndarray]) -> pa.RecordBatch:
+        for name, table in text_batches(batches):
+            tokens = [token_hashes(x.as_py() or b"") for x in table["text"]]
+            sizes = np.array([len(t) for t in tokens])
+            ends, joined = np.cumsum(sizes), np.concatenate(tokens)
+            once = np.repeat(table["learned"].to_numpy().astype(np.int64), sizes)
             rows: list[tuple] = []
-            ends = np.cumsum([len(t) for t in tokens])
-            joined = np.concatenate(tokens)
             for kind, hashes in ((UNIGRAM, joined), (BIGRAM, bigram_hashes(joined, ends)[0])):
-                hashes, counts = tally(hashes)
-                shard = shard_of(hashes, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows += [(kind, s, hashes[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["kind", "shard", "hashes", "counts"])
-
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(token_hashes(text.as_py() or b""))
-                size += len(held[-1])
-                if size >= COUNTED:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
+                hashes, counts = tally(hashes, once)
+                order, cuts = _packed(hashes, shards)
+                rows += [(name, kind, s, hashes[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["batch", "kind", "shard", "hashes", "counts"])
 
     def merge(_key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = shard = None
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in parts:
-            kind, shard = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
-            more = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in batch.column(2)])
-            n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in batch.column(3)])
-            hashes, counts = tally(np.concatenate((hashes, more)), np.concatenate((counts, n)))
-        level = levels_of(counts)
-        for x in range(1, int(level.max(initial=0)) + 1):
-            member = hashes[level >= x]
-            yield row([kind], [shard], [x], [len(member)], [None], [None], [make_filter(member)])
+        asked: list[tuple[str, np.ndarray]] = []
+        for part in parts:
+            kind, shard = part["kind"][0].as_py(), part["shard"][0].as_py()
+            more = [np.frombuffer(x.as_py(), np.uint64) for x in part["hashes"]]
+            n = [np.frombuffer(x.as_py(), np.uint32) for x in part["counts"]]
+            asked += zip(part["batch"].to_pylist(), more)
+            learned = [x > 0 for x in n]
+            hashes, counts = tally(np.concatenate((hashes, *(x[k] for x, k in zip(more, learned)))), np.concatenate((counts, *(x[k] for x, k in zip(n, learned)))))
+        filters = shard_filters(kind, shard, shards, hashes, levels_of(counts))
+        for name, probed in asked:
+            yield row([name], [kind], [shard], [filters.level(kind, probed).astype(np.uint8).tobytes()], [None], [None])
         for a in range(0, len(hashes) if kind == UNIGRAM else 0, 50_000):
             part, n = hashes[a : a + 50_000].view(np.int64), counts[a : a + 50_000]
             none = [None] * len(n)
-            yield row([kind] * len(n), [shard] * len(n), none, none, part, n, none)
+            yield row(none, [kind] * len(n), [shard] * len(n), none, part, n)
 
     def row(*columns) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["kind", "shard", "level", "members", "h", "c", "bits"])
-
-    blobs = docs.select(F.col("text").cast("binary")).mapInArrow(count, "kind int, shard int, hashes binary, counts binary")
-    return blobs.groupBy("kind", "shard").applyInArrow(merge, "kind int, shard int, level int, members long, h long, c long, bits binary")
-
-
-def choose_filters(counted: DataFrame, shards: int) -> Filters:
-    """The filters that fit FILTER_BYTES: both kinds' levels from the top down, until the next one of a kind doesn't fit."""
-    sizes = {(r.kind, r.level): r.bytes for r in counted.filter("level is not null").groupBy("kind", "level").agg(F.sum(F.length("bits")).alias("bytes")).collect()}
-    left, lowest = FILTER_BYTES, []
-    for kind in (UNIGRAM, BIGRAM):
-        at = max((x for k, x in sizes if k == kind), default=0) + 1
-        while at > 1 and sizes.get((kind, at - 1), 0) <= left:
-            at -= 1
-            left -= sizes.get((kind, at), 0)
-        lowest.append(at)
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], ["batch", "kind", "shard", "levels", "h", "c"])
+
+    blobs = keyed.mapInArrow(count, "batch string, kind int, shard int, hashes binary, counts binary")
+    return blobs.groupBy("kind", "shard").applyInArrow(merge, "batch string, kind int, shard int, levels binary, h long, c long")
+
+
+def shard_filters(kind: int, shard: int, shards: int, hashes: np.ndarray, levels: np.ndarray) -> Filters:
+    """The filters of all levels of one shard's n-grams of one kind."""
     starts, bits = (np.zeros((2, LEVELS + 2, shards), dtype=np.int64) for _ in range(2))
-    data, size = [], 0
-    picked = counted.filter(f"(kind = {UNIGRAM} and level >= {lowest[UNIGRAM]}) or (kind = {BIGRAM} and level >= {lowest[BIGRAM]})")
-    for r in picked.select("kind", "shard", "level", "bits").collect():
-        starts[r.kind, r.level, r.shard], bits[r.kind, r.level, r.shard] = size, len(r.bits) * 8
-        data.append(np.frombuffer(r.bits, dtype=np.uint8))
-        size += len(r.bits)
-    return Filters(shards, np.concatenate(data) if data else np.zeros(0, np.uint8), starts, bits, (lowest[0], lowest[1]))
+    data, size = [np.zeros(0, np.uint8)], 0
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        made = np.frombuffer(make_filter(hashes[levels >= level]), dtype=np.uint8)
+        starts[kind, level, shard], bits[kind, level, shard] = size, len(made) * 8
+        data.append(made)
+        size += len(made)
+    return Filters(shards, np.concatenate(data), starts, bits, (1, 1))
 
 
 def frequent_counts(unigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -218,31 +239,52 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    learned = (docs if learn_from is None else docs.filter(learn_from)).select(F.col(text_col).alias("text"))
+    learned = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
+    text = F.col(text_col)
+    keyed = stable(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"), learned.alias("learned")))
     with small_batches(spark):
-        counted = written(ngram_counts(learned, shards))
+        counted = written(ngram_levels(keyed, shards))
     unigrams = counted.filter("h is not null").select("h", "c")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     norm = float(total + distinct + 1)
-    shipped = spark.sparkContext.broadcast((choose_filters(counted, shards), frequent_counts(unigrams)))
-
-    def smoothed(filters: Filters, tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    shipped = spark.sparkContext.broadcast(frequent_counts(unigrams))
+
+    def levels(answers: dict[tuple[int, int], bytes], kind: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, sorted, and the level of each by the shards' answers."""
+        found = np.unique(hashes)
+        order, cuts = _packed(found, shards)
+        level = np.zeros(len(found), dtype=np.int64)
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            level[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(answers[kind, s], np.uint8)
+        return found, level
+
+    def smoothed(single: tuple[np.ndarray, np.ndarray], double: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         pairs, before = bigram_hashes(tokens, ends)
-        kinds, at = np.unique(np.concatenate((tokens, before)), return_inverse=True)
-        single = level_count(filters.level(UNIGRAM, kinds))
-        alone, context = single[at[: len(tokens)]], single[at[len(tokens) :]]
-        both = level_count(filters.level(BIGRAM, pairs))
+        count = lambda known, hashes: level_count(known[1])[np.searchsorted(known[0], hashes)]
+        alone, context, both = count(single, tokens), count(single, before), count(double, pairs)
         share = np.where(context > 0, np.minimum(both / np.maximum(context, 1), 1.0), 0.0)
         weight = np.where(both > 0, LAMBDA, 0.0)
         return np.log10(np.minimum(weight * share + (1 - weight) * (alone + 1) / norm, 1.0))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters, (hashes, counts) = shipped.value
-        for batch in batches:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, table in text_batches(batches):
+            for batch in table.select(["doc_id", "text_hash", "text"]).to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * batch.num_rows, pa.string()), *batch.columns], ["batch", "doc_id", "text_hash", "text"])
+
+    def score(rows: pa.Table, answered: pa.Table) -> pa.Table:
+        hashes, counts = shipped.value
+        answers = {(k, s): x for k, s, x in zip(*(answered[c].to_pylist() for c in ("kind", "shard", "levels")))}
+        rows = rows.select(["doc_id", "text_hash", "text"]).combine_chunks()
+        token_lists = [token_hashes(x.as_py() or b"") for x in rows["text"]]
+        whole_ends, whole_tokens = np.cumsum([len(t) for t in token_lists]), np.concatenate(token_lists)
+        single, double = levels(answers, UNIGRAM, whole_tokens), levels(answers, BIGRAM, bigram_hashes(whole_tokens, whole_ends)[0])
+        # The end before a text is a token of the batch: each text has one.
+        out, first = [], 0
+        for batch in rows.to_batches():
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                tokens = [token_hashes(x.as_py() or b"") for x in part.column(2)]
+                tokens = token_lists[first : first + part.num_rows]
+                first += part.num_rows
                 ends = np.cumsum([len(t) for t in tokens])
                 starts, joined = np.concatenate(([0], ends[:-1])), np.concatenate(tokens)
                 at = np.searchsorted(hashes, joined)
@@ -250,7 +292,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 known = hashes[at] == joined if len(hashes) else np.zeros(len(joined), dtype=bool)
                 value = np.where(known, np.log10((counts[at] + 1.0) / norm) if len(hashes) else 0.0, 0.0)
                 row, rare, times = _rare_words(joined, ~known, ends)
-                sums = [np.add.reduceat(x, starts) for x in (value, smoothed(filters, joined, ends))]
+                sums = [np.add.reduceat(x, starts) for x in (value, smoothed(single, double, joined, ends))]
                 n_known = np.add.reduceat(known.astype(np.int64), starts)
                 n, m = part.num_rows, len(rare)
                 whole, none = pa.nulls, np.zeros
@@ -263,14 +305,16 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     np.concatenate((sums[1], none(m))),
                     pa.concat_arrays([whole(n, pa.int64()), pa.array(rare.view(np.int64))]),
                 ]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "text_hash", "n", "known", "base", "model", "h"])
+                out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "text_hash", "n", "known", "base", "model", "h"]))
+        return pa.Table.from_batches(out)
 
-    keyed = own.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     id_type = keyed.schema["doc_id"].dataType.simpleString()
-    scored = keyed.mapInArrow(score, f"doc_id {id_type}, text_hash long, n long, known long, base double, model double, h long")
+    texts = keyed.mapInArrow(named, f"batch string, doc_id {id_type}, text_hash long, text binary")
+    answers = counted.filter("batch is not null").select("batch", "kind", "shard", "levels")
+    scored = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {id_type}, text_hash long, n long, known long, base double, model double, h long")
     with small_batches(spark):
         held = written(scored)
-    shipped.destroy()  # else idle workers keep every call's filters
+    shipped.destroy()  # else idle workers keep every call's counts
     return _with_rare_words(held, unigrams, total, norm)
 
 
