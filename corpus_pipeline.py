@@ -23,17 +23,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with __row, which tells rows apart by id and text, for ids may be null or repeated; null ids come last."""
+    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group; rows that repeat an id and a text are one document."""
-    groups = near_duplicates(docs)
+    rows = _rows(docs)
+    groups = near_duplicates(rows, id_col="__row")
     dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__of")).distinct()
-    kept = docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["__of"]), "left_anti")
-    return kept.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*COLUMNS)
+    kept = rows.join(dropped, rows["__row"].eqNullSafe(dropped["__of"]), "left_anti")
+    return kept.dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), id_col="__row").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

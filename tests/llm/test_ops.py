@@ -344,6 +344,16 @@ def test_language_of_texts_without_letters(spark, sf_dir):
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
 
 
+def test_language_learns_from_null_and_repeated_ids(spark):
+    words = {"en": "the of and that with this from have they which", "fr": "le les des une est que qui dans pour avec"}
+    rows = [(None, f"{w} {w} {'xyz'[i % 3]}{i}", lang) for lang, w in words.items() for i in range(400)] + [(7, words["en"], "en")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(docs)
+    assert Counter(lang for _, lang in sample) == {"en": language.PER_LANGUAGE, "fr": language.PER_LANGUAGE}
+    assert len(set(sample)) == len(sample)
+    assert {(r.lang, r.lang_pred) for r in language.identify_languages(docs, keep=["lang"]).distinct().collect()} == {("en", "en"), ("fr", "fr")}
+
+
 # 9: language model
 
 

@@ -63,3 +63,14 @@ def test_odd_rows_pass_all_stages(spark, sf_dir):
     for _, stage in pipeline.STAGES:
         empty = written(stage(spark, empty, sf_dir))
     assert empty.count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("size(split(text, ' ')) > 20").first().text
+    a, b, c = ("a copy of the text that two rows of this table hold", "nobody else has these words of an own clean text", "yet another clean document with a null for its id")
+    docs = spark.createDataFrame([(1, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (2, a, "en", "s", 1), (2, c + " too", "en", "s", 1), (None, item, "en", "s", 1)], schema)
+    kept = written(pipeline.near_dedup(spark, docs, sf_dir))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, a), (None, b), (None, c), (2, c + " too"), (None, item)}
+    clean = pipeline.decontamination(spark, kept, sf_dir)
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {(1, a), (None, b), (None, c), (2, c + " too")}

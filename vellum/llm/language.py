@@ -101,17 +101,16 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids, none longer than MAX_CHARS."""
-    ids = docs.select("doc_id", "lang").filter("lang is not null").withColumn("at", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids and texts, none longer than MAX_CHARS or without a letter; rows that repeat an id and a text are one document."""
+    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & F.col("text").rlike(r"\p{L}"))
+    hashed = usable.withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     # The least hashes of a frequent language lie below a bound that its count tells, so few of its rows are ranked.
-    bounds = ids.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE * (1 << 40)) / F.count("*")).alias("bound"))
+    bounds = hashed.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE * (1 << 40)) / F.approx_count_distinct("at")).alias("bound"))
     order = Window.partitionBy("lang").orderBy("at", "doc_id")
     # One row for each language, of which the model has a column of weights each.
-    few = ids.join(F.broadcast(bounds), "lang").filter("at <= bound")
+    few = hashed.join(F.broadcast(bounds), "lang").filter("at <= bound").dropDuplicates(["lang", "at", "doc_id"])
     picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
-    # A few rows for each language: the bound that makes this broadcast safe.
-    joined = docs.join(F.broadcast(picked.select("doc_id", "lang", "place").dropDuplicates(["doc_id", "lang"])), ["doc_id", "lang"])
-    rows = joined.filter(F.col("text").rlike(r"\p{L}") & (F.length("text") <= MAX_CHARS)).select("lang", "place", "text").orderBy("lang", "place", "text").collect()
+    rows = picked.select("lang", "place", "text").orderBy("lang", "place").collect()
     return [(r.text, r.lang) for r in rows]
 
 
