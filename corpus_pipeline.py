@@ -18,9 +18,9 @@ LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter, or that no language claims."""
+    """Rejects documents without any letter, that hold too few n-grams of the learned languages, or that no language claims."""
     found = identify_languages(docs, keep=COLUMNS[1:])
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("known")).select(*COLUMNS)
 
 
 def _rows(docs: DataFrame) -> DataFrame:

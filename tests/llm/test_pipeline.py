@@ -74,3 +74,11 @@ def test_null_and_repeated_ids_lose_no_document(spark, sf_dir):
     assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, a), (None, b), (None, c), (2, c + " too"), (None, item)}
     clean = pipeline.decontamination(spark, kept, sf_dir)
     assert {(r.doc_id, r.text) for r in clean.collect()} == {(1, a), (None, b), (None, c), (2, c + " too")}
+
+
+def test_language_rejects_unlearned_scripts_and_letter_junk(spark, sf_dir, stages):
+    odd = {-1: "Быстрая коричневая лиса прыгает через ленивую собаку", -2: "敏捷的棕色狐狸跳过懒狗然后继续跑", -3: "qzxjv wkqpz xvbqj zzkwq jxqvk pqwzx vjkqx zqwkv", -4: "123 4 x 99 12"}
+    clean = {-5: "the house", -6: "the and for la maison est und das Haus ist"}
+    added = spark.createDataFrame([(i, t, None, "s", 1) for i, t in (odd | clean).items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = pipeline.language(spark, stages["documents"].select(*pipeline.COLUMNS).unionByName(added), sf_dir)
+    assert {r.doc_id for r in kept.filter("doc_id < 0").collect()} == set(clean)

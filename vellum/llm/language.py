@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 #: Bounds of the training sample: texts a language and characters a text, and landmarks among them.
 PER_LANGUAGE, MAX_CHARS, LANDMARKS = 300, 20_000, 32
 ORDERS, RIDGE, BATCH = (1, 2, 3), 0.05, 256
+#: A text is known by this share of what all but a hundredth of the sample's texts, landmarks left out, have in the vocabulary.
+KNOWN = 0.8
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: Bytes that are neither an ASCII letter nor part of a longer character become spaces.
@@ -41,26 +43,39 @@ def grams(text: str) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """vocabulary: sorted codes of each order; landmarks: presence rows over them; weights: landmark kernels -> language scores."""
+    """vocabulary: sorted codes of each order; landmarks: presence rows over them; weights: landmark kernels -> language scores; least_known: the least share of a known text's n-grams in the vocabulary."""
 
     languages: list[str]
     vocabulary: list[np.ndarray]
     landmarks: np.ndarray
     weights: np.ndarray
+    least_known: float = 0.0
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def presence(self, texts: list[str]) -> np.ndarray:
         """A 0/1 row for each text over the vocabulary, normalised to length one."""
+        return self.presence_and_share(texts)[0]
+
+    def presence_and_share(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """presence, and for each text the share of its distinct n-grams that are in the vocabulary."""
         index_of_order = _indexes(self)
-        rows = np.zeros((len(texts), sum(map(len, self.vocabulary)) + 1), dtype=np.float32)
-        for row, text in zip(rows, texts):
+        total = sum(map(len, self.vocabulary))
+        rows, strange = np.zeros((len(texts), total + 1), dtype=np.float32), np.zeros(len(texts))
+        for i, (row, text) in enumerate(zip(rows, texts)):
             for index, codes in zip(index_of_order, grams(text)):
-                row[index[codes]] = 1
+                at = index[codes]
+                row[at] = 1
+                strange[i] += len(np.unique(codes[at == total]))
         rows = rows[:, :-1]
-        return rows / np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+        held = rows.sum(axis=1, keepdims=True)
+        return rows / np.sqrt(np.maximum(held, 1)), held[:, 0] / np.maximum(held[:, 0] + strange, 1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return (self.presence(texts) @ self.landmarks.T) @ self.weights
+        return self.scores_and_known(texts)[0]
+
+    def scores_and_known(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows, share = self.presence_and_share(texts)
+        return (rows @ self.landmarks.T) @ self.weights, share >= self.least_known
 
 
 #: The place of each n-gram in the vocabulary, of the last model used in this process alone: it is large, and built where it is used.
@@ -90,7 +105,10 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     values, vectors = np.linalg.eigh((model.landmarks @ model.landmarks.T).astype(np.float64))
     fit_values = values > 1e-6 * values.max()
     whiten = vectors[:, fit_values] / np.sqrt(values[fit_values])
-    kernels = np.concatenate([model.presence(texts[i : i + BATCH]) @ model.landmarks.T for i in range(0, len(texts), BATCH)])
+    parts = [model.presence_and_share(texts[i : i + BATCH]) for i in range(0, len(texts), BATCH)]
+    kernels = np.concatenate([rows @ model.landmarks.T for rows, _ in parts])
+    others = np.delete(np.concatenate([share for _, share in parts]), chosen)
+    model.least_known = KNOWN * float(np.quantile(others, 0.01)) if len(others) else 0.0  # landmarks alone tell no bound
     features = kernels @ whiten
     target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
     # A language's own texts weigh as much as all others together.
@@ -115,11 +133,12 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
 
 
 def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, lang_pred, score) and the kept columns for each row of docs; learn_from: condition on the rows of docs that may be learned from.
+    """(doc_id, lang_pred, score, known) and the kept columns for each row of docs; learn_from: condition on the rows of docs that may be learned from.
 
     score is the ridge regression's output of the predicted language, mapped from [-1, 1] to
-    [0, 1]; ties go to the first language by name. A null text, one without any letter, and every
-    text if there is no labelled row at all get `und` and score 0. Repeated rows are predicted
+    [0, 1]; ties go to the first language by name. known: whether enough of the text's distinct
+    n-grams are in the landmarks, by a bound from the sample (none if all of it are landmarks). A null text, one without any letter, and every
+    text if there is no labelled row at all get `und`, score 0 and not known. Repeated rows are predicted
     each; an empty table gives an empty result; other columns are not read. Texts are read
     whole. The sample that is learned from is bounded by PER_LANGUAGE and MAX_CHARS.
     """
@@ -128,23 +147,23 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     model = fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, values = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    def predict(texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        names, values, known = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
         able = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if shipped.value else []
         for a in range(0, len(able), BATCH):
             part = able[a : a + BATCH]
-            scores = shipped.value.scores([texts[i] for i in part])
-            for i, row, best in zip(part, scores, scores.argmax(axis=1)):
-                names[i], values[i] = shipped.value.languages[best], float(min(1.0, max(0.0, (row[best] + 1) / 2)))
-        return names, values
+            scores, enough = shipped.value.scores_and_known([texts[i] for i in part])
+            for i, row, best, holds in zip(part, scores, scores.argmax(axis=1), enough):
+                names[i], values[i], known[i] = shipped.value.languages[best], float(min(1.0, max(0.0, (row[best] + 1) / 2))), bool(holds)
+        return names, values, known
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, values = predict(batch.column(1).to_pylist())
+            names, values, known = predict(batch.column(1).to_pylist())
             kept = batch.columns[2:]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64()), *kept], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(known, pa.bool_()), *kept], [f.name for f in schema])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
-    added = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    added = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("known", T.BooleanType())
     schema = T.StructType([own.schema["doc_id"], *added, *own.schema.fields[2:]])
     return own.mapInArrow(run, schema)
