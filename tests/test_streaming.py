@@ -1,13 +1,13 @@
 """The event operators on real streams from files."""
 
 import time
+from datetime import datetime, timedelta
 
-import pytest
 from pyspark.sql import functions as F
 
 from vellum.streaming import events as stream
 
-SCHEMA = "analysis_id string, seq long, type string, key string, payload string"
+SCHEMA = "analysis_id string, seq long, type string, key string, payload string, ts timestamp"
 
 
 def drain(frame, spark, name, mode):
@@ -19,22 +19,55 @@ def drain(frame, spark, name, mode):
         q.stop()
 
 
+def at(minute):
+    return datetime(2024, 1, 1) + timedelta(minutes=minute)
+
+
 def write_events(spark, path, rows):
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    time.sleep(1.1)  # files of one stream are read by their times
+
+
+def events_of(spark, path):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path).withWatermark("ts", "5 minutes")
 
 
 def test_fold_stream_matches_batch(spark, tmp_path):
     path = str(tmp_path / "events")
-    first = [("a", 1, "stage", None, "parse"), ("a", 2, "finding", "f1", None), ("a", 3, "finding", "f1", None)]
-    write_events(spark, path, first)
-    frame = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path)
-    time.sleep(1)
-    write_events(spark, path, [("a", 4, "finding", "f2", None), ("a", 5, "stage", None, "score"), ("a", 6, "done", None, None)])
-    rows = drain(stream.fold_stream(frame), spark, "fold", "update")
-    last = max(rows, key=lambda r: r.n_events)
-    batch = stream.fold_batch(spark.read.schema(SCHEMA).parquet(path)).first()
-    assert (last.n_events, last.n_findings, last.stage, last.done) == (6, 2, "score", 1)
-    assert (batch.n_events, batch.n_findings, batch.stage, batch.done) == (6, 2, "score", 1)
+    write_events(spark, path, [("a", 1, "stage", None, "parse", at(0)), ("a", 2, "finding", "f1", None, at(0)), ("a", 3, "finding", "f1", None, at(1))])
+    write_events(spark, path, [("a", 4, "finding", "f2", None, at(2)), ("a", 5, "stage", None, "score", at(2)), ("a", 6, "done", None, None, at(3)), ("b", 1, "stage", None, "parse", at(3))])
+    write_events(spark, path, [("b", 2, "finding", "f9", None, at(4)), ("b", 3, "reset", None, None, at(4)), ("b", 4, "stage", None, "again", None)])
+    rows = drain(stream.fold_stream(events_of(spark, path)), spark, "fold", "update")
+    last = {k: [r for r in rows if r.analysis_id == k][-1] for k in ("a", "b")}
+    batch = {r.analysis_id: r for r in stream.fold_batch(spark.read.schema(SCHEMA).parquet(path)).collect()}
+    for found in (last, batch):
+        assert (found["a"].n_events, found["a"].n_findings, found["a"].stage, found["a"].done) == (6, 2, "score", 1)
+        assert (found["b"].n_events, found["b"].n_findings, found["b"].stage, found["b"].done) == (1, 0, "again", 0)
+
+
+def test_fold_stream_drops_idle_state(spark, tmp_path):
+    path = str(tmp_path / "idle")
+    for minute, key in ((0, "a"), (10, "a"), (200, "b"), (201, "b"), (202, "a")):
+        write_events(spark, path, [(key, minute, "stage", None, "x", at(minute))])
+    rows = drain(stream.fold_stream(events_of(spark, path), "30 minutes"), spark, "idle", "update")
+    assert [r.n_events for r in rows if r.analysis_id == "a"] == [1, 2, 1]
+    assert [r.n_events for r in rows if r.analysis_id == "b"] == [1, 2]
+
+
+def test_start_once(spark, tmp_path):
+    path = str(tmp_path / "starts")
+    for minute, key in ((0, "a"), (0.5, "a"), (0.5, "b"), (30, "c"), (31, "d"), (31, "a")):
+        write_events(spark, path, [(key, 0, "start", None, None, at(minute))])
+    frame = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(path).select("analysis_id", "ts")
+    rows = drain(stream.start_once(frame), spark, "starts", "append")
+    assert sorted((r.analysis_id, r.ts) for r in rows) == [("a", at(0)), ("a", at(31)), ("b", at(0.5)), ("c", at(30)), ("d", at(31))]
+
+
+def test_replay_and_cancel(spark):
+    log = spark.createDataFrame([("a", 1, "stage", 100), ("a", 2, "category", 400), ("a", 3, "finding-resolved", 500), ("a", 4, "cancel", 9400), ("a", 5, "category", 9500), ("b", 1, "stage", 7)], "analysis_id string, seq long, type string, at long")
+    played = stream.replay(log, pace=2.0).orderBy("analysis_id", "seq").collect()
+    assert [(r.seq, r.play_at) for r in played] == [(1, 0), (2, 150), (4, 2150), (5, 2200), (1, 0)]
+    assert [(r.analysis_id, r.seq) for r in stream.before_cancel(log).orderBy("analysis_id", "seq").collect()] == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
 
 
 def test_tumbling_limit_streams(spark, sf_dir, tmp_path):
