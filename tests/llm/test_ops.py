@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -68,9 +70,81 @@ def test_html_never_fails(page):
     html_text.main_blocks(page)
 
 
-def test_html_null_and_empty_pages(spark):
-    rows = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<article><p>x</p></article>")], "page_id long, url string, html string")
-    assert {(r.page_id, r.text, r.n_chars) for r in html_text.extract_text(rows).collect()} == {(1, "", 0), (2, "", 0), (None, "x", 1)}
+def test_html_null_repeated_and_clashing(spark):
+    page = "<article><p>x</p></article>"
+    rows = spark.createDataFrame([(1, "u", None, "t", 9), (2, None, "", "t", 9), (None, "u", page, None, 9), (3, "v", page, "t", None), (3, "v", page, "t", None)], "page_id long, url string, html string, text string, n_chars int")
+    assert Counter((r.page_id, r.url, r.text, r.n_chars) for r in html_text.extract_text(rows).collect()) == Counter([(1, "u", "", 0), (2, None, "", 0), (None, "u", "x", 1), (3, "v", "x", 1), (3, "v", "x", 1)])
+
+
+class _Article(HTMLParser):
+    """What a plain parser finds inside the article of the generated pages."""
+
+    def __init__(self):
+        super().__init__()
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, _attributes):
+        self.inside = self.inside or tag == "article"
+        self.blocks += [""] if tag in ("p", "h1", "ul", "li", "article") else []
+        self.blocks[-1] += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        self.blocks += [""] if tag in ("p", "h1", "ul", "li", "article") else []
+        self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.blocks[-1] += data if self.inside else ""
+
+
+def test_html_equals_a_plain_parser_on_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r.text for r in html_text.extract_text(pages).collect()}
+    rows = pages.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        parser = _Article()
+        parser.feed(r.html or "")
+        parser.close()
+        assert got[r.page_id] == "\n".join(t for t in (" ".join(b.split()) for b in parser.blocks) if t)
+
+
+PROSE = "The quick brown fox is in the garden of the house and it was there for all of the day, as it is with the foxes that we have. " * 2
+OTHER = {
+    "ru": "Быстрая коричневая лиса прыгает через ленивую собаку, которая спит у старого дома возле тихой реки. " * 3,
+    "ja": "敏捷な茶色の狐は、のんびりした犬を飛び越えて、古い家のそばの静かな川まで走って行きました。" * 5,
+    "fi": "Nopea ruskea kettu hyppäsi laiskan koiran yli ja juoksi vanhan talon ohi joelle asti ennen iltaa. " * 3,
+}
+
+
+@pytest.mark.parametrize("lang", OTHER)
+def test_html_in_languages_without_stop_words(lang):
+    text = OTHER[lang].strip()
+    page = f"<body><div><a href=/>Home</a></div><div><p>{text}</p><p>OK</p><p>{text}</p></div><div class='footer'>2024</div></body>"
+    assert html_text.main_blocks(page) == [text, "OK", text]
+
+
+def test_html_class_names_are_votes():
+    text = PROSE.strip()
+    notice = "<div class='cookie-notice'><p>We use cookies for all of it, and that is that for you and the site of ours.</p></div>"
+    assert html_text.main_blocks(f'<div class="social-policy-article"><p>{text}</p></div>') == [text]
+    assert html_text.main_blocks(f"<article><p>{text}</p><div class='legal-analysis'><h2>Law</h2><p>{text[:120]}</p></div><section id=notice-board><p>{text}</p></section>{notice}</article>") == [text, "Law", text[:120].strip(), text]
+    assert html_text.main_blocks(f"<form id=page><p>{text}</p><p>More of it.</p></form>") == [text, "More of it."]
+    assert html_text.main_blocks(f"<div><p>{text}</p></div><div class='comments'><p>{text}</p></div><form><p>{text}</p></form>{notice}") == [text]
+    assert html_text.main_blocks(f"<nav>{text}</nav><footer>{text}</footer><div class=comments>{text}</div>") == []
+
+
+def test_html_keeps_facts_between_paragraphs():
+    facts = "Zephyr 4400 rpm, Bosch gearbox, Kevlar casing, steel axle, rubber wheels, chrome bumper, leather seats"
+    assert html_text.main_blocks(f"<div><p>{PROSE}</p><ul><li>{facts}</li></ul><p>{PROSE}</p></div>") == [PROSE.strip(), facts, PROSE.strip()]
+
+
+@pytest.mark.parametrize("unit", ["<div>|</p>", "<b>|</i>", '<a "|', '<a x="|', "<![CDATA[|", "<title>|", "<b>|<p></p>", "<i><div>|<b>|</i>", "<|", "<li><dd>|", "<script></script|"])
+def test_html_takes_linear_time(unit):
+    parts = unit.split("|")
+    page = "".join(x * (300_000 // len(unit)) for x in parts if x)
+    began = time.perf_counter()
+    html_text.main_blocks(page)
+    assert time.perf_counter() - began < 5
 
 
 # 2: secrets
