@@ -16,7 +16,7 @@ import xxhash
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, html_text, language, lm, mixing, queries, secrets, simhash, tokens, topk
+from vellum.llm import chat, decontaminate, html_text, language, lm, mixing, queries, secrets, simhash, tokens, topk, trigrams
 from vellum.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, kinds int"
@@ -170,11 +170,71 @@ def test_secrets_match_brute_force(spark, sf_dir):
     assert [found[i] for i in range(len(texts))] == [",".join(brute_secrets(t)) for t in texts]
 
 
-def test_secret_rules_need_their_trigrams():
-    for rule in secrets.RULES:
-        for branch, text in zip(secrets.trigram_query(rule), rule.literals):
-            assert all(g in text for g in branch)
-    assert secrets.trigram_query(secrets.BASE_RULES[2]) == []
+def _random_pattern(rng, depth=0):
+    """A regular expression that Java and Python read alike."""
+    letters = lambda: "".join(rng.choice("abB") for _ in range(rng.randint(1, 4)))
+    parts = []
+    for _ in range(rng.randint(1, 4)):
+        kind = rng.randrange(7 if depth < 2 else 3)
+        one = letters() if kind < 2 else rng.choice(["[ab]", "[a-z]", ".", "[^a]", r"\b"]) if kind == 2 else f"({_random_pattern(rng, depth + 1)})" if kind < 5 else f"(?:{_random_pattern(rng, depth + 1)}|{_random_pattern(rng, depth + 1)})" if kind == 5 else f"(?i:{letters()})"
+        if kind != 2 or one != r"\b":
+            one = f"(?:{one})" + rng.choice(["", "", "", "?", "+", "*", "{2}", "{1,3}", "{0,2}"] if depth == 0 or kind < 2 else ["", "?"])
+        parts.append(one)
+    return "".join(parts)
+
+
+def test_trigram_queries_lose_no_match():
+    rng = random.Random(8)
+    seen = 0
+    for _ in range(600):
+        pattern = _random_pattern(rng)
+        query = trigrams.trigram_query(pattern)
+        for _ in range(100):
+            text = "".join(rng.choice("aaabbbB") for _ in range(rng.randint(0, 12)))
+            if (m := re.search(pattern, text)) and query:
+                held = m[0].lower()
+                assert any(all(g in held for g in branch) for branch in query), (pattern, text, query)
+                seen += 1
+    assert seen > 300
+
+
+def test_trigram_queries_are_derived_from_the_pattern():
+    assert trigrams.trigram_query("supersecretkey[^a]") == [sorted({"supersecretkey"[i : i + 3] for i in range(12)})]
+    assert trigrams.trigram_query("a?bcd(ef|gh)+") == [["bcd", "cde", "def"], ["bcd", "cdg", "dgh"]]
+    assert trigrams.trigram_query("(abc)*d") == trigrams.trigram_query("[0-9a-f]{24,}") == trigrams.trigram_query("abc|x") == trigrams.trigram_query(r"\p{L}abc") == []
+    assert len(trigrams.trigram_query(secrets.BASE_RULES[0].pattern)) == 6
+
+
+def test_rules_of_any_kind_equal_a_full_scan(spark):
+    rng = random.Random(9)
+    rules = [secrets.Rule(f"r{i}", p) for i, p in enumerate(p for p in (_random_pattern(rng) for _ in range(60)) if not re.match(f"(?:{p})$", "") and not re.search(p, "-"))][:12]
+    texts = ["".join(rng.choice("aaabbbBc -") for _ in range(rng.randint(0, 16))) for _ in range(150)]
+    whole = [[f"{r.kind}:{m.start()}:{m.end()}" for m in re.finditer(r.pattern, t, re.ASCII)] for t in texts for r in rules]
+    found = {r.doc_id: r.s or "" for r in secrets.scan_secrets(docs_of(spark, texts), rules=rules).select("doc_id", secrets.spans_text(F.col("spans")).alias("s")).collect()}
+    for i in range(len(texts)):
+        want = sorted(x for one in whole[i * len(rules) : (i + 1) * len(rules)] for x in one)
+        assert sorted(filter(None, found[i].split(","))) == want
+
+
+def test_secrets_beyond_the_broadcast(spark, monkeypatch):
+    texts = ["token=abcdefgh", "clean", None, "AKIA" + "A" * 16] * 5
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scan = lambda: Counter((r.doc_id, r.text, r.s) for r in secrets.scan_secrets(docs).select("doc_id", "text", secrets.spans_text(F.col("spans")).alias("s")).collect())
+    want = Counter((i, t or "", ",".join(brute_secrets(t or ""))) for i, t in rows)
+    assert scan() == want
+    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    assert scan() == want
+
+
+def test_a_hundred_thousand_secrets_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "".join(f"é {i} password=hunter{i:06d} " for i in range(n)))], "doc_id long, text string")
+    began = time.perf_counter()
+    found = secrets.scan_secrets(docs, rules=secrets.BASE_RULES)
+    row = found.select(F.size("spans").alias("n"), secrets.redact(F.col("text"), F.col("spans")).alias("x")).first()
+    assert row.n == n and row.x == "".join(f"é {i} [assign] " for i in range(n))
+    assert time.perf_counter() - began < 120
 
 
 def test_extra_rules_only_add(spark):
@@ -189,6 +249,24 @@ def test_redaction(spark):
     assert got == ["a [assign] b", "clean", "ééé [assign]"]
 
 
+def test_redaction_of_overlapping_and_long_spans(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 8)
+    monkeypatch.setattr(secrets, "BLOCK", 2)
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcé😀") for _ in range(40))
+        spans = sorted((a, k, min(40, a + rng.randint(1, 15)), f"k{k}") for k in range(3) for a in rng.sample(range(40), rng.randint(0, 3)))
+        out, at = "", 0
+        for a, _, b, kind in spans:
+            if a >= at:
+                out += text[at:a] + f"[{kind}]"
+            at = max(at, b)
+        rows.append((i, text, spans, out + text[at:]))
+    frame = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,ord:int,end:int,kind:string>>, want string")
+    assert frame.filter(secrets.redact(F.col("text"), F.col("spans")) != F.col("want")).count() == 0
+
+
 # 3: decontamination
 
 

@@ -17,7 +17,7 @@ from vellum.llm.html_text import extract_text
 from vellum.llm.language import identify_languages
 from vellum.llm.lm import score_documents
 from vellum.llm.mixing import mix_sources
-from vellum.llm.secrets import BASE_RULES, scan_secrets, spans_text
+from vellum.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, spans_text
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.tokens import count_tokens
 from vellum.llm.topk import exact_topk, quantised
@@ -126,5 +126,23 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - flo
 }
 
 
+def _rule_sql(order: int, rule: Rule) -> str:
+    """Spans of one rule by running sums of the lengths of matches and of the text between them."""
+    pattern = "'" + rule.pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''") + "'"
+    return f"""SELECT rid, {order} AS ord, '{rule.kind}' AS kind, start, start + len AS stop FROM (
+  SELECT rid, unnest(m) AS m, unnest(list_transform(m, lambda x: length(x))) AS len, unnest(list_transform(h, lambda x: length(x))) AS held,
+    unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS start
+  FROM (SELECT rid, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {rule.group}) AS h, string_split_regex(t, {pattern}) AS g FROM d WHERE regexp_matches(t, {pattern}))) WHERE held >= {rule.min_chars}"""
+
+
+def _secrets_sql() -> str:
+    spans = " UNION ALL ".join(_rule_sql(i, r) for i, r in enumerate(RULES))
+    listed = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord){0}, '')".format
+    counts = ", ".join(f"count(CASE WHEN kind = '{r.kind}' THEN 1 END) AS n_{r.kind}" for r in BASE_RULES)
+    base = listed(f" FILTER (WHERE ord < {len(BASE_RULES)})")
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents), s AS ({spans})
+SELECT any_value(doc_id) AS doc_id, {counts}, sha256({base}) AS base_sha256, {listed("")} AS spans FROM d LEFT JOIN s USING (rid) GROUP BY rid"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {"op2_secrets": _secrets_sql()}
