@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import table, written
+from vellum.llm.common import meet, table, written
 from vellum.llm.decontaminate import decontaminate
 from vellum.llm.language import UNKNOWN, identify_languages
 from vellum.llm.mixing import mixed_documents
@@ -18,38 +18,46 @@ LEAST_SCORE = 0.25
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letter, that hold too few n-grams of the learned languages, or that no language claims."""
+    """Rejects documents without any letter, that hold too few n-grams of the learned languages, or that no language claims.
+
+    A null or empty text has no letter and goes; a null id, lang or source doesn't matter. Each of
+    repeated rows is judged like the others. Without any labelled row, and in an empty table, none is kept.
+    """
     found = identify_languages(docs, keep=COLUMNS[1:])
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("known")).select(*COLUMNS)
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """docs with __row, which tells rows apart by id and text, for ids may be null or repeated; null ids come last."""
-    return docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
-
-
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; rows that repeat an id and a text are one document."""
-    rows = _rows(docs)
+    """Keeps the document of the smallest id of each group.
+
+    A row is told by its id and text, for ids may be null or repeated; null ids come last. Rows that
+    repeat both are one document, of which the one with the least other columns stays. Texts are
+    shuffled for such rows alone; what goes is told by a broadcast, up to a checked number.
+    """
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
+    rows = rows.withColumn("__key", F.xxhash64("__row"))
     groups = near_duplicates(rows, id_col="__row")
-    dropped = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__of")).distinct()
-    kept = rows.join(dropped, rows["__row"].eqNullSafe(dropped["__of"]), "left_anti")
-    return kept.dropDuplicates(["__row"]).select(*COLUMNS)
+    dropped = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
+    marks = written(groups.select(F.xxhash64("doc_id").alias("__key"), dropped.alias("drop")).groupBy("__key").agg(F.max("drop").alias("__drop"), F.count("*").alias("n")).filter("__drop or n > 1").drop("n"))
+    marked = meet(rows, marks, "__key")
+    once = marked.filter("__drop is null").select(*COLUMNS)
+    repeated = marked.filter("not __drop").groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return once.union(repeated)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    return decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), id_col="__row").select(*COLUMNS)
+    """Drops documents that hold a benchmark item of five words or more; each row goes by its own text. Null and empty texts stay; no item, or no document, changes nothing."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by its kind in brackets; the documents stay."""
+    """Replaces every secret by its kind in brackets; every row stays, repeated ones too. A null text becomes empty."""
     found = scan_secrets(docs, keep=["lang", "source"]).withColumn("text", redact(F.col("text"), F.col("spans")))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source comes near its target."""
+    """Repeats or drops documents so that each source comes near its target; copy_no is added. A null source is one of its own; rows that repeat an id share its decision."""
     return mixed_documents(docs)
 
 
