@@ -20,7 +20,7 @@ def known_section(norm: Column) -> Column:
     """The section of a normalised heading by its exact name, or null."""
     found = F.when(F.lit(False), F.lit(""))
     for section, names in P.HEADINGS.items():
-        found = found.when(norm.isin(*names.split("; ")), section)
+        found = found.when(norm.isin(*names), section)
     return found
 
 
@@ -28,7 +28,7 @@ def matched_section(norm: Column) -> Column:
     """By exact name, else by a name of six letters or more that starts or ends a heading not much longer; first name wins."""
     loose = []
     for section, names in P.HEADINGS.items():
-        for name in (n for n in names.split("; ") if len(n) >= 6):
+        for name in (n for n in names if len(n) >= 6):
             fits = (F.length(norm) <= len(name) + 14) & (norm.startswith(f"{name} ") | norm.endswith(f" {name}"))
             loose.append(F.when(fits, section))
     return F.coalesce(known_section(norm), F.when(F.length(norm) > 6, F.coalesce(*loose)))
