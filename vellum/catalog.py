@@ -36,16 +36,8 @@ def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_lines(table(spark, sf_dir, "documents"))
 
 
-def _plain_terms(spark: SparkSession) -> DataFrame:
-    return default_terms(spark).filter(~F.col("term").isin(*oracle.SPECIAL) & (F.col("term") != "node.js"))
-
-
-def _plain_targets(spark: SparkSession) -> DataFrame:
-    return default_targets(spark).filter(~F.col("term").isin(*oracle.SPECIAL))
-
-
 def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^• ", ""))
+    return corpus_lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", P.BULLET_GLYPH, ""))
 
 
 def _rule(spark: SparkSession, sf_dir: str, rule: str) -> DataFrame:
@@ -136,19 +128,19 @@ def q_shapes(spark, sf_dir):
 
 @query
 def q_keyword_hits(spark, sf_dir):
-    return keyword_hits(_text_lines(spark, sf_dir), _plain_terms(spark)).groupBy("doc_id", "term").agg(F.sum("hits").alias("hits"), F.count("*").alias("n_lines"))
+    return keyword_hits(_text_lines(spark, sf_dir), default_terms(spark)).groupBy("doc_id", "term").agg(F.sum("hits").alias("hits"), F.count("*").alias("n_lines"))
 
 
 @query
 def q_match_percent(spark, sf_dir):
-    return match_percent(match_targets(_text_lines(spark, sf_dir), _plain_terms(spark), _plain_targets(spark)))
+    return match_percent(match_targets(_text_lines(spark, sf_dir), default_terms(spark), default_targets(spark)))
 
 
 @query
 def q_overused(spark, sf_dir):
     lines = _text_lines(spark, sf_dir)
     words = lines.groupBy("doc_id").agg(F.sum(count_words(F.col("text"))).alias("words"))
-    return overused(match_targets(lines, _plain_terms(spark), _plain_targets(spark)), words)
+    return overused(match_targets(lines, default_terms(spark), default_targets(spark)), words)
 
 
 @query
@@ -158,7 +150,7 @@ def q_implications(spark, sf_dir):
 
 @query
 def q_supported(spark, sf_dir):
-    matches = match_targets(_text_lines(spark, sf_dir), _plain_terms(spark), _plain_targets(spark))
+    matches = match_targets(_text_lines(spark, sf_dir), default_terms(spark), default_targets(spark))
     return matches.filter("hits = 0").select("doc_id", "term", "weight", "supported_by")
 
 
@@ -401,18 +393,20 @@ def q_export(spark, sf_dir):
 
 @query
 def q_history(spark, sf_dir):
+    """Orders stand for stored documents: those that are filled have an analysis; those of an urgent priority were removed."""
     orders = table(spark, sf_dir, "orders")
     ids = orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("doc_id"))
-    docs = orders.filter("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("doc_id"))
-    analyses = orders.filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 100).cast("int").alias("score"))
+    docs = orders.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("doc_id"))
+    analyses = orders.filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("doc_id"), F.floor(F.col("o_totalprice") / 1000).cast("int").alias("score"))
     return store.history(ids, docs, analyses).select("session_id", "doc_id", "score")
 
 
 @query
 def q_compare_runs(spark, sf_dir):
+    """Two runs over all parts: the largest size of each brand and manufacturer, and its highest price in hundreds, where there is one above half of all."""
     part = table(spark, sf_dir, "part")
-    run = lambda n: part.filter(F.col("p_partkey") % n == 0).groupBy((F.col("p_partkey") % 100).alias("doc_id"), F.col("p_brand").alias("category")).agg(F.max("p_size").cast("int").alias("score"))
-    return store.compare_runs(run(2), run(3))
+    run = lambda value, least: part.groupBy(F.col("p_brand").alias("doc_id"), F.col("p_type").alias("category")).agg(F.max(value).cast("int").alias("score")).filter(F.col("score") >= least)
+    return store.compare_runs(run(F.col("p_size"), 25), run(F.floor(F.col("p_retailprice") / 100), 11))
 
 
 def queries() -> dict[str, Query]:

@@ -72,20 +72,24 @@ CTE = {
     "edu_prose": "SELECT c.doc_id, c.line_no, c.text FROM corpus c JOIN bounds b USING (doc_id) WHERE c.line_no > b.edu_at + 1",
     "prose": "SELECT * FROM exp_prose UNION ALL SELECT * FROM sum_prose UNION ALL SELECT * FROM edu_prose",
     "term_form": "SELECT * FROM (VALUES "
-    + ", ".join(f"({lit(t)}, {lit(f)})" for t, _, aliases, _ in DEFAULT if t not in SPECIAL for f in (t, *aliases) if not f.endswith(".js"))
+    + ", ".join(f"({lit(t)}, {lit(f)})" for t, _, aliases, _ in DEFAULT if t not in SPECIAL for f in (t, *aliases))
     + ") AS v(term, form)",
     "hit": r"""SELECT doc_id, line_no, term, len(regexp_extract_all(d, pat)) AS hits FROM (SELECT doc_id, line_no, regexp_replace(lower(regexp_replace(text, '^• ', '')), '([^a-z0-9+#])', '\1\1', 'g') AS d FROM corpus),
-  (SELECT term, '(?:' || string_agg('(^|[^a-z0-9])' || regexp_replace(regexp_replace(form, '([.*+?^${}()|\[\]\\/])', '\\\1', 'g'), ' ', '[\\s-]{2}', 'g') || '([^a-z0-9+#]|$)', '|') || ')' AS pat FROM term_form GROUP BY term) WHERE regexp_matches(d, pat)""",
+  (SELECT term, '(?:' || string_agg('(^|[^a-z0-9])' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(form, '([.*?^${}()|\[\]\\/])', '\\\1\\\1', 'g'), '\+', '\\+', 'g'), '\\\.\\\.js$', '(?:\\.\\.js|js)?'), ' ', '[\\s-]{2}', 'g') || '([^a-z0-9+#]|$)', '|') || ')' AS pat FROM term_form GROUP BY term) WHERE regexp_matches(d, pat)""",
     "implies": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {lit(i)})" for t, _, _, implied in DEFAULT for i in implied) + ") AS v(term, implied)",
-    "target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS if t not in SPECIAL) + ") AS v(term, weight)",
-    # Written as a technology is: R and C not beside a-z, 0-9 (nor + or # after); every position is looked at.
-    "all_target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS) + ") AS v(term, weight)",
-    "all_hit": r"""SELECT doc_id, term, sum(hits) AS hits FROM (SELECT doc_id, term, hits FROM hit UNION ALL SELECT doc_id, 'r', len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, 1) = 'R' AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(text, i + 1, 1), '[a-z0-9+#]'))) FROM corpus WHERE text LIKE '%R%')
-  GROUP BY doc_id, term HAVING sum(hits) > 0""",
+    "target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS) + ") AS v(term, weight)",
+    # The case-sensitive terms may stand inside longer words: not beside a-z or 0-9, nor + or # after.
+    "all_hit": "SELECT doc_id, line_no, term, sum(hits) AS hits FROM (SELECT doc_id, line_no, term, hits FROM hit UNION ALL "
+    + " UNION ALL ".join(
+        f"SELECT doc_id, line_no, '{term}', len(list_filter(range(1, length(text) + 1), lambda i: substr(text, i, {len(form)}) = '{form}' AND NOT (i > 1 AND regexp_matches(substr(text, i - 1, 1), '[a-z0-9]')) AND NOT regexp_matches(substr(text, i + {len(form)}, 1), '[a-z0-9+#]'))) FROM corpus WHERE text LIKE '%{form}%'"
+        for term, form in (("r", "R"), ("c", "C"), ("go", "Go"), ("go", "Golang"), ("go", "golang"))
+    )
+    + ") GROUP BY doc_id, line_no, term HAVING sum(hits) > 0",
+    "doc_hit": "SELECT doc_id, term, sum(hits) AS hits, count(*) AS n_lines FROM all_hit GROUP BY doc_id, term",
     "doc_words": f"SELECT doc_id, count(*) AS n_lines, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id",
     "keyword_score": """SELECT d.doc_id, greatest(0, floor(round(100.0 * sum(CASE WHEN h.term IS NULL THEN 0 ELSE t.weight END) / sum(t.weight))
     - least(9, 3 * count(CASE WHEN h.hits > greatest(4, round(greatest(50, d.words) / 120.0)) THEN 1 END)) + 0.5)) AS score
-  FROM doc_words d CROSS JOIN all_target t LEFT JOIN all_hit h ON h.doc_id = d.doc_id AND h.term = t.term GROUP BY d.doc_id""",
+  FROM doc_words d CROSS JOIN target t LEFT JOIN doc_hit h ON h.doc_id = d.doc_id AND h.term = t.term GROUP BY d.doc_id""",
     "impact_score": "SELECT doc_id, least(CASE WHEN count(*) < 3 THEN 60 ELSE 100 END, floor(sum(verb + metric + outcome) / (3.0 * count(*)) * 100 + 0.5)) AS score FROM strength GROUP BY doc_id",
     "headed": f"""SELECT doc_id, entry, bool_or(dated) AS dated, max(CASE WHEN dated THEN {extract('raw', P.DATE_RANGE)} ELSE '' END) AS dates, count(CASE WHEN NOT is_header THEN 1 END) AS n_bullets FROM exp_entry WHERE entry > 0 GROUP BY doc_id, entry""",
     "structure_score": f"""SELECT b.doc_id, greatest(0, 100 - (CASE WHEN b.edu_at = 1000000 THEN 15 ELSE 0 END + CASE WHEN b.skills_at IS NULL THEN 15 ELSE 0 END + CASE WHEN b.doc_id % 6 = 0 THEN 8 ELSE 0 END
@@ -123,7 +127,7 @@ CTE = {
 NEEDS = {
     "bounds": ("corpus",), "exp_line": ("corpus", "bounds"), "exp_mark": ("exp_line",), "exp_entry": ("exp_mark",), "work": ("exp_entry",), "strength": ("work",), "exp_prose": ("exp_entry",),
     "sum_prose": ("corpus", "bounds"), "edu_prose": ("corpus", "bounds"), "prose": ("exp_prose", "sum_prose", "edu_prose"), "hit": ("corpus", "term_form"),
-    "all_hit": ("corpus", "hit"), "doc_words": ("corpus",), "keyword_score": ("doc_words", "all_target", "all_hit"), "impact_score": ("strength",), "headed": ("exp_entry",),
+    "all_hit": ("corpus", "hit"), "doc_hit": ("all_hit",), "doc_words": ("corpus",), "keyword_score": ("doc_words", "target", "doc_hit"), "impact_score": ("strength",), "headed": ("exp_entry",),
     "structure_score": ("bounds", "doc_words", "exp_entry", "headed"), "opener": ("work",), "writing_cost": ("work", "prose", "opener"), "writing_score": ("doc_words", "writing_cost"),
     "contact_score": ("corpus", "bounds"), "score": ("doc_words", "keyword_score", "impact_score", "structure_score", "writing_score", "contact_score"),
 }
@@ -196,25 +200,25 @@ SELECT doc_id, word, n, third::INT AS third FROM g WHERE n >= 3 AND NOT weak""",
         "work",
     ),
     "q_shapes": sql(f" SELECT doc_id, {_SHAPE} AS shape, count(*) AS n FROM work GROUP BY doc_id, shape", "work"),
-    "q_keyword_hits": sql(" SELECT doc_id, term, sum(hits)::BIGINT AS hits, count(*) AS n_lines FROM hit GROUP BY doc_id, term", "hit"),
+    "q_keyword_hits": sql(" SELECT doc_id, term, hits::BIGINT AS hits, n_lines FROM doc_hit", "doc_hit"),
     "q_match_percent": sql(
-        ", present AS (SELECT DISTINCT doc_id, term FROM hit) SELECT d.doc_id, round(100.0 * sum(CASE WHEN p.term IS NULL THEN 0 ELSE t.weight END) / sum(t.weight))::INT AS percent FROM (SELECT DISTINCT doc_id FROM corpus) d, target t LEFT JOIN present p ON p.doc_id = d.doc_id AND p.term = t.term GROUP BY d.doc_id",
-        "hit", "target",
+        ", present AS (SELECT doc_id, term FROM doc_hit) SELECT d.doc_id, round(100.0 * sum(CASE WHEN p.term IS NULL THEN 0 ELSE t.weight END) / sum(t.weight))::INT AS percent FROM (SELECT DISTINCT doc_id FROM corpus) d, target t LEFT JOIN present p ON p.doc_id = d.doc_id AND p.term = t.term GROUP BY d.doc_id",
+        "doc_hit", "target",
     ),
     "q_overused": sql(
-        f""", h AS (SELECT doc_id, term, sum(hits) AS hits FROM hit GROUP BY doc_id, term), n AS (SELECT doc_id, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id)
+        f""", h AS (SELECT doc_id, term, hits FROM doc_hit), n AS (SELECT doc_id, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id)
 SELECT doc_id, term, hits::BIGINT AS hits, greatest(4, round(greatest(50, words) / 120.0))::INT AS most FROM h JOIN target USING (term) JOIN n USING (doc_id) WHERE hits > greatest(4, round(greatest(50, words) / 120.0))""",
-        "hit", "target",
+        "doc_hit", "target",
     ),
     "q_implications": sql(
         " , closure AS (SELECT term, implied, 1 AS hops FROM implies UNION ALL SELECT c.term, i.implied, c.hops + 1 FROM closure c JOIN implies i ON c.implied = i.term WHERE c.hops < 3) SELECT term, implied, min(hops)::INT AS hops FROM closure GROUP BY term, implied",
         "implies",
     ),
     "q_supported": sql(
-        """, closure AS (SELECT term, implied, 1 AS hops FROM implies UNION ALL SELECT c.term, i.implied, c.hops + 1 FROM closure c JOIN implies i ON c.implied = i.term WHERE c.hops < 3), present AS (SELECT DISTINCT doc_id, term FROM hit),
+        """, closure AS (SELECT term, implied, 1 AS hops FROM implies UNION ALL SELECT c.term, i.implied, c.hops + 1 FROM closure c JOIN implies i ON c.implied = i.term WHERE c.hops < 3), present AS (SELECT doc_id, term FROM doc_hit),
 missing AS (SELECT d.doc_id, t.term, t.weight FROM (SELECT DISTINCT doc_id FROM corpus) d, target t WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.doc_id = d.doc_id AND p.term = t.term))
 SELECT m.doc_id, m.term, m.weight::INT AS weight, string_agg(DISTINCT p.term, ',' ORDER BY p.term) AS supported_by FROM missing m LEFT JOIN closure c ON c.implied = m.term LEFT JOIN present p ON p.doc_id = m.doc_id AND p.term = c.term GROUP BY m.doc_id, m.term, m.weight""",
-        "hit", "target", "implies",
+        "doc_hit", "target", "implies",
     ),
     "q_sections": sql(
         """, s AS (SELECT c.doc_id, CASE WHEN c.line_no > b.edu_at THEN 'education' WHEN c.line_no > b.exp_at THEN 'experience' WHEN c.line_no > b.skills_at THEN 'skills' WHEN c.line_no > b.sum_at THEN 'summary' ELSE 'contact' END AS section
@@ -286,7 +290,7 @@ u AS (SELECT doc_id, line_no, list_distinct(regexp_extract_all(text, '\[\[([^\]]
 n AS (SELECT *, CASE WHEN kind = 'same' AND lag(kind) OVER w = 'same' AND section = lag(section) OVER w THEN 0 ELSE 1 END AS fresh FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY hunk_ord)),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY hunk_ord) AS run FROM n) SELECT doc_id, run::INT AS hunk_ord, min(kind) AS kind, min(section) AS section, count(*) AS n FROM r GROUP BY doc_id, run""",
     "q_unreferenced": """SELECT o_custkey AS doc_id, count(*) AS n FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_custkey""",
-    "q_history": """SELECT session_id, doc_id, score FROM (SELECT o_custkey AS session_id, o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 100 END::INT AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 7 <> 0) WHERE k <= 30""",
-    "q_compare_runs": """WITH a AS (SELECT p_partkey % 100 AS doc_id, p_brand AS category, max(p_size)::INT AS score FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT p_partkey % 100 AS doc_id, p_brand AS category, max(p_size)::INT AS score FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
+    "q_history": """SELECT session_id, doc_id, score FROM (SELECT o_custkey AS session_id, o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'O' THEN floor(o_totalprice / 1000)::INT END AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders WHERE o_orderpriority <> '1-URGENT') WHERE k <= 30""",
+    "q_compare_runs": """WITH a AS (SELECT p_brand AS doc_id, p_type AS category, max(p_size)::INT AS score FROM part GROUP BY 1, 2 HAVING max(p_size) >= 25), b AS (SELECT p_brand AS doc_id, p_type AS category, max(floor(p_retailprice / 100))::INT AS score FROM part GROUP BY 1, 2 HAVING max(floor(p_retailprice / 100)) >= 11)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.category, b.category) AS category, coalesce(a.score, 0) AS before, coalesce(b.score, 0) AS after, coalesce(b.score, 0) - coalesce(a.score, 0) AS delta FROM a FULL JOIN b ON a.doc_id = b.doc_id AND a.category = b.category""",
 }
