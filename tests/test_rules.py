@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import findings, geometry, keywords, rewrite, score, sections, store
+from vellum.operators import findings, geometry, keywords, layout, rewrite, score, sections, store
 from vellum.operators.lines import classify_lines
-from vellum.plans.terms import default_terms
+from vellum.plans.terms import ROLES, default_terms
 from vellum.sources import text as source
+from vellum.sources.text import tag_texts
 
 STRENGTH = [
     ("Cut build minutes from 42 to 11 by caching layers.", 1, 1, 1),
@@ -145,8 +146,110 @@ def test_rewrites_add_no_number_of_their_own(spark):
     assert [r.number for r in rewrite.unsupported_numbers(new, old).collect()] == ["40"]
 
 
-def test_rewritten_bullet(spark):
-    assert one(spark, rewrite.rewritten_bullet(F.col("t")), t="Responsible for building various reports.") == "Built reports ([[number]]), [[result: what improved]]."
+def test_rewritten_bullets(spark):
+    cases = {
+        "Responsible for building various reports.": "Built reports used by [[number]] people, [[result: what improved and by how much]].",
+        "Helped the team with research": "Compiled research ([[quantity or scale]]), [[result: what improved and by how much]].",
+        "Worked on customer accounts": "Managed customer accounts across [[number]] accounts, [[result: what improved and by how much]].",
+        "Leveraged my dashboards, saving 40 hours": "Used dashboards, saving 40 hours.",
+        "Led a dynamic, robust rollout to 3 sites, cutting cost": "Led a rollout to 3 sites, cutting cost.",
+    }
+    assert {t: one(spark, rewrite.rewritten_bullet(F.col("t")), t=t) for t in cases} == cases
+    past = {"managing": "managed", "planning": "planned", "applying": "applied", "building": "built", "making": "made", "Report": "Report"}
+    assert {w: one(spark, rewrite.past_tense(F.col("w")), w=w) for w in past} == past
+    hints = {"Your Email": "name@example.com", "result: what": "cutting turnaround 30%", "number": "10", "Mon YYYY": "Jan 2020 – Dec 2022"}
+    assert {h: one(spark, rewrite.stand_in(F.col("h")), h=h) for h in hints} == hints
+
+
+def test_claims_are_checked_against_the_original(spark):
+    old = spark.createDataFrame([(1, 1, "Grew 3 stores to $1,200 in 2019 with Python, 40 percent up")], "doc_id int, line_no int, text string")
+    new = spark.createDataFrame([(1, 1, "Grew 3 stores by 41% to 1200 since 2021 [[12 of 9]]"), (1, 2, "Used Python and Docker for 40%"), (2, 1, "Saved 5k")], "doc_id int, line_no int, text string")
+    got = {(r.doc_id, r.line_no): (r.text, r.removed, r.rejected) for r in rewrite.checked_claims(new, old, default_terms(spark)).collect()}
+    assert got == {(1, 1): ("Grew 3 stores by [[number]] to 1200 since 2021 [[12 of 9]]", 1, []), (1, 2): ("Used Python and Docker for 40%", 0, ["docker"]), (2, 1): ("Saved [[number]]", 1, [])}
+    claims = spark.createDataFrame([(1, "a", "stores  TO $1,200"), (1, "b", "3 st"), (1, "c", "never said")], "doc_id int, term string, evidence string")
+    assert [r.term for r in rewrite.quoted_evidence(claims, old).collect()] == ["a"]
+
+
+def test_skills_are_grouped(spark):
+    few = [(1, i, x) for i, x in enumerate(["SQL", "sql ", "Excel", "Team player", ""])]
+    many = [(2, i, x) for i, x in enumerate(["Python", "Java", "C++", "SQL", "Databases", "Docker", "Kubernetes", "React", "Node", "Excel", "Juggling"])]
+    got = [(r.doc_id, r.label, r.text) for r in rewrite.grouped_skills(spark.createDataFrame(few + many, "doc_id int, ord int, item string"), default_terms(spark)).orderBy("doc_id", "ord").collect()]
+    assert got == [(1, "Skills", "SQL, Excel"), (2, "Languages", "Python, Java, C++"), (2, "Data", "SQL, Databases"), (2, "Infrastructure", "Docker, Kubernetes"), (2, "Also", "React, Node, Excel, Juggling")]
+    shown = {"ci/cd": "CI/CD", "machine learning": "Machine Learning", "client/server": "Client/Server"}
+    assert {t: one(spark, rewrite.shown_term(F.col("t")), t=t) for t in shown} == shown
+
+
+def test_rebuilt_documents_keep_their_lineage(spark, sf_dir):
+    from vellum.plans.tables import corpus_model
+
+    m = corpus_model(spark, sf_dir)
+    new = rewrite.rebuilt(m.lines, m.entries, default_terms(spark))
+    used = new.select("doc_id", F.explode("origins").alias("line_no")).distinct()
+    assert m.lines.filter("not opens").join(used, ["doc_id", "line_no"], "left_anti").count() == 0
+    assert new.groupBy("doc_id", "line_no").count().filter("count > 1").count() == 0
+    assert new.filter("kind = 'heading' and text = 'My Journey'").count() == 0
+
+
+def test_context_and_presets(spark):
+    docs = spark.createDataFrame([(i,) for i in range(1, 5)], "doc_id int")
+    described = spark.createDataFrame([(1, 100, 3), (2, 50, 9)], "doc_id int, length int, n_keywords int")
+    chosen, guess = spark.createDataFrame([(2, "nurse"), (3, "astronaut")], "doc_id int, role string"), spark.createDataFrame([(4, "data-analyst")], "doc_id int, role string")
+    got = {r.doc_id: (r.kind, r.role) for r in keywords.choose_context(docs, described, chosen, guess, ROLES).collect()}
+    assert got == {1: ("description", None), 2: ("role", "nurse"), 3: ("role", "general"), 4: ("inferred", "data-analyst")}
+    preset = {r.term: r.category for r in keywords.preset_keywords({"x": ((), (("ml", 2), ("sql", 3), ("welding", 1)))}, default_terms(spark)).collect()}
+    assert preset == {"machine learning": "data", "sql": "data", "welding": "role"}
+
+
+LAYOUT_ITEM = "doc_id int, stream_index int, text string, page int, x double, y double, w double, h double, source string, table_id string, row int, col int"
+
+
+def test_regions_by_place(spark):
+    rows = [(1, 0, "Ada Archer", 1, 0.1, 0.02, 0.2, 0.01), (1, 1, "Ada Archer", 2, 0.1, 0.02, 0.2, 0.01), (1, 2, "Once only", 3, 0.1, 0.02, 0.2, 0.01), (1, 3, "a@b.example", 3, 0.5, 0.02, 0.2, 0.01), (1, 4, "2", 2, 0.5, 0.96, 0.1, 0.01), (1, 5, "Body text at the foot", 2, 0.5, 0.96, 0.1, 0.01), (1, 6, "odd", 1, float("nan"), 0.5, 7.0, 0.01)]
+    items = spark.createDataFrame([(*r, "body", None, None, None) for r in rows], LAYOUT_ITEM)
+    got = {r.stream_index: (r.source, r.x, r.w) for r in layout.with_regions(items).collect()}
+    assert [got[i][0] for i in range(7)] == ["header", "header", "body", "header", "footer", "body", "body"] and got[6][1:] == (0.0, 1.0)
+
+
+def test_lost_contact_and_portfolio(spark):
+    line = "doc_id int, line_no int, text string, source string"
+    body = spark.createDataFrame([(1, 1, "Ada", "body"), (2, 1, "call 212 555 0100", "body"), (3, 1, "Bo", "body")], line)
+    contact = spark.createDataFrame([(i, None, None, p, None, None, None, None) for i, p in ((1, None), (2, "212 555 0100"), (3, None))], "doc_id int, name string, email string, phone string, location string, linkedin string, github string, website string")
+    items = [(1, 0, "a@b.example", 1, 0.1, 0.02, 0.2, 0.01, "header", None, None, None), (2, 0, "(212) 555-0100", 1, 0.1, 0.96, 0.2, 0.01, "footer", None, None, None), (3, 0, "github.com/bo", 1, 0.1, 0.3, 0.2, 0.01, "textbox", None, None, None)]
+    files = spark.createDataFrame([(i, "pdf", 10, 1) for i in (1, 2, 3)], "doc_id int, file_type string, file_size int, declared_columns int")
+    lay = layout.Layout(spark.createDataFrame(items, LAYOUT_ITEM), spark.createDataFrame([], "doc_id int, page int, description string"), files)
+    matches = spark.createDataFrame([(i, "git", 1, 0) for i in (1, 2, 3)], "doc_id int, term string, weight int, hits int")
+    m = findings.Model(body, None, contact, None, matches, lay)
+    assert {(r.doc_id, r.rule_id) for r in findings.lost_contact_findings(m).collect()} == {(1, "email-in-header"), (3, "github-in-textbox")}
+    known = {r.doc_id: (r.email, r.phone, r.github, r.asks_portfolio) for r in findings.known_contact(m).collect()}
+    assert known == {1: ("a@b.example", None, None, True), 2: (None, "212 555 0100", None, True), 3: (None, None, "github.com/bo", True)}
+
+
+def test_records_replace_share_and_change_hands(spark, tmp_path):
+    path = str(tmp_path / "kv")
+    store.put(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"), path, "anonymous")
+    store.put(spark.createDataFrame([("a", 3)], "id string, v int"), path, "saved")
+    assert {(r.kind, r.key, r.v) for r in store.current(spark.read.parquet(path)).collect()} == {("anonymous", "a", 1), ("anonymous", "b", 2), ("saved", "a", 3)}
+    store.put(spark.createDataFrame([("b", 5)], "id string, v int"), path, "anonymous")
+    assert {r.v for r in store.current(spark.read.parquet(path)).filter("kind = 'anonymous'").collect()} == {1, 5}
+    entries = spark.createDataFrame([("k", i, str(i)) for i in range(6)], "key string, seq int, value string")
+    assert [r.value for r in store.ranged(entries, 1, 3).orderBy("place").collect()] == ["4", "3", "2"]
+    shares = store.share_tokens(spark.createDataFrame([("d1",)], "id string"), "s", F.lit("2024-01-01").cast("timestamp"))
+    token = shares.first().token
+    asked = spark.createDataFrame([(token,), ("no",)], "token string")
+    at = lambda day: {r.token: r.id for r in store.resolve_tokens(asked, shares, F.lit(day).cast("timestamp")).collect()}
+    assert at("2024-01-20") == {token: "d1", "no": None} and at("2024-03-01") == {token: None, "no": None}
+    rows = spark.createDataFrame([("s1", None, 1), ("s2", None, 2)], "session_id string, owner_uid string, n int").withColumn("expires_at", F.lit("2020-01-01").cast("timestamp"))
+    got = {r.session_id: (r.owner_uid, r.late) for r in store.reown(rows, spark.createDataFrame([("s1", "u")], "session_id string, uid string")).withColumn("late", F.col("expires_at") > F.current_timestamp()).collect()}
+    assert got == {"s1": ("u", True), "s2": (None, False)}
+    hits = spark.createDataFrame([("k", 10), ("k", 3599), ("k", 3600)], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    assert sorted((r.bucket, r.n) for r in store.counters(hits, 3600).collect()) == [(0, 2), (1, 1)]
+    patched = store.overlay(rows.select("session_id", "n"), spark.createDataFrame([("s2", 9)], "session_id string, n int"), ["session_id"])
+    assert {(r.session_id, r.n) for r in patched.collect()} == {("s1", 1), ("s2", 9)}
+
+
+def test_entities_and_quoted_tags(spark):
+    html = '<p title="a > b">one &#65;&#x1F600; &amp;lt; <b class="x>y">two</b></p>'
+    assert one(spark, tag_texts(F.col("t"), "p"), t=html) == ["one A😀 &lt; two"]
 
 
 def test_compare_runs_fills_missing_categories(spark):

@@ -40,6 +40,6 @@ def test_rewriting_raises_scores_and_stops(spark):
     lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(text)], "doc_id long, line_no int, text string")
     after, history = rewrite_until(lines, default_terms(spark), default_targets(spark), 2024)
     got = {r.line_no: r.text for r in after.collect()}
-    assert got[5] == "• Built reports ([[number]]), [[result: what improved]]." and got[6] == text[5]
+    assert got[5] == "• Built reports used by [[number]] people, [[result: what improved and by how much]]." and got[6] == text[5]
     scores = [r.overall for r in history.orderBy("round").collect()]
     assert len(scores) == 2 and scores[1] >= scores[0]

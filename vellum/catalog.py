@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.text import bullet_strength, count_words, has_metric
-from vellum.operators import geometry, rewrite, store
+from vellum.operators import geometry, layout, rewrite, store
 from vellum.operators.findings import work_bullets
-from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, overused
+from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.plans import oracle
 from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores
@@ -218,7 +218,35 @@ def q_overall(spark, sf_dir):
 
 @query
 def q_engines(spark, sf_dir):
-    return engine_scores(corpus_scores(spark, sf_dir))
+    return engine_scores(corpus_scores(spark, sf_dir), q_hazards(spark, sf_dir))
+
+
+@query
+def q_hazards(spark, sf_dir):
+    m = corpus_model(spark, sf_dir)
+    return layout.hazards(m.layout, m.contact)
+
+
+@query
+def q_layout(spark, sf_dir):
+    m = corpus_model(spark, sf_dir)
+    return layout.layout_facts(m.layout, m.lines).drop("chars")
+
+
+@query
+def q_dropped(spark, sf_dir):
+    return layout.dropped_elements(corpus_model(spark, sf_dir).layout).select("doc_id", "kind", "place", "n", "severity")
+
+
+@query
+def q_reading_issues(spark, sf_dir):
+    return layout.reading_issues(corpus_model(spark, sf_dir).layout).groupBy("doc_id", "kind").agg(F.sum("n").alias("n"))
+
+
+@query
+def q_parse_rules(spark, sf_dir):
+    own = corpus_findings(spark, sf_dir).filter("category = 'parse'")
+    return own.groupBy("doc_id", "rule_id").agg(F.count("*").alias("n"), F.round(F.sum("cost"), 1).alias("cost"))
 
 
 @query
@@ -257,7 +285,7 @@ def q_rate_sliding(spark, sf_dir):
 
 @query
 def q_rate_tumbling(spark, sf_dir):
-    return stream.tumbling_limit(_requests(spark, sf_dir), 2).select("kind", "identity", _micros(F.col("start")).alias("start_us"), "used", "over")
+    return stream.tumbling_limit(_requests(spark, sf_dir), 2).select("kind", "identity", _micros(F.col("start")).alias("start_us"), "used", "over", "retry_after")
 
 
 @query
@@ -366,8 +394,23 @@ def q_summaries(spark, sf_dir):
 
 
 @query
-def q_unsupported_numbers(spark, sf_dir):
-    return rewrite.unsupported_numbers(q_rewritten(spark, sf_dir), corpus_lines(spark, sf_dir))
+def q_claims(spark, sf_dir):
+    """Each work line with a number and a tool put in that its document may lack."""
+    work = work_bullets(corpus_model(spark, sf_dir).lines)
+    claim = F.concat(F.lit(" saved "), (F.col("doc_id") % 50 + 3).cast("string"), F.lit("% of [[12 hours]] with Terraform since 2019"))
+    checked = rewrite.checked_claims(work.withColumn("text", F.concat("text", claim)), _text_lines(spark, sf_dir), default_terms(spark))
+    return checked.select("doc_id", "line_no", "text", "removed", F.array_join("rejected", ",").alias("rejected"))
+
+
+@query
+def q_rebuilt(spark, sf_dir):
+    m = corpus_model(spark, sf_dir)
+    return rewrite.rebuilt(m.lines, m.entries, default_terms(spark)).select("doc_id", "line_no", "section", "kind", "text", F.array_join("origins", ",").alias("origins"))
+
+
+@query
+def q_missing_ranks(spark, sf_dir):
+    return ordered_missing(corpus_model(spark, sf_dir).matches).select("doc_id", "term", "rank")
 
 
 @query

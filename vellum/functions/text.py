@@ -27,7 +27,9 @@ def normal_heading(text: Column) -> Column:
 def has_metric(text: Column, credit: bool = False) -> Column:
     """Whether a number that measures something is in the text; credit: placeholders count as one."""
     rest = removed(text, P.PLACEHOLDER, *P.NOT_METRIC)
-    found = rest.rlike(r"\d") | (rest.rlike(P.NUMBER_WORD) & rest.rlike(P.COUNTABLE))
+    # Most lines have neither a digit nor a number word, and need no more tests.
+    may = text.rlike(r"\d") | text.rlike(P.NUMBER_WORD)
+    found = F.when(may, rest.rlike(r"\d") | (rest.rlike(P.NUMBER_WORD) & rest.rlike(P.COUNTABLE))).otherwise(False)
     return (text.rlike(P.PLACEHOLDER) | found) if credit else found
 
 
@@ -87,3 +89,9 @@ def year_of(text: Column) -> Column:
     """The first year in a date: four digits, or two after an apostrophe (20..)."""
     full, short = F.regexp_extract(text, r"((?:19|20)\d{2})", 1), F.regexp_extract(text, r"'(\d{2})", 1)
     return F.when(full != "", full.cast("int")).when(short != "", short.cast("int") + 2000)
+
+
+def in_unit(x: Column) -> Column:
+    """The number within 0 and 1; 0 for none and for what is no finite number."""
+    fit = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(fit, F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))).otherwise(0.0)

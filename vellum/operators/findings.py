@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.text import bullet_strength, first_word, skeleton
+from vellum.operators.layout import CONTACT_FIELDS, LOOSE, Layout, lost_contact, parse_findings
 
 #: Weight of each category in the overall score, in order; fixed values.
 WEIGHTS = {"parse": 25, "keywords": 25, "impact": 20, "structure": 15, "writing": 10, "contact": 5}
@@ -23,18 +24,22 @@ PROSE_SKIPPED = ("contact", "skills")
 
 @dataclass(frozen=True)
 class Model:
-    """A corpus as tables: lines with sections and entries, entries, contact fields, years of experience, keyword matches."""
+    """A corpus as tables: lines with sections and entries, entries, contact fields, years of experience, keyword matches; and, if known, its layout and each document's role."""
 
     lines: DataFrame
     entries: DataFrame
     contact: DataFrame
     years: DataFrame
     matches: DataFrame
+    layout: Layout | None = None
+    roles: DataFrame | None = None
 
 
 #: The rules: category, cost, cap of all costs of the rule in a document, severity; a null cost or severity comes with the finding. Fixed values.
 RULES = {
-    "glyphs": ("parse", None, None, "low"), "symbol-bullets": ("parse", 3.0, None, "low"),
+    "multi-column": ("parse", 30.0, None, "high"), "table": ("parse", 10.0, 30.0, "high"), "header-text": ("parse", None, None, None), "footer-text": ("parse", None, None, None),
+    "textbox": ("parse", 12.0, 24.0, "high"), "image": ("parse", 5.0, 15.0, "low"), "vector-graphics": ("parse", 5.0, 15.0, "low"),
+    "glyphs": ("parse", None, None, None), "symbol-bullets": ("parse", 3.0, None, "low"), "stream-order": ("parse", 8.0, None, "medium"), "file-size": ("parse", 5.0, None, "low"),
     "missing-keyword": ("keywords", None, None, None), "overused-keyword": ("keywords", 3.0, 9.0, "low"),
     "no-bullets": ("impact", 85.0, None, "high"), "weak-bullet": ("impact", None, None, None), "too-few-bullets": ("impact", None, None, "medium"),
     "missing-experience": ("structure", 30.0, None, "high"), "missing-education": ("structure", 15.0, None, "medium"), "missing-skills": ("structure", 15.0, None, "medium"),
@@ -46,8 +51,15 @@ RULES = {
     "passive": ("writing", 3.0, 9.0, "low"), "repeated-opener": ("writing", 4.0, 12.0, "low"), "identical-structure": ("writing", 8.0, None, "medium"), "overlong": ("writing", 2.0, 8.0, "low"),
     "objective-summary": ("writing", 5.0, None, "medium"), "summary-long": ("writing", 4.0, None, "low"),
     "missing-email": ("contact", 30.0, None, "high"), "missing-phone": ("contact", 20.0, None, "high"), "missing-location": ("contact", 15.0, None, "medium"),
-    "missing-linkedin": ("contact", 12.0, None, "medium"), "missing-name": ("contact", 10.0, None, "medium"), "email-tone": ("contact", 5.0, None, "low"), "contact-sprawl": ("contact", 3.0, None, "low"),
+    "missing-linkedin": ("contact", 12.0, None, "medium"), "missing-name": ("contact", 10.0, None, "medium"), "missing-portfolio": ("contact", 8.0, None, "medium"), "email-tone": ("contact", 5.0, None, "low"), "contact-sprawl": ("contact", 3.0, None, "low"),
 }
+#: A contact field that stands only in a header, footer or text box: its cost.
+LOST_COST = {"email": 12.0, "phone": 8.0}
+RULES |= {f"{f}-in-{s}": ("contact", LOST_COST.get(f, 4.0), None, "high" if LOST_COST.get(f, 4.0) >= 10 else "medium") for f in CONTACT_FIELDS for s in LOOSE}
+#: Rules that share another's cap.
+SHARED_CAP = {"vector-graphics": "image"}
+#: Roles that are asked for a portfolio; fixed values.
+TECH_ROLES = ("software-engineer", "frontend-engineer", "backend-engineer", "devops-sre", "data-scientist", "ux-designer")
 
 
 def finding(when: Column, rule: str, *, line: str = "line_no", cost: Column | None = None, order: Column | None = None, severity: Column | None = None) -> Column:
@@ -77,7 +89,8 @@ def with_rules(findings: DataFrame) -> DataFrame:
 
 def cap_costs(findings: DataFrame) -> DataFrame:
     """Keeps a group's findings in order until the cap is reached; the last one kept is trimmed. Without a cap all stay."""
-    by = Window.partitionBy("doc_id", "category", "rule_id").orderBy("ord", "line_no")
+    group = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in SHARED_CAP.items() for x in pair]), F.col("rule_id")), F.col("rule_id"))
+    by = Window.partitionBy("doc_id", "category", group).orderBy("ord", "line_no")
     prior = F.coalesce(F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     marked = findings.withColumn("prior", prior).filter(F.col("cap").isNull() | (F.col("prior") < F.col("cap")))
     trimmed = F.when(F.col("cap").isNull(), F.col("cost")).otherwise(F.least("cost", F.col("cap") - F.col("prior")))
@@ -88,7 +101,10 @@ def with_work(lines: DataFrame) -> DataFrame:
     """Lines -> also pos: the order of the lines that describe work, entries first, then bullets of experience without an entry; null for others.
 
     strength, weak, opener, shape and plain are computed below the window, once for all rules.
+    Lines that have them already, as those of a written model, stay as they are.
     """
+    if "pos" in lines.columns:
+        return lines
     text = F.col("text")
     marks = {
         "strength": bullet_strength(text)["score"],
@@ -127,6 +143,29 @@ def line_findings(m: Model) -> DataFrame:
     )
 
 
+def known_contact(m: Model) -> DataFrame:
+    """The contact fields of the body, else of headers, footers and text boxes; asks_portfolio: whether the document's role, or a target, does."""
+    contact = m.contact
+    if m.layout is not None:
+        loose = lost_contact(m.layout).groupBy("doc_id").pivot("field", list(CONTACT_FIELDS)).agg(F.first("value"))
+        both = contact.join(loose.select("doc_id", *[F.col(f).alias(f"lost_{f}") for f in CONTACT_FIELDS]), "doc_id", "left")
+        contact = both.select(*[F.coalesce(c, f"lost_{c}").alias(c) if c in CONTACT_FIELDS else c for c in contact.columns])
+    asked = m.matches.groupBy("doc_id").agg(F.max(F.col("term") == "git").alias("__git"))
+    roles = m.roles if m.roles is not None else m.contact.select("doc_id", F.lit("general").alias("role"))
+    with_role = contact.join(asked, "doc_id", "left").join(roles.select("doc_id", "role"), "doc_id", "left")
+    return with_role.withColumn("asks_portfolio", F.coalesce(F.col("role").isin(*TECH_ROLES), F.lit(False)) | F.coalesce("__git", F.lit(False))).drop("__git", "role")
+
+
+def lost_contact_findings(m: Model) -> DataFrame:
+    """Contact fields that stand only where parsers don't look: in a header, footer or text box, with no copy in the body."""
+    copies = m.lines.filter("source = 'body'").select("doc_id", F.lower("text").alias("said"))
+    missing = m.contact.select("doc_id", *[F.col(f).isNull().alias(f"no_{f}") for f in CONTACT_FIELDS])
+    lost = lost_contact(m.layout).join(missing, "doc_id")
+    absent = reduce(lambda a, f: a | ((F.col("field") == f) & F.col(f"no_{f}")), CONTACT_FIELDS, F.lit(False))
+    alone = lost.filter(absent).alias("l").join(copies.alias("c"), (F.col("l.doc_id") == F.col("c.doc_id")) & F.col("c.said").contains(F.lower("l.value")), "left_anti")
+    return found(alone, *[finding((F.col("field") == f) & (F.col("source") == s), f"{f}-in-{s}") for f in CONTACT_FIELDS for s in LOOSE])
+
+
 def document_findings(m: Model) -> DataFrame:
     """The rules that fire once for a document, over one aggregate of its lines, entries and fields."""
     text, raw, opens, section = F.col("text"), F.col("raw"), F.col("opens"), F.col("section")
@@ -135,7 +174,7 @@ def document_findings(m: Model) -> DataFrame:
     summary = (section == "summary") & F.col("kind").isin("text", "bullet")
     strength = F.when(F.col("pos").isNotNull(), F.col("strength"))
     facts = with_work(m.lines).groupBy("doc_id").agg(
-        first(raw.rlike(P.GLYPH_ISSUE)).alias("glyphs"), F.max(raw.rlike(P.GLYPH_ISSUE) & (F.col("kind") == "contact")).alias("glyph_contact"), first(raw.rlike(P.SYMBOL_BULLET)).alias("symbols"),
+        first(raw.rlike(P.GLYPH_ISSUE)).alias("glyphs"), F.max(raw.rlike(P.GLYPH_ISSUE) & ((F.col("kind") == "contact") | (section == "contact"))).alias("glyph_contact"), first(F.col("bullet").isNotNull() & raw.rlike(P.SYMBOL_BULLET)).alias("symbols"),
         *[first(body & (section == s)).alias(s) for s in ("experience", "education", "skills")], first(opens & (section == "education")).alias("edu_line"),
         F.sum("words").alias("words"), F.count("*").alias("n_lines"), first(F.col("unlabelled")).alias("unlabelled"),
         first(opens & (section == "summary") & F.lower("raw").contains("objective")).alias("objective"), first(text.rlike(P.REFERENCES)).alias("references"),
@@ -146,14 +185,14 @@ def document_findings(m: Model) -> DataFrame:
     )
     form = F.when(F.col("dates").rlike(r"\d{1,2}/\d{2,4}"), "numeric").when(F.col("dates").rlike(r"(?i)[a-z]{3,}\.?\s*'?\d{2,4}"), "month-year").when(F.col("dates").isNotNull(), "year")
     roles = m.entries.filter("section = 'experience'").groupBy("doc_id").agg(F.countDistinct(form).alias("forms"), F.min(F.when(F.col("dates").isNotNull(), F.col("header_line"))).alias("dated_line"))
-    rows = facts.join(m.contact, "doc_id", "left").join(m.years, "doc_id", "left").join(roles, "doc_id", "left").withColumns({"line_no": F.lit(1), "pages": F.ceil(F.col("n_lines") / 55), "years": F.coalesce("years", F.lit(0))})
+    rows = facts.join(known_contact(m), "doc_id", "left").join(m.years, "doc_id", "left").join(roles, "doc_id", "left").withColumns({"line_no": F.lit(1), "pages": F.ceil(F.col("n_lines") / 55), "years": F.coalesce("years", F.lit(0))})
     gone = lambda c: F.col(c).isNull()
     there = lambda c: F.col(c).isNotNull()
     mean = F.round(F.col("strength") / 3 * 100)
     words = F.col("words")
     return found(
         rows,
-        finding(there("glyphs"), "glyphs", cost=F.when(F.col("glyph_contact"), 8.0).otherwise(5.0), line="glyphs"),
+        finding(there("glyphs"), "glyphs", cost=F.when(F.col("glyph_contact"), 8.0).otherwise(5.0), severity=F.when(F.col("glyph_contact"), "medium").otherwise("low"), line="glyphs"),
         finding(there("symbols"), "symbol-bullets", line="symbols"),
         finding(F.col("n_work") == 0, "no-bullets"),
         finding(F.col("n_work").between(1, 2), "too-few-bullets", cost=F.greatest(F.lit(0), mean - 60)),
@@ -172,6 +211,7 @@ def document_findings(m: Model) -> DataFrame:
         finding(there("seeking"), "objective-summary", line="seeking"),
         finding(F.col("summary_words") > 90, "summary-long", line="summary_line"),
         *[finding(gone(f), f"missing-{f}") for f in ("email", "phone", "location", "linkedin", "name")],
+        finding(F.col("asks_portfolio") & gone("github") & gone("website"), "missing-portfolio"),
         finding(F.substring_index("email", "@", 1).rlike(P.EMAIL_TONE), "email-tone"),
         finding(F.col("n_contact") > 4, "contact-sprawl", line="contact_line"),
     )
@@ -231,7 +271,11 @@ SCORERS: dict[str, Callable[[Model], DataFrame]] = {
     "keywords": keyword_findings,
 }
 
+#: Those that need positioned items, files and images.
+LAYOUT_SCORERS: dict[str, Callable[[Model], DataFrame]] = {"layout": lambda m: parse_findings(m.layout, found, finding), "lost fields": lost_contact_findings}
+
 
 def all_findings(m: Model, scorers: dict[str, Callable[[Model], DataFrame]] | None = None, hold: Callable[[DataFrame], DataFrame] = lambda frame: frame) -> DataFrame:
     """Every scorer's findings, with capped costs. hold: what to do with each scorer's before the union, such as writing them to a table."""
-    return cap_costs(with_rules(reduce(DataFrame.unionByName, [hold(f(m)) for f in (scorers or SCORERS).values()])))
+    chosen = scorers or (SCORERS | (LAYOUT_SCORERS if m.layout is not None else {}))
+    return cap_costs(with_rules(reduce(DataFrame.unionByName, [hold(f(m)) for f in chosen.values()])))

@@ -138,3 +138,33 @@ def top_targets(candidates: DataFrame, most: int = 40) -> DataFrame:
     """The first `most` keywords of each context by weight, then hits; ties by term."""
     order = Window.partitionBy("ctx_id").orderBy(F.desc("weight"), F.desc("hits"), "term")
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def preset_keywords(roles: dict, terms: DataFrame) -> DataFrame:
+    """(role, term, weight, category, aliases): the keywords of each role preset as the dictionary names them, by term, else by alias; category `role` for those it lacks."""
+    rows = [(role, i, t, w) for role, (_, ts) in roles.items() for i, (t, w) in enumerate(ts)]
+    asked = terms.sparkSession.createDataFrame(rows, "role string, place int, asked string, weight int")
+    alias = terms.select(F.explode("aliases").alias("asked"), F.struct("ord", "term", "category", "aliases").alias("by_alias")).groupBy("asked").agg(F.max("by_alias").alias("by_alias"))
+    named = terms.select(F.col("term").alias("asked"), F.struct("ord", "term", "category", "aliases").alias("by_term"))
+    found = asked.join(F.broadcast(named), "asked", "left").join(F.broadcast(alias), "asked", "left").withColumn("d", F.coalesce("by_term", "by_alias"))
+    return found.select("role", "place", F.coalesce("d.term", "asked").alias("term"), "weight", F.coalesce("d.category", F.lit("role")).alias("category"), F.coalesce("d.aliases", F.array().cast("array<string>")).alias("aliases"))
+
+
+def choose_context(docs: DataFrame, described: DataFrame, chosen: DataFrame, inferred: DataFrame, roles: dict) -> DataFrame:
+    """(doc_id, kind, role): what a document is measured against.
+
+    A description (doc_id, length, n_keywords) of over 60 characters with three keywords or more, else
+    the role that its reader chose (doc_id, role; the last preset if unknown), else the inferred one.
+    """
+    last = list(roles)[-1]
+    known = F.when(F.col("chosen").isin(*roles), F.col("chosen")).when(F.col("chosen").isNotNull(), F.lit(last))
+    joined = docs.select("doc_id").join(described, "doc_id", "left").join(chosen.select("doc_id", F.col("role").alias("chosen")), "doc_id", "left").join(inferred.select("doc_id", F.col("role").alias("guess")), "doc_id", "left")
+    by_text = (F.col("length") > 60) & (F.col("n_keywords") >= 3)
+    kind = F.when(by_text, "description").when(known.isNotNull(), "role").otherwise("inferred")
+    return joined.select("doc_id", kind.alias("kind"), F.when(~F.coalesce(by_text, F.lit(False)), F.coalesce(known, "guess", F.lit(last))).alias("role"))
+
+
+def ordered_missing(matches: DataFrame) -> DataFrame:
+    """(doc_id, term, weight, supported_by, rank): missing terms, the heaviest first, of those the supported ones first."""
+    order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.col("supported_by").isNull(), "term")
+    return matches.filter("hits = 0").withColumn("rank", F.row_number().over(order)).select("doc_id", "term", "weight", "supported_by", "rank")

@@ -2,43 +2,161 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
-from vellum.functions.text import upper_first
-
-#: Generic phrases with a plain verb to say instead; fixed values.
-SWAPS = ((r"\b(?i:spearheaded)\b", "led"), (r"\b(?i:leveraged)\b", "used"), (r"\b(?i:leveraging)\b", "using"), (r"\b(?i:utilized)\b", "used"), (r"\b(?i:utilizing)\b", "using"), (r"\b(?i:delved)\b", "looked"))
-#: Past forms of gerunds that follow no rule.
-IRREGULAR_PAST = {"building": "built", "leading": "led", "writing": "wrote", "driving": "drove", "running": "ran", "teaching": "taught", "selling": "sold", "making": "made", "taking": "took", "overseeing": "oversaw"}
+from vellum.functions.text import bullet_strength, first_word, has_metric, normal_number, strong_verb, upper_first
+from vellum.operators.keywords import keyword_hits
+
+#: Generic phrases that are said plainly instead, by the label of the phrase, and plain verbs that may take a phrase's place; fixed values.
+PLAIN = {"spearheaded": "led", "leveraged": "used", "synergy": "worked with", "utilized": "used", "delve": "analyzed"}
+#: Past forms that follow no rule, by base form; fixed values.
+PAST = {
+    "build": "built", "run": "ran", "write": "wrote", "lead": "led", "make": "made", "drive": "drove", "grow": "grew", "sell": "sold", "teach": "taught", "bring": "brought", "buy": "bought", "meet": "met", "hold": "held", "win": "won", "cut": "cut",
+    "oversee": "oversaw", "keep": "kept", "get": "got", "give": "gave", "take": "took", "do": "did", "go": "went", "set": "set", "put": "put", "send": "sent", "spend": "spent", "begin": "began", "choose": "chose", "speak": "spoke", "understand": "understood",
+}
+#: The verb for what a bullet is about, and the hint at its scale, the first that fits; fixed values.
+OBJECT_VERBS = (
+    ("campaign|newsletter|email", "Produced"), ("event|webinar|conference", "Coordinated"), ("report|research|analysis|analyses", "Compiled"), ("dashboard|pipeline|model|tool|system|website|site|app", "Built"),
+    ("account|client|customer|relationship|vendor", "Managed"), ("content|copy|blog|post|article|video", "Created"), ("meeting|note|minutes|documentation", "Documented"), ("data|entry|record|invoice|order", "Processed"),
+    ("presentation|demo|training", "Delivered"), ("inventory|stock|shelves|shelf|register|sales", "Handled"), ("test|qa|bug|defect", "Tested"), ("schedule|calendar|travel", "Organized"), ("team|staff|volunteer|intern", "Coordinated"),
+)
+SCALE_HINTS = (
+    ("account", " across [[number]] accounts"), ("campaign|newsletter|email", " ([[number]] campaigns per month to [[audience size]] recipients)"), ("event|webinar", " for [[number]] events with [[attendance]] attendees"),
+    ("report|dashboard", " used by [[number]] people"), ("customer|client|patient|student", " for [[number]] customers per week"), ("website|blog|content|post", " ([[number]] pieces per month)"),
+    ("data|record|entry|invoice", " ([[volume]] records per week)"), ("team|engineer|people|staff", " across a team of [[number]]"), ("sales|revenue|store|register", " ([[amount]] in sales)"),
+)
+#: Filler that a rewrite leaves out, and whom a weak opener helped; fixed values.
+CUT = P.ascii_edges(r"(?i)\b(various|numerous|a variety of|a wide range of|a range of|several|as needed|as required|etc\.?|and more|and other duties|other tasks|day[- ]to[- ]day|on a daily basis|when necessary|as assigned|miscellaneous)\b")
+HELPED = P.ascii_edges(r"(?i)^(?:the\s+)?(?:team|manager|managers|department|staff|clients?|customers?|leadership|engineers?|colleagues)\s+(?:with|on|in|by)\s+")
+OUTCOME_ASKED = r"(?i)\[\[(result|outcome|impact|improv)"
+
+
+def _lookup(values: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
+
+
+def _first_fit(text: Column, table: tuple[tuple[str, str], ...]) -> Column:
+    """The value of the first pattern that the text holds, or null."""
+    return F.coalesce(*[F.when(text.rlike(f"(?i){pattern}"), value) for pattern, value in table])
 
 
 def past_tense(word: Column) -> Column:
-    """A gerund's past tense: irregular ones by table, then -ying to -ied, a final e, or -ed."""
-    stem = F.regexp_replace(word, "ing$", "")
-    known = F.element_at(F.create_map(*[F.lit(x) for pair in IRREGULAR_PAST.items() for x in pair]), word)
+    """A gerund's past tense: irregular ones by their base form, with or without a final e, then -ying to -ied, -e to -ed, or -ed. Other words stay."""
+    stem = F.regexp_replace(F.lower(word), "ing$", "")
+    known = F.coalesce(_lookup(PAST, stem), _lookup(PAST, F.concat(stem, F.lit("e"))))
     regular = F.when(stem.rlike("[^aeiou]y$"), F.concat(F.regexp_replace(stem, "y$", ""), F.lit("ied"))).when(stem.rlike("e$"), F.concat(stem, F.lit("d"))).otherwise(F.concat(stem, F.lit("ed")))
-    return F.when(word.rlike("ing$"), F.coalesce(known, regular)).otherwise(word)
+    return F.when(F.lower(word).rlike("^.{2,}ing$"), F.coalesce(known, regular)).otherwise(word)
+
+
+def lower_first(text: Column) -> Column:
+    """The first letter in lower case, if a lower-case letter follows it."""
+    return F.when(text.rlike("^[A-Z][a-z]"), F.concat(F.lower(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text)))).otherwise(text)
+
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often use names it: the steps of a rewrite would else double with each."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-def scrubbed(text: Column) -> Column:
-    """Generic verbs replaced by plain ones."""
-    for pattern, plain in SWAPS:
-        text = F.regexp_replace(text, pattern, plain)
+
+def scrubbed(text: Column, drop: bool = False) -> Column:
+    """Generic phrases said plainly, in the case of the phrase; drop: those without a plain verb are left out."""
+    for label, pattern in P.GENERIC:
+        plain, bare = PLAIN.get(label), pattern.removeprefix("(?i)")
+        if plain:
+            text = F.regexp_replace(F.regexp_replace(text, rf"(?=[A-Z])(?i:{bare})", plain.capitalize()), pattern, plain)
+        elif drop:
+            text = F.regexp_replace(text, rf"(?i)(?:{bare})\s*,?\s*", "")
     return text
 
 
+def _opened(text: Column) -> Column:
+    """The text with a strong verb first: a gerund in the past, or a verb for what the text is about."""
+
+    def begun(first: Column) -> Column:
+        rest = F.substring(text, F.length(first) + 1, F.length(text))
+        verb = F.coalesce(_first_fit(text, OBJECT_VERBS), F.lit("Delivered"))
+        return F.when(first.rlike("(?i)ing$"), F.concat(_with(past_tense(first), upper_first), rest)).otherwise(F.concat(verb, F.lit(" "), lower_first(text)))
+
+    return _with(F.substring_index(text, " ", 1), begun)
+
+
+def _led(bare: Column) -> Column:
+    """The text without a weak opener, a strong verb first."""
+    after = F.regexp_replace(F.trim(F.regexp_replace(bare, P.WEAK_START, "")), r"(?i)^(the|a|an|for|with|in|on|of|to)\s+", "")
+    object_ = F.regexp_replace(F.regexp_replace(after, HELPED, ""), r"(?i)^(the|a|an)\s+", "")
+    strong = lambda t: _with(first_word(t), lambda w: w.isin(*P.STRONG_IRREGULAR) | w.rlike("ed$")) & ~F.substring_index(t, " ", 1).rlike("(?i)ing$")
+    opened = _with(object_, lambda t: F.when(strong(t), t).otherwise(_opened(t)))
+    return F.when(bare.rlike(P.WEAK_START), opened).when(strong_verb(bare) == 0, _opened(bare)).otherwise(bare)
+
+
 def rewritten_bullet(text: Column) -> Column:
-    """A weak bullet by rule: opener and filler cut, a gerund put into the past, phrases swapped, placeholders for what is missing, one full stop."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, P.WEAK_START, ""), P.FILLER, ""))
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\s{2,}", " "), r"[\s.]+$", "")
-    first = F.lower(F.regexp_extract(bare, r"^(\S+)", 1))
-    verb = F.concat(past_tense(first), F.regexp_replace(bare, r"^\S+", ""))
-    led = F.when(~text.rlike(P.WEAK_START), bare).when(first.rlike("ing$"), verb).otherwise(F.concat(F.lit("managed "), bare))
-    scaled = F.when(led.rlike(r"\d"), led).otherwise(F.concat(led, F.lit(" ([[number]])")))
-    whole = F.when(led.rlike(P.OUTCOME), scaled).otherwise(F.concat(scaled, F.lit(", [[result: what improved]]")))
-    return F.concat(upper_first(scrubbed(whole)), F.lit("."))
+    """A weak bullet by rule: opener and filler cut, a strong verb first, phrases said plainly, pronouns dropped, placeholders for what is missing, one full stop. No fact is added."""
+    led = _with(F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r"[.;]+$", ""), _led)
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(led, CUT, ""), r"\s{2,}", " "), r"\s+([,.])", "$1"))
+    own = F.trim(F.regexp_replace(F.regexp_replace(scrubbed(clean, drop=True), P.ascii_edges(r"\b(I|my|our|we)\b\s*"), ""), r"\s{2,}", " "))
+    scaled = lambda t: F.when(has_metric(t, credit=True), t).otherwise(F.concat(t, F.coalesce(_first_fit(t, SCALE_HINTS), F.lit(" ([[quantity or scale]])"))))
+    whole = lambda t: F.when(t.rlike(P.OUTCOME) | t.rlike(OUTCOME_ASKED), t).otherwise(F.concat(t, F.lit(", [[result: what improved and by how much]]")))
+    said = _with(_with(_with(own, upper_first), scaled), whole)
+    return F.concat(F.regexp_replace(F.regexp_replace(said, r"\s{2,}", " "), r",\s*,", ","), F.lit("."))
+
+
+#: What stands in for a placeholder when its gain is estimated, the first hint that fits; fixed values.
+STAND_INS = (
+    ("email", "name@example.com"), ("phone", "(555) 000-0000"), ("linkedin", "linkedin.com/in/handle"), ("city|location", "City, ST"), ("url|portfolio|github", "github.com/handle"),
+    ("mon yyyy|dates?", "Jan 2020 – Dec 2022"), ("name", "Full Name"), ("result|outcome|improv", "cutting turnaround 30%"),
+)
+
+
+def stand_in(hint: Column) -> Column:
+    return F.coalesce(_first_fit(hint, STAND_INS), F.lit("10"))
+
+
+#: A number with its unit, but not the space after it.
+NUMBER = r"(?i)(?:\$\s?)?\d[\d,]*(?:\.\d+)?(?:\s?(?:%|percent|million|billion|thousand|[kmbx](?![a-z])))?\+?"
+#: Categories of terms that a rewrite may name though the original doesn't.
+FREE_CATEGORIES = ("soft", "method", "business", "leadership", "skill")
+
+
+def allowed_numbers(originals: DataFrame) -> DataFrame:
+    """(doc_id, numbers): the distinct numbers of each document, in one form."""
+    each = F.transform(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0)), lambda n: normal_number(n))
+    return originals.select("doc_id", F.explode(each).alias("n")).groupBy("doc_id").agg(F.collect_set("n").alias("numbers"))
+
+
+def checked_claims(rewrites: DataFrame, originals: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, line_no, text, removed, rejected): rewrites with every number that the original lacks replaced by a placeholder.
+
+    Years and what stands in placeholders are left. rejected: the terms that the rewrite names and the
+    original doesn't, of categories that must not be made up; a caller keeps the original line then.
+    """
+    joined = rewrites.select("doc_id", "line_no", "text").join(allowed_numbers(originals), "doc_id", "left")
+    # A text is cut at its placeholders; their own digits are no claims.
+    pieces = F.split("text", P.PLACEHOLDER, -1)
+    marks = F.concat(F.regexp_extract_all("text", F.lit(P.PLACEHOLDER), F.lit(0)), F.array(F.lit("")))
+    numbers = lambda t: F.regexp_extract_all(t, F.lit(NUMBER), F.lit(0))
+    made_up = lambda n: ~n.rlike(r"^(19|20)\d{2}$") & ~F.array_contains(F.coalesce("numbers", F.array().cast("array<string>")), normal_number(n))
+    gaps = lambda t: F.split(t, NUMBER, -1)
+    clean = lambda t: F.array_join(F.zip_with(gaps(t), F.transform(numbers(t), lambda n: F.when(made_up(n), "[[number]]").otherwise(n)), lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    text = F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(clean(p), m)), "")
+    removed = F.size(F.filter(F.flatten(F.transform(pieces, numbers)), made_up))
+    checked = joined.select("doc_id", "line_no", text.alias("text"), removed.alias("removed"))
+    hard = terms.filter(~F.col("category").isin(*FREE_CATEGORIES))
+    named = keyword_hits(rewrites.select("doc_id", "line_no", F.regexp_replace("text", P.PLACEHOLDER, "").alias("text")), hard)
+    held = keyword_hits(originals, hard).select("doc_id", "term").distinct()
+    made = named.join(held, ["doc_id", "term"], "left_anti").groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_set("term")).alias("rejected"))
+    return checked.join(made, ["doc_id", "line_no"], "left").withColumn("rejected", F.coalesce("rejected", F.array().cast("array<string>")))
+
+
+def quoted_evidence(claims: DataFrame, originals: DataFrame) -> DataFrame:
+    """claims (doc_id, term, evidence) whose evidence, of six letters or more, is a quote of the document; case and spacing don't count."""
+    flat = lambda t: F.lower(F.trim(F.regexp_replace(t, r"\s+", " ")))
+    texts = originals.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), " ").alias("__whole"))
+    said = flat(F.col("evidence"))
+    return claims.join(texts, "doc_id").filter((F.length(said) >= 6) & flat(F.col("__whole")).contains(said)).drop("__whole")
 
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -165,3 +283,78 @@ def unsupported_numbers(rewrites: DataFrame, originals: DataFrame) -> DataFrame:
     number = lambda: F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("text", P.PLACEHOLDER, ""), F.lit(r"\d+(?:[.,]\d+)*"), F.lit(0)))).alias("number")
     allowed = originals.select("doc_id", number()).distinct()
     return rewrites.select("doc_id", "line_no", number()).filter(~F.col("number").rlike(r"^(19|20)\d{2}$")).join(allowed, ["doc_id", "number"], "left_anti")
+
+
+#: Terms that are written in a way of their own, and names of the groups of skills; fixed values.
+SHOWN = {"ci/cd": "CI/CD", "sql": "SQL", "aws": "AWS", "gcp": "GCP", "api": "API", "rest api": "REST APIs", "html": "HTML", "css": "CSS", "seo": "SEO", "sem": "SEM", "crm": "CRM", "erp": "ERP", "kpis": "KPIs"}
+GROUPS = {"language": "Languages", "data": "Data", "infrastructure": "Infrastructure", "web": "Web", "office": "Office", "business": "Business", "skill": "Skills"}
+BUZZWORD = r"(?i)^(team ?player|hard[- ]?work(er|ing)|detail[- ]oriented|self[- ]starter|go[- ]getter|fast learner|quick learner|results[- ]driven|passionate|motivated|dynamic|multitask(ing|er)?|people person|strong work ethic)"
+
+
+def shown_term(term: Column) -> Column:
+    """A term as it is written in a list: its own way, else each word's first letter in upper case, also after a slash."""
+    words = F.transform(F.split(F.lower(term), "(?<=[ /])"), lambda w: upper_first(w))
+    return F.coalesce(_lookup(SHOWN, F.lower(term)), F.array_join(words, ""))
+
+
+def distinct_items(items: DataFrame) -> DataFrame:
+    """(doc_id, ord, item) without blanks, buzzwords and repeats in another case; the first spelling stays."""
+    bare = items.withColumn("item", F.trim("item")).filter((F.col("item") != "") & ~F.col("item").rlike(BUZZWORD))
+    return bare.groupBy("doc_id", F.lower("item").alias("__of")).agg(F.min(F.struct("ord", "item")).alias("i")).select("doc_id", "i.*")
+
+
+def grouped_skills(items: DataFrame, terms: DataFrame, single: int = 8, most: int = 4) -> DataFrame:
+    """(doc_id, ord, label, text): the skills of each document in groups of the dictionary's categories.
+
+    Up to `single` skills are one group. Of more than `most` groups the smallest, later ones first
+    among equals, go into one named Also, with what the dictionary doesn't know.
+    """
+    names = terms.select(F.explode(F.concat(F.array("term"), "aliases")).alias("__name"), "category").groupBy("__name").agg(F.max("category").alias("category"))
+    known = distinct_items(items).join(F.broadcast(names), F.lower("item") == F.col("__name"), "left")
+    label = F.coalesce(_lookup(GROUPS, F.col("category")), F.lit("Also"))
+    by_doc = Window.partitionBy("doc_id")
+    sized = known.withColumn("n", F.count("*").over(by_doc)).withColumn("label", F.when(F.col("n") <= single, "Skills").otherwise(label))
+    groups = sized.groupBy("doc_id", "label").agg(F.count("*").alias("size"), F.min("ord").alias("first"))
+    named = F.col("label") != "Also"
+    ranked = groups.withColumn("place", F.row_number().over(by_doc.orderBy(F.desc(named), F.desc("size"), "first"))).withColumn("n_groups", F.count("*").over(by_doc))
+    # With Also among them, one group fewer keeps its own name.
+    kept = ranked.withColumn("label2", F.when(named & ((F.col("n_groups") <= most) | (F.col("place") < most)), F.col("label")).otherwise("Also")).select("doc_id", "label", "label2")
+    placed = sized.join(kept, ["doc_id", "label"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "item"))), lambda x: x["item"]), ", ")
+    lines = placed.groupBy("doc_id", F.col("label2").alias("label")).agg(F.min("ord").alias("first"), text.alias("text"))
+    order = by_doc.orderBy(F.col("label") == "Also", "first")
+    return lines.withColumn("ord", F.row_number().over(order)).select("doc_id", "ord", "label", "text")
+
+
+#: Order of the sections of a rebuilt document, and their headings; fixed values.
+SECTION_ORDER = ("contact", "summary", "experience", "education", "skills", "projects", "certifications", "awards", "publications", "volunteer", "languages", "interests", "other")
+
+
+def rebuilt(lines: DataFrame, entries: DataFrame, terms: DataFrame, own_order: bool = False) -> DataFrame:
+    """(doc_id, line_no, section, kind, text, origins): a document built anew, section by section, each line with the original lines it comes from.
+
+    Sections go by SECTION_ORDER, or in their own order with contact and summary first. Headings say
+    the section's name; entry headers take one form; weak bullets of work are rewritten; skills are
+    grouped. Lines of headers, footers and text boxes follow the contact lines. Every original line
+    but a heading is the origin of some line.
+    """
+    body = lines.filter("not opens").withColumn("sec", F.when(F.col("source").isin("header", "footer", "textbox"), "contact").otherwise(F.col("section")))
+    firsts = body.groupBy("doc_id", "sec").agg(F.min("line_no").alias("at"))
+    fixed = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), F.col("sec"))
+    place = F.when(F.col("sec").isin("contact", "summary"), fixed).otherwise(F.col("at") + 100) if own_order else F.when(fixed == 0, 99).otherwise(fixed)
+    placed = firsts.withColumn("place", place.cast("long"))
+    headings = placed.filter("sec <> 'contact'").select("doc_id", "place", F.col("sec").alias("section"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("heading").alias("kind"), upper_first(F.col("sec")).alias("text"), F.array().cast("array<int>").alias("origins"))
+    own = body.join(placed.select("doc_id", "sec", "place"), ["doc_id", "sec"])
+    head = own.filter("header").groupBy("doc_id", "place", "sec", "entry").agg(F.array_sort(F.collect_list("line_no")).cast("array<int>").alias("origins"))
+    titles = head.join(headlines(entries), ["doc_id", "entry"]).select("doc_id", "place", F.col("sec").alias("section"), F.col("entry").cast("int").alias("o1"), F.lit(0).alias("o2"), F.lit("entry").alias("kind"), "text", "origins")
+    rest = own.filter("not coalesce(header, false) and sec <> 'skills'")
+    weak = F.col("sec").isin("experience", "projects", "volunteer") & (F.col("kind") == "bullet") & (bullet_strength(F.col("text"))["score"] < 3)
+    said = rest.select("doc_id", "place", F.col("sec").alias("section"), F.coalesce("entry", F.lit(0)).cast("int").alias("o1"), F.col("line_no").cast("int").alias("o2"), "kind", F.when(weak, rewritten_bullet(F.col("text"))).otherwise(F.col("text")).alias("text"), F.array(F.col("line_no").cast("int")).alias("origins"))
+    skills = own.filter("sec = 'skills'")
+    parts = skills.select("doc_id", "line_no", F.posexplode(F.split("text", r"[,|•·;]")).alias("pos", "item"))
+    lists = grouped_skills(parts.select("doc_id", (F.col("line_no") * 1000 + F.col("pos")).alias("ord"), "item"), terms)
+    whole = skills.groupBy("doc_id", "place").agg(F.array_sort(F.collect_list("line_no")).cast("array<int>").alias("origins"))
+    listed = lists.join(whole, "doc_id").select("doc_id", "place", F.lit("skills").alias("section"), F.lit(1).alias("o1"), F.col("ord").cast("int").alias("o2"), F.lit("text").alias("kind"), F.when(F.col("label") == "Skills", F.col("text")).otherwise(F.concat_ws(": ", "label", "text")).alias("text"), "origins")
+    order = Window.partitionBy("doc_id").orderBy("place", "o1", "o2")
+    every = headings.unionByName(titles).unionByName(said).unionByName(listed)
+    return every.withColumn("line_no", F.row_number().over(order)).select("doc_id", "line_no", "section", "kind", "text", "origins")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.functions.text import band
 from vellum.operators.findings import WEIGHTS, Model, work_bullets
 from vellum.operators.keywords import match_percent
+from vellum.operators.layout import CONTACT_FIELDS, LOOSE
 
 MAX_SCORE = 99
 #: Weights of the categories, in order, and factors for layout hazards of each screening engine; fixed values.
@@ -19,9 +20,9 @@ ENGINES = {
 }
 #: Plan items in the order in which they claim findings: kind, rules (category/rule), on by default.
 PLAN = (
-    ("layout", ("parse/glyphs", "parse/symbol-bullets"), True),
-    ("contact", ("contact/contact-sprawl",), True),
-    ("contact-missing", ("contact/missing-email", "contact/missing-phone", "contact/missing-location", "contact/missing-linkedin", "contact/missing-name"), True),
+    ("layout", ("parse/multi-column", "parse/table", "parse/textbox", "parse/image", "parse/vector-graphics", "parse/glyphs", "parse/symbol-bullets", "parse/stream-order", "parse/file-size", "parse/footer-text/low"), True),
+    ("contact", ("parse/header-text", "parse/footer-text/medium", "contact/contact-sprawl", *(f"contact/{f}-in-{s}" for f in CONTACT_FIELDS for s in LOOSE)), True),
+    ("contact-missing", ("contact/missing-email", "contact/missing-phone", "contact/missing-location", "contact/missing-linkedin", "contact/missing-portfolio", "contact/missing-name"), True),
     ("heading", ("structure/nonstandard-heading", "structure/objective-heading", "structure/unlabeled-summary"), True),
     ("skills-section", ("structure/missing-skills",), True),
     ("other-sections", ("structure/missing-education", "structure/missing-experience"), False),
@@ -87,7 +88,7 @@ def plan_items(findings: DataFrame, scores: DataFrame) -> DataFrame:
     nothing are dropped, but for the layout.
     """
     claims = {rule: (i + 1, kind, on) for i, (kind, rules, on) in enumerate(PLAN) for rule in rules}
-    pick = lambda k: F.element_at(F.create_map(*[x for r, c in claims.items() for x in (F.lit(r), F.lit(c[k]))]), F.concat_ws("/", "category", "rule_id"))
+    pick = lambda k: F.element_at(F.create_map(*[x for r, c in claims.items() for x in (F.lit(r), F.lit(c[k]))]), F.concat_ws("/", "category", "rule_id", F.when(F.col("rule_id") == "footer-text", F.col("severity"))))
     claimed = findings.withColumns({"item": pick(0), "kind": pick(1), "enabled": pick(2)}).filter("item is not null")
     scale = scores.select("doc_id", "category", F.when(F.col("cost") > 0, F.least(F.lit(1.0), (100 - F.col("score")) / F.col("cost"))).otherwise(1.0).alias("scale"))
     gain = F.sum(F.col("cost") * F.col("scale") * _weight(F.col("category"), tuple(WEIGHTS.values())) / 100)

@@ -7,7 +7,8 @@ as the DataFrame expressions.
 from __future__ import annotations
 
 from vellum.functions import patterns as P
-from vellum.plans.corpus import CORPUS_SQL
+from vellum.plans.corpus import CORPUS_SQL, LAYOUT_SQL
+from vellum.operators.score import ENGINES
 from vellum.plans.terms import DEFAULT, DEFAULT_TARGETS
 
 SPECIAL = ("c", "r", "go")
@@ -50,6 +51,22 @@ _VERB = (
 )
 _SHAPE = " || ".join(f"CASE WHEN {matches('text', p)} THEN '{m}' ELSE 'x' END" for p, m in P.SKELETON)
 
+_STRIP = "regexp_replace({0}, '^[•➢] ', '')"
+
+
+def _column_ctes(item: str, prefix: str) -> dict[str, str]:
+    """Bands, the longest gap of each page, and whether it parts two columns, over a table of items."""
+    return {
+        f"{prefix}hist": f"SELECT doc_id, page, bin, count(*) AS n FROM (SELECT doc_id, page, unnest(range(floor(x * 100)::INT, greatest(floor(x * 100)::INT, least(99, ceil((x + w) * 100)::INT)) + 1)) AS bin FROM {item} WHERE source = 'body' AND w > 0) GROUP BY doc_id, page, bin",
+        f"{prefix}band": f"SELECT doc_id, page, items, unnest(range(20, 81)) AS bin FROM (SELECT doc_id, page, count(*) AS items FROM {item} WHERE source = 'body' AND w > 0 GROUP BY doc_id, page)",
+        f"{prefix}gap": f"""SELECT doc_id, page, start, width FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY width DESC, start) AS k FROM (
+  SELECT doc_id, page, min(bin) AS start, count(*) AS width FROM (SELECT doc_id, page, bin, bin - row_number() OVER (PARTITION BY doc_id, page ORDER BY bin) AS island FROM {prefix}band LEFT JOIN {prefix}hist USING (doc_id, page, bin) WHERE coalesce(n, 0) <= items * 0.05) GROUP BY doc_id, page, island)) WHERE k = 1""",
+        f"{prefix}col": f"""SELECT doc_id, page, divider, CASE WHEN count(*) >= 8 AND count(CASE WHEN NOT r THEN 1 END) >= 5 AND count(CASE WHEN r THEN 1 END) >= 5 AND stddev_pop(CASE WHEN r THEN x END) <= 0.04 AND avg(CASE WHEN r THEN (NOT dated)::INT END) >= 0.4
+    AND least(max(CASE WHEN NOT r THEN y + h END), max(CASE WHEN r THEN y + h END)) - greatest(min(CASE WHEN NOT r THEN y END), min(CASE WHEN r THEN y END)) >= 0.2 THEN 2 ELSE 1 END AS columns
+  FROM (SELECT i.*, g.divider, i.x >= g.divider AS r, {matches("i.text", P.DATE_RANGE)} OR {matches("i.text", P.YEAR)} AS dated FROM {item} i JOIN (SELECT doc_id, page, (start + width / 2.0)::DOUBLE / 100 AS divider FROM {prefix}gap WHERE width >= 3) g USING (doc_id, page) WHERE i.source = 'body' AND i.w > 0) GROUP BY doc_id, page, divider""",
+    }
+
+
 CTE = {
     # Lines of the documents table.
     "doc_line": r"""SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS line_no, t AS text FROM (
@@ -58,7 +75,7 @@ CTE = {
     # The derived corpus: headings are known, so sections and work lines follow from their positions.
     "bounds": """SELECT doc_id, min(CASE WHEN text IN ('Experience', 'MY JOURNEY') THEN line_no END) AS exp_at, coalesce(min(CASE WHEN text = 'Education' THEN line_no END), 1000000) AS edu_at,
   min(CASE WHEN text = 'Skills' THEN line_no END) AS skills_at, min(CASE WHEN text IN ('Summary', 'Objective') THEN line_no END) AS sum_at FROM corpus GROUP BY doc_id""",
-    "exp_line": f"""SELECT c.doc_id, c.line_no, c.text AS raw, regexp_replace(c.text, '^• ', '') AS text, c.text LIKE '• %' AS is_bullet, (NOT c.text LIKE '• %') AND {matches("c.text", P.DATE_RANGE)} AS dated
+    "exp_line": f"""SELECT c.doc_id, c.line_no, c.text AS raw, {_STRIP.format('c.text')} AS text, {matches('c.text', '^[•➢] ')} AS is_bullet, (NOT {matches('c.text', '^[•➢] ')}) AND {matches("c.text", P.DATE_RANGE)} AS dated
   FROM corpus c JOIN bounds b USING (doc_id) WHERE c.line_no > b.exp_at AND c.line_no < b.edu_at""",
     # A short undated line before a dated one starts its entry; one between a dated line and a bullet completes the header.
     "exp_mark": """SELECT *, coalesce(NOT is_bullet AND NOT dated AND lead(dated) OVER w, false) AS pre, coalesce(NOT is_bullet AND NOT dated AND lag(dated) OVER w AND lead(is_bullet) OVER w, false) AS post
@@ -74,7 +91,7 @@ CTE = {
     "term_form": "SELECT * FROM (VALUES "
     + ", ".join(f"({lit(t)}, {lit(f)})" for t, _, aliases, _ in DEFAULT if t not in SPECIAL for f in (t, *aliases))
     + ") AS v(term, form)",
-    "hit": r"""SELECT doc_id, line_no, term, len(regexp_extract_all(d, pat)) AS hits FROM (SELECT doc_id, line_no, regexp_replace(lower(regexp_replace(text, '^• ', '')), '([^a-z0-9+#])', '\1\1', 'g') AS d FROM corpus),
+    "hit": r"""SELECT doc_id, line_no, term, len(regexp_extract_all(d, pat)) AS hits FROM (SELECT doc_id, line_no, regexp_replace(lower(regexp_replace(text, '^[•➢] ', '')), '([^a-z0-9+#])', '\1\1', 'g') AS d FROM corpus),
   (SELECT term, '(?:' || string_agg('(^|[^a-z0-9])' || regexp_replace(regexp_replace(regexp_replace(regexp_replace(form, '([.*?^${}()|\[\]\\/])', '\\\1\\\1', 'g'), '\+', '\\+', 'g'), '\\\.\\\.js$', '(?:\\.\\.js|js)?'), ' ', '[\\s-]{2}', 'g') || '([^a-z0-9+#]|$)', '|') || ')' AS pat FROM term_form GROUP BY term) WHERE regexp_matches(d, pat)""",
     "implies": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {lit(i)})" for t, _, _, implied in DEFAULT for i in implied) + ") AS v(term, implied)",
     "target": "SELECT * FROM (VALUES " + ", ".join(f"({lit(t)}, {w})" for t, w in DEFAULT_TARGETS) + ") AS v(term, weight)",
@@ -86,7 +103,7 @@ CTE = {
     )
     + ") GROUP BY doc_id, line_no, term HAVING sum(hits) > 0",
     "doc_hit": "SELECT doc_id, term, sum(hits) AS hits, count(*) AS n_lines FROM all_hit GROUP BY doc_id, term",
-    "doc_words": f"SELECT doc_id, count(*) AS n_lines, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id",
+    "doc_words": f"SELECT doc_id, count(*) AS n_lines, sum({_words(_STRIP.format('text'))}) AS words FROM corpus GROUP BY doc_id",
     "keyword_score": """SELECT d.doc_id, greatest(0, floor(round(100.0 * sum(CASE WHEN h.term IS NULL THEN 0 ELSE t.weight END) / sum(t.weight))
     - least(9, 3 * count(CASE WHEN h.hits > greatest(4, round(greatest(50, d.words) / 120.0)) THEN 1 END)) + 0.5)) AS score
   FROM doc_words d CROSS JOIN target t LEFT JOIN doc_hit h ON h.doc_id = d.doc_id AND h.term = t.term GROUP BY d.doc_id""",
@@ -112,12 +129,35 @@ CTE = {
         "SELECT doc_id, least(24, 4 * sum(n)) FROM (SELECT doc_id, " + " + ".join(f"{matches('text', p)}::INT" for _, p in P.GENERIC) + " AS n FROM prose) GROUP BY doc_id HAVING sum(n) > 0",
     ]),
     "writing_score": "SELECT d.doc_id, greatest(0, 100 - coalesce(sum(w.cost), 0)) AS score FROM doc_words d LEFT JOIN writing_cost w USING (doc_id) GROUP BY d.doc_id",
-    "contact_score": f"""SELECT doc_id, greatest(0, 100 - (CASE WHEN NOT {matches('text', P.EMAIL)} THEN 30 ELSE 0 END + CASE WHEN NOT {matches('text', P.PHONE)} THEN 20 ELSE 0 END + CASE WHEN NOT {matches('text', r'linkedin\.com')} THEN 12 ELSE 0 END
+    "contact_score": f"""SELECT doc_id, greatest(0, 100 - (CASE WHEN NOT {matches('text', P.EMAIL)} THEN CASE WHEN lost_email THEN 12 ELSE 30 END ELSE 0 END + CASE WHEN NOT {matches('text', P.PHONE)} THEN CASE WHEN lost_phone THEN 8 ELSE 20 END ELSE 0 END + CASE WHEN NOT {matches('text', r'linkedin\.com')} THEN 12 ELSE 0 END
     + CASE WHEN placed THEN 0 ELSE 15 END + CASE WHEN {matches(f"split_part({extract('text', P.EMAIL)}, '@', 1)", P.EMAIL_TONE)} THEN 5 ELSE 0 END)) AS score
-  FROM (SELECT c.doc_id, any_value(CASE WHEN c.line_no = 2 THEN c.text END) AS text, bool_or((c.line_no <= 6 OR c.line_no < b.first_at) AND place <> '' AND NOT {matches('place', P.TITLE)} AND NOT {matches('place', P.DEGREE)}) AS placed
-    FROM (SELECT *, coalesce(nullif({extract('bare', P.STRICT_LOCATION)}, ''), {extract('bare', P.LOCATION)}) AS place FROM (SELECT *, regexp_replace(text, '^• ', '') AS bare FROM corpus)) c JOIN (SELECT doc_id, least(exp_at, coalesce(sum_at, 1000000), coalesce(skills_at, 1000000)) AS first_at FROM bounds) b USING (doc_id) GROUP BY c.doc_id)""",
-    "score": "SELECT doc_id, 'parse' AS category, 100 AS score FROM doc_words UNION ALL "
-    + " UNION ALL ".join(f"SELECT doc_id, '{c}', score FROM {t}_score" for c, t in (("keywords", "keyword"), ("impact", "impact"), ("structure", "structure"), ("writing", "writing"), ("contact", "contact"))),
+  FROM (SELECT c.doc_id, bool_or(coalesce(l.email, false)) AS lost_email, bool_or(coalesce(l.phone, false)) AS lost_phone, any_value(CASE WHEN c.line_no = 2 THEN c.text END) AS text, bool_or((c.line_no <= 6 OR c.line_no < b.first_at) AND place <> '' AND NOT {matches('place', P.TITLE)} AND NOT {matches('place', P.DEGREE)}) AS placed
+    FROM (SELECT *, coalesce(nullif({extract('bare', P.STRICT_LOCATION)}, ''), {extract('bare', P.LOCATION)}) AS place FROM (SELECT *, {_STRIP.format('text')} AS bare FROM corpus)) c JOIN (SELECT doc_id, least(exp_at, coalesce(sum_at, 1000000), coalesce(skills_at, 1000000)) AS first_at FROM bounds) b USING (doc_id) LEFT JOIN lost l USING (doc_id) GROUP BY c.doc_id)""",
+    **_column_ctes("item", "i_"),
+    **{f"l_{name}": sql for name, sql in LAYOUT_SQL.items()},
+    **_column_ctes("l_items", "l_"),
+    "l_cols": "SELECT f.doc_id, greatest(1, coalesce(max(c.columns), 1), any_value(f.declared_columns))::INT AS columns FROM l_files f LEFT JOIN l_col c USING (doc_id) GROUP BY f.doc_id",
+    "l_moved": """SELECT doc_id, count(*) AS n, count(CASE WHEN abs(s - p) > 6 THEN 1 END) AS moved FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stream_index) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY page, y, x, stream_index) AS p FROM l_items WHERE source = 'body') GROUP BY doc_id""",
+    "l_loose": f"SELECT doc_id, source AS kind, count(*) AS n, bool_or({matches('text', P.EMAIL)}) AS email, bool_or({matches('text', P.PHONE)}) AS phone FROM l_items WHERE source IN ('header', 'footer', 'textbox') GROUP BY doc_id, source",
+    "l_table": "SELECT doc_id, table_id, count(*) AS n, count(DISTINCT col) AS cols FROM l_items WHERE table_id IS NOT NULL GROUP BY doc_id, table_id",
+    "l_page": "SELECT doc_id, page, count(*) AS n, bool_or(description LIKE '%vector%') AS vector FROM l_images GROUP BY doc_id, page",
+    "glyph": f"SELECT c.doc_id, bool_or(c.line_no = 2) AS contact FROM corpus c WHERE {matches('c.text', P.GLYPH_ISSUE)} GROUP BY c.doc_id",
+    "parse_cost": """SELECT doc_id, 'multi-column' AS rule_id, 30.0 AS cost, 1 AS n FROM l_cols WHERE columns > 1
+  UNION ALL SELECT doc_id, 'table', least(30, 10 * count(*)), least(3, count(*)) FROM l_table GROUP BY doc_id
+  UNION ALL SELECT doc_id, 'header-text', CASE WHEN email OR phone THEN 15 ELSE 5 END, 1 FROM l_loose WHERE kind = 'header'
+  UNION ALL SELECT doc_id, 'footer-text', CASE WHEN email OR phone THEN 8 ELSE 2 END, 1 FROM l_loose WHERE kind = 'footer'
+  UNION ALL SELECT doc_id, 'textbox', 12, 1 FROM l_loose WHERE kind = 'textbox'
+  UNION ALL SELECT doc_id, CASE WHEN vector THEN 'vector-graphics' ELSE 'image' END, 5 * count(*), count(*) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS k FROM l_page) WHERE k <= 3 GROUP BY doc_id, vector
+  UNION ALL SELECT m.doc_id, 'stream-order', 8, 1 FROM l_moved m JOIN l_cols USING (doc_id) WHERE columns = 1 AND n > 10 AND moved > n * 0.25
+  UNION ALL SELECT doc_id, 'file-size', 5, 1 FROM l_files WHERE file_size > 2097152
+  UNION ALL SELECT doc_id, 'glyphs', CASE WHEN contact THEN 8 ELSE 5 END, 1 FROM glyph
+  UNION ALL SELECT DISTINCT doc_id, 'symbol-bullets', 3, 1 FROM corpus WHERE text LIKE '➢ %'""",
+    "parse_score": "SELECT d.doc_id, greatest(0, floor(100 - coalesce(sum(p.cost), 0) + 0.5)) AS score FROM doc_words d LEFT JOIN parse_cost p USING (doc_id) GROUP BY d.doc_id",
+    "body_contact": f"SELECT doc_id, bool_or({matches('text', P.EMAIL)}) AS email, bool_or({matches('text', P.PHONE)}) AS phone FROM corpus GROUP BY doc_id",
+    "lost": "SELECT b.doc_id, bool_or(l.email AND NOT b.email) AS email, bool_or(l.phone AND NOT b.phone) AS phone FROM body_contact b JOIN l_loose l USING (doc_id) GROUP BY b.doc_id",
+    "hazard": """SELECT c.doc_id, columns > 1 AS multi_column, t.doc_id IS NOT NULL AS tables, coalesce(l.email OR l.phone, false) AS header_contact, p.doc_id IS NOT NULL AS images, x.doc_id IS NOT NULL AS text_boxes
+  FROM l_cols c LEFT JOIN (SELECT DISTINCT doc_id FROM l_table) t USING (doc_id) LEFT JOIN lost l USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM l_page) p USING (doc_id) LEFT JOIN (SELECT doc_id FROM l_loose WHERE kind = 'textbox') x USING (doc_id)""",
+    "score": " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, score FROM {t}_score" for c, t in (("parse", "parse"), ("keywords", "keyword"), ("impact", "impact"), ("structure", "structure"), ("writing", "writing"), ("contact", "contact"))),
     "request": "SELECT event_type AS kind, user_id AS identity, ts, event_id FROM events",
     "item": """SELECT p_partkey % 60 AS doc_id, CAST(p_partkey AS INT) AS stream_index, CASE WHEN p_partkey % 13 = 0 THEN 'Yearly report' ELSE p_name END AS text, CAST(1 + (p_partkey // 60) % 2 AS INT) AS page,
   CAST(CASE WHEN p_partkey % 7 < 4 OR p_partkey % 60 < 10 THEN 0.06 ELSE 0.60 END AS DOUBLE) AS x, CAST(0.02 + (p_partkey % 13) * 0.06 AS DOUBLE) AS y,
@@ -125,11 +165,14 @@ CTE = {
   CASE WHEN p_partkey % 10 = 3 THEN 'T1' END AS table_id, CAST(p_partkey // 600 AS INT) AS "row", CAST(p_partkey % 3 AS INT) AS col FROM part""",
 }
 NEEDS = {
+    **{f"{p}{n}": tuple(f"{p}{x}" if x != "item" else i for x in needs) for p, i in (("l_", "l_items"), ("i_", "item")) for n, needs in (("hist", ("item",)), ("band", ("item",)), ("gap", ("band", "hist")), ("col", ("item", "gap")))},
+    "l_cols": ("l_files", "l_col"), "l_moved": ("l_items",), "l_loose": ("l_items",), "l_table": ("l_items",), "l_page": ("l_images",), "glyph": ("corpus",), "body_contact": ("corpus",), "lost": ("body_contact", "l_loose"),
+    "parse_cost": ("l_cols", "l_table", "l_loose", "l_page", "l_moved", "l_files", "glyph", "corpus"), "parse_score": ("doc_words", "parse_cost"), "hazard": ("l_cols", "l_table", "lost", "l_page", "l_loose"),
     "bounds": ("corpus",), "exp_line": ("corpus", "bounds"), "exp_mark": ("exp_line",), "exp_entry": ("exp_mark",), "work": ("exp_entry",), "strength": ("work",), "exp_prose": ("exp_entry",),
     "sum_prose": ("corpus", "bounds"), "edu_prose": ("corpus", "bounds"), "prose": ("exp_prose", "sum_prose", "edu_prose"), "hit": ("corpus", "term_form"),
     "all_hit": ("corpus", "hit"), "doc_hit": ("all_hit",), "doc_words": ("corpus",), "keyword_score": ("doc_words", "target", "doc_hit"), "impact_score": ("strength",), "headed": ("exp_entry",),
     "structure_score": ("bounds", "doc_words", "exp_entry", "headed"), "opener": ("work",), "writing_cost": ("work", "prose", "opener"), "writing_score": ("doc_words", "writing_cost"),
-    "contact_score": ("corpus", "bounds"), "score": ("doc_words", "keyword_score", "impact_score", "structure_score", "writing_score", "contact_score"),
+    "contact_score": ("corpus", "bounds", "lost"), "score": ("parse_score", "keyword_score", "impact_score", "structure_score", "writing_score", "contact_score"),
 }
 
 
@@ -160,16 +203,29 @@ _CATEGORY = "CASE WHEN {0} < 50 THEN 'filtered' WHEN {0} < 70 THEN 'borderline'
 
 _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'impact' THEN {2} WHEN 'structure' THEN {3} WHEN 'writing' THEN {4} ELSE {5} END"
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
-_ENGINES = {"workday": (30, 25, 15, 15, 10, 5), "greenhouse": (20, 20, 25, 15, 15, 5), "lever": (20, 25, 20, 15, 15, 5), "taleo": (35, 30, 10, 15, 5, 5)}
 
 SQL = {
     "q_overall": sql(f"{_OVERALL} SELECT doc_id, round(raw, 1)::DOUBLE AS raw_total, least(99, floor(raw + 0.5))::INT AS overall, {_CATEGORY.format('least(99, floor(raw + 0.5))')} AS band FROM o", "score"),
     "q_category_scores": sql(" SELECT doc_id, category, score::INT AS score FROM score", "score"),
     "q_engines": sql(
-        " SELECT doc_id, engine, least(99, floor(round(part, 9) + 0.5))::INT AS score FROM ("
-        + " UNION ALL ".join(f"SELECT doc_id, '{e}' AS engine, sum(score * {_WEIGHT.format(*w)}) / {sum(w)}.0 AS part FROM score GROUP BY doc_id" for e, w in _ENGINES.items())
-        + ")",
-        "score",
+        ", p AS (" + " UNION ALL ".join(f"SELECT doc_id, '{e}' AS engine, sum(score * {_WEIGHT.format(*w)}) / {sum(w)}.0 AS part FROM score GROUP BY doc_id" for e, (w, _) in ENGINES.items())
+        + "), f AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}', {', '.join(map(str, h.values()))})" for e, (_, h) in ENGINES.items()) + f") AS v(engine, {', '.join(f'f_{h}' for h in ENGINES['workday'][1])}))"
+        + " SELECT p.doc_id, p.engine, greatest(0, least(99, floor(round(part::DOUBLE" + "".join(f" * CASE WHEN h.{h} THEN f_{h}::DOUBLE ELSE 1 END" for h in ENGINES["workday"][1]) + ", 9) + 0.5)))::INT AS score FROM p JOIN f USING (engine) JOIN hazard h ON h.doc_id = p.doc_id",
+        "score", "hazard",
+    ),
+    "q_hazards": sql(" SELECT * FROM hazard", "hazard"),
+    "q_two_columns": sql(" SELECT doc_id, page, divider, columns::INT AS columns FROM i_col", "i_col"),
+    "q_parse_rules": sql(" SELECT doc_id, rule_id, sum(n)::BIGINT AS n, round(sum(cost)::DOUBLE, 1) AS cost FROM parse_cost GROUP BY doc_id, rule_id", "parse_cost"),
+    "q_dropped": sql(
+        """ SELECT doc_id, kind, '' AS place, n, CASE WHEN kind = 'textbox' OR email OR phone THEN 'high' ELSE 'low' END AS severity FROM l_loose UNION ALL SELECT doc_id, 'table', table_id, n, 'high' FROM l_table
+UNION ALL SELECT doc_id, CASE WHEN vector THEN 'vector' ELSE 'image' END, page::VARCHAR, n, 'low' FROM l_page UNION ALL SELECT c.doc_id, 'column', '', (SELECT count(*) FROM l_items i JOIN l_col p USING (doc_id, page) WHERE i.doc_id = c.doc_id AND p.columns = 2 AND i.source = 'body' AND i.x >= p.divider), 'high' FROM l_cols c WHERE columns > 1""",
+        "l_loose", "l_table", "l_page", "l_cols", "l_col",
+    ),
+    "q_layout": sql(
+        f""", w AS (SELECT doc_id, sum({_words(_STRIP.format('text'))})::BIGINT AS words FROM corpus GROUP BY doc_id), i AS (SELECT doc_id, count(DISTINCT table_id) AS n_tables, count(table_id) AS n_cells, count(CASE WHEN source = 'textbox' THEN 1 END) AS n_boxes,
+  coalesce(string_agg(CASE WHEN source = 'header' THEN text END, ' · ' ORDER BY stream_index), '') AS header_text, coalesce(string_agg(CASE WHEN source = 'footer' THEN text END, ' · ' ORDER BY stream_index), '') AS footer_text FROM l_items GROUP BY doc_id), m AS (SELECT doc_id, count(*) AS n_images FROM l_images GROUP BY doc_id)
+SELECT c.doc_id, c.columns, coalesce(n_tables, 0) AS n_tables, coalesce(n_cells, 0) AS n_cells, coalesce(n_boxes, 0) AS n_boxes, coalesce(header_text, '') AS header_text, coalesce(footer_text, '') AS footer_text, coalesce(n_images, 0) AS n_images, coalesce(words, 0) AS words FROM l_cols c LEFT JOIN i USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN w USING (doc_id)""",
+        "l_cols", "l_items", "l_images", "corpus",
     ),
     "q_weak_spots": sql(
         f""", l AS (SELECT doc_id, category, ((100 - score) * {_WEIGHT.format(25, 25, 20, 15, 10, 5)} / 100.0)::DOUBLE AS lost FROM score WHERE score < 90), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY lost DESC, category DESC)::INT AS rank FROM l)
@@ -206,7 +262,7 @@ SELECT doc_id, word, n, third::INT AS third FROM g WHERE n >= 3 AND NOT weak""",
         "doc_hit", "target",
     ),
     "q_overused": sql(
-        f""", h AS (SELECT doc_id, term, hits FROM doc_hit), n AS (SELECT doc_id, sum({_words("regexp_replace(text, '^• ', '')")}) AS words FROM corpus GROUP BY doc_id)
+        f""", h AS (SELECT doc_id, term, hits FROM doc_hit), n AS (SELECT doc_id, sum({_words(_STRIP.format('text'))}) AS words FROM corpus GROUP BY doc_id)
 SELECT doc_id, term, hits::BIGINT AS hits, greatest(4, round(greatest(50, words) / 120.0))::INT AS most FROM h JOIN target USING (term) JOIN n USING (doc_id) WHERE hits > greatest(4, round(greatest(50, words) / 120.0))""",
         "doc_hit", "target",
     ),
@@ -220,6 +276,13 @@ missing AS (SELECT d.doc_id, t.term, t.weight FROM (SELECT DISTINCT doc_id FROM
 SELECT m.doc_id, m.term, m.weight::INT AS weight, string_agg(DISTINCT p.term, ',' ORDER BY p.term) AS supported_by FROM missing m LEFT JOIN closure c ON c.implied = m.term LEFT JOIN present p ON p.doc_id = m.doc_id AND p.term = c.term GROUP BY m.doc_id, m.term, m.weight""",
         "doc_hit", "target", "implies",
     ),
+    "q_missing_ranks": sql(
+        """, closure AS (SELECT term, implied, 1 AS hops FROM implies UNION ALL SELECT c.term, i.implied, c.hops + 1 FROM closure c JOIN implies i ON c.implied = i.term WHERE c.hops < 3), present AS (SELECT doc_id, term FROM doc_hit),
+missing AS (SELECT d.doc_id, t.term, t.weight FROM (SELECT DISTINCT doc_id FROM corpus) d, target t WHERE NOT EXISTS (SELECT 1 FROM present p WHERE p.doc_id = d.doc_id AND p.term = t.term)),
+held AS (SELECT DISTINCT p.doc_id, c.implied FROM present p JOIN closure c ON p.term = c.term)
+SELECT m.doc_id, m.term, row_number() OVER (PARTITION BY m.doc_id ORDER BY m.weight DESC, h.implied IS NULL, m.term)::INT AS rank FROM missing m LEFT JOIN held h ON h.doc_id = m.doc_id AND h.implied = m.term""",
+        "doc_hit", "target", "implies",
+    ),
     "q_sections": sql(
         """, s AS (SELECT c.doc_id, CASE WHEN c.line_no > b.edu_at THEN 'education' WHEN c.line_no > b.exp_at THEN 'experience' WHEN c.line_no > b.skills_at THEN 'skills' WHEN c.line_no > b.sum_at THEN 'summary' ELSE 'contact' END AS section
   FROM corpus c JOIN bounds b USING (doc_id) WHERE c.text NOT IN ('Experience', 'MY JOURNEY', 'Education', 'Skills', 'Summary', 'Objective')) SELECT doc_id, section, count(*) AS n FROM s GROUP BY doc_id, section""",
@@ -256,7 +319,7 @@ SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(d, '\\d{{1,2}}/\\d{{2,4}}
         "corpus",
     ),
     "q_rate_sliding": sql(" SELECT event_id, count(*) OVER (PARTITION BY kind, identity ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS used FROM request", "request"),
-    "q_rate_tumbling": sql(" SELECT kind, identity, epoch_us(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS used, count(*) > 2 AS over FROM request GROUP BY 1, 2, 3", "request"),
+    "q_rate_tumbling": sql(" SELECT kind, identity, epoch_us(time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01')) AS start_us, count(*) AS used, count(*) > 2 AS over, CASE WHEN count(*) > 2 THEN date_diff('second', date_trunc('second', max(ts)), time_bucket(INTERVAL 1 HOUR, max(ts), TIMESTAMP '1970-01-01') + INTERVAL 1 HOUR)::INT END AS retry_after FROM request GROUP BY 1, 2, 3", "request"),
     "q_event_dedup": "SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type",
     "q_latest_by_key": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type",
     "q_stage_durations": "SELECT conv_id, turn, role, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS ended_at FROM conversations",

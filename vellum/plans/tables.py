@@ -8,33 +8,36 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.operators.findings import Model, all_findings
+from vellum.operators.findings import Model, all_findings, with_work
 from vellum.operators.keywords import match_targets
+from vellum.operators.layout import Layout
 from vellum.operators.lines import classify_lines
 from vellum.operators.score import category_scores
 from vellum.operators.sections import assign_sections, attach_entries, contact_fields, entry_table, years_of_experience
-from vellum.plans.corpus import derived_corpus
+from vellum.plans.corpus import derived_corpus, derived_layout
 from vellum.plans.terms import default_targets, default_terms
 from vellum.sources.text import with_fonts
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """The rows of frame from a table in the folder that spark.checkpoint.dir names; a session that names none, as in tests, gets one of its own."""
+    """The rows of frame from a table in the folder that spark.checkpoint.dir names. A local session that names none, as in tests, gets one of its own; a cluster must name one that executors share."""
     spark = frame.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    path = f"{folder}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def build_model(lines: DataFrame, terms: DataFrame, targets: DataFrame, as_of_year: int) -> Model:
-    """The document model of a corpus of lines (doc_id, line_no, text), as written tables."""
-    whole = written(attach_entries(written(assign_sections(classify_lines(with_fonts(lines))))))
+def build_model(lines: DataFrame, terms: DataFrame, targets: DataFrame, as_of_year: int, layout: Layout | None = None) -> Model:
+    """The document model of a corpus of lines (doc_id, line_no, text), as written tables. What the rules ask of each line is computed once, with the model."""
+    whole = written(with_work(attach_entries(written(assign_sections(classify_lines(with_fonts(lines)))))))
     entries = written(entry_table(whole))
-    return Model(whole, entries, written(contact_fields(whole)), years_of_experience(entries, as_of_year), written(match_targets(whole, terms, targets)))
+    return Model(whole, entries, written(contact_fields(whole)), years_of_experience(entries, as_of_year), written(match_targets(whole, terms, targets)), layout)
 
 
 def build_findings(m: Model) -> DataFrame:
@@ -42,32 +45,43 @@ def build_findings(m: Model) -> DataFrame:
     return all_findings(m, hold=written)
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """When the tables that the corpus comes from were last changed."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    paths = [hadoop.Path(f"{sf_dir}/{name}.parquet") for name in ("customer", "orders", "lineitem")]
+    return tuple(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
 @lru_cache(maxsize=4)
-def _corpus(application: str, sf_dir: str) -> dict:
+def _corpus(application: str, sf_dir: str, stamp: tuple) -> dict:
     spark = SparkSession.getActiveSession()
-    lines = written(derived_corpus(spark, sf_dir))
-    m = build_model(lines, default_terms(spark), default_targets(spark), 2024)
+    lines, layout = written(derived_corpus(spark, sf_dir)), derived_layout(spark, sf_dir)
+    m = build_model(lines, default_terms(spark), default_targets(spark), 2024, Layout(written(layout.items), written(layout.images), written(layout.files)))
     return {"lines": lines, "model": m}
 
 
 @lru_cache(maxsize=4)
-def _findings(application: str, sf_dir: str) -> dict:
-    m = _corpus(application, sf_dir)["model"]
+def _findings(application: str, sf_dir: str, stamp: tuple) -> dict:
+    m = _corpus(application, sf_dir, stamp)["model"]
     findings = written(build_findings(m))
     return {"findings": findings, "scores": written(category_scores(m, findings))}
 
 
+def _of(spark: SparkSession, sf_dir: str) -> tuple:
+    return spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir)
+
+
 def corpus_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _corpus(spark.sparkContext.applicationId, sf_dir)["lines"]
+    return _corpus(*_of(spark, sf_dir))["lines"]
 
 
 def corpus_model(spark: SparkSession, sf_dir: str) -> Model:
-    return _corpus(spark.sparkContext.applicationId, sf_dir)["model"]
+    return _corpus(*_of(spark, sf_dir))["model"]
 
 
 def corpus_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark.sparkContext.applicationId, sf_dir)["findings"]
+    return _findings(*_of(spark, sf_dir))["findings"]
 
 
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _findings(spark.sparkContext.applicationId, sf_dir)["scores"]
+    return _findings(*_of(spark, sf_dir))["scores"]

@@ -50,16 +50,24 @@ def with_fonts(lines: DataFrame) -> DataFrame:
 
 
 def decode_entities(text: Column) -> Column:
-    """The five named XML entities; the ampersand last."""
+    """Decimal and hexadecimal references, then the five named XML entities; the ampersand last."""
+    reference = r"&#(?:[xX]([0-9a-fA-F]{1,6})|([0-9]{1,7}));"
+    codes = F.zip_with(F.regexp_extract_all(text, F.lit(reference), F.lit(1)), F.regexp_extract_all(text, F.lit(reference), F.lit(2)), lambda h, d: F.when(h != "", F.conv(h, 16, 10)).otherwise(d).cast("int"))
+    chars = F.transform(codes, lambda c: F.when(c.between(1, 0x10FFFF) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")).otherwise("\ufffd"))
+    text = F.when(text.contains("&#"), F.array_join(F.zip_with(F.split(text, reference, -1), chars, lambda gap, c: F.concat(gap, F.coalesce(c, F.lit("")))), "")).otherwise(text)
     for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
 
 
+#: The attributes of a tag; a closing bracket inside quotes doesn't end it.
+_ATTRIBUTES = r"""(?:\s(?:[^>"']++|"[^"]*+"|'[^']*+')*+)?"""
+
+
 def tag_texts(html: Column, tag: str) -> Column:
     """The texts of all elements of a tag, in order, without inner tags and with single spaces."""
-    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
-    return F.transform(inner, lambda t: decode_entities(F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", ""), r"\s+", " "))))
+    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}{_ATTRIBUTES}>(.*?)</{tag}\s*>"), F.lit(1))
+    return F.transform(inner, lambda t: decode_entities(F.trim(F.regexp_replace(F.regexp_replace(t, rf"</?[a-zA-Z][a-zA-Z0-9:-]*{_ATTRIBUTES}/?>|<!--.*?-->", ""), r"\s+", " "))))
 
 
 def link_targets(html: Column) -> Column:
