@@ -36,9 +36,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; only a session that names none, as in tests, gets one of its own."""
+    """The shared folder that the session names in spark.checkpoint.dir. A local session that names none, as in tests, gets one of its own; a cluster must name one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,13 +53,52 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 
 
 def written(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage with a table of columns in the shared folder, which takes less disk than a checkpoint of rows."""
+    """Cuts the lineage with a table of columns in the shared folder, which takes less disk than a checkpoint of rows. Tables of one application share a folder of its name; drop_written removes it."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/table-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that this application has written, once no result needs them any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows of a table (a key and a few small columns each, under 64 MB in a hash table) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
+#: Beyond it, rows with one key are spread over so many join keys.
+SALTS = 16
+
+
+def meet(rows: DataFrame, few: DataFrame, key: str, broadcast_rows: int | None = None) -> DataFrame:
+    """rows left joined with few (one row for each key, no key null), so that long rows aren't shuffled if few can be broadcast.
+
+    Beyond the bound both are shuffled; equal keys are dealt by the partition they come from,
+    which a task that runs again shares.
+    """
+    bound = BROADCAST_ROWS if broadcast_rows is None else broadcast_rows
+    other = few.withColumnRenamed(key, "__of")
+    if few.count() <= bound:
+        return rows.join(F.broadcast(other), F.col(key) == F.col("__of"), "left").drop("__of")
+    salted = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("__own", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return spread.join(salted, (F.col(key) == F.col("__of")) & (F.col("__own") == F.col("__salt")), "left").drop("__of", "__own", "__salt")
+
+
+@contextmanager
+def as_partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Shuffles of jobs that run inside make so many partitions at least; the session's setting is put back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, max(least, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
     """Jobs that run inside pass so many rows at a time to Python, for texts that may be long; the session's setting is put back."""

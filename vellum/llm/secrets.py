@@ -17,13 +17,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import written
+from vellum.llm.common import meet, written
 from vellum.llm.trigrams import trigram_query
 
-#: Candidates up to this many (a key and a few bits each, under 64 MB in a hash table) are broadcast.
-BROADCAST_ROWS = 1_000_000
-#: Beyond it, rows with one key are spread over so many join keys.
-SALTS = 16
 #: Matches that are gone through one by one between two partial results, and characters of a piece of a text.
 BLOCK, PIECE = 256, 1 << 14
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string>>"
@@ -80,7 +76,7 @@ def postings(keyed: DataFrame, trigrams: Sequence[str]) -> DataFrame:
 
 
 def candidates(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(__key, kinds): the rules whose trigram query a row's postings satisfy.
+    """(__key, __kinds): the rules whose trigram query a row's postings satisfy.
 
     Postings meet by row, not by trigram, so that a trigram in a third of all texts needs no
     list of its own. The queries are a few rows that the rules fix.
@@ -90,7 +86,7 @@ def candidates(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     query = spark.createDataFrame(terms, "kind string, branch string, gram string, needed int")
     hits = postings(keyed, sorted({t[2] for t in terms})).join(F.broadcast(query), "gram")
     whole = hits.groupBy("__key", "kind", "branch", "needed").agg(F.countDistinct("gram").alias("n")).filter("n = needed")
-    return whole.groupBy("__key").agg(F.collect_set("kind").alias("kinds"))
+    return whole.groupBy("__key").agg(F.collect_set("kind").alias("__kinds"))
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -136,16 +132,6 @@ def rule_spans(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), spans).otherwise(none)
 
 
-def _with_candidates(own: DataFrame, found: DataFrame) -> DataFrame:
-    """own (with __key) left joined with its candidate kinds (__kinds); texts are shuffled only if there are too many candidates to broadcast."""
-    few = found.select(F.col("__key").alias("__of"), F.col("kinds").alias("__kinds"))
-    if few.count() <= BROADCAST_ROWS:
-        return own.join(F.broadcast(few), own["__key"] == few["__of"], "left")
-    salted = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = own.withColumn("__own", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return spread.join(salted, (spread["__key"] == salted["__of"]) & (spread["__own"] == salted["__salt"]), "left")
-
-
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES, keep: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, text (null: empty), spans, by start, then rule order, and the kept columns.
 
@@ -156,7 +142,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     own = row_key(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep))
     indexed = [r for r in rules if trigram_query(r.pattern)]
     none = F.array().cast(SPANS)
-    joined = _with_candidates(own, written(candidates(own, indexed))) if indexed else own.withColumn("__kinds", F.array().cast("array<string>"))
+    joined = meet(own, written(candidates(own, indexed)), "__key") if indexed else own.withColumn("__kinds", F.array().cast("array<string>"))
     each = [
         rule_spans(F.col("text"), r, i) if r not in indexed else F.when(F.array_contains("__kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none)
         for i, r in enumerate(rules)
