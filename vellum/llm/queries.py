@@ -103,11 +103,12 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() O
     "op3_decontamination": """
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
-n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id)
-SELECT doc_id, item_id, count(*) / any_value(n)::DOUBLE AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n)::DOUBLE >= 0.8
+z AS (SELECT DISTINCT least(len(w), 5) AS n FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, z)),
+bs AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 5) AS n FROM b))),
+c AS (SELECT item_id, count(*) AS c FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) / any_value(c)::DOUBLE AS containment
+FROM ds JOIN bs USING (n, s) JOIN c USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(c)::DOUBLE >= 0.8
 """,
     "op5_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
