@@ -12,11 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import word_count
-
-#: Rows of one source are spread over so many join keys, so that a hot source has no task of its own.
-SALTS = 64
-
+from vellum.llm.common import meet, word_count, written
 
 def unit_hash(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
@@ -24,32 +20,44 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """(source, source_size) -> also place: 0, 1, ... by code point, null last.
+
+    Sources are dealt by range and numbered within their range; what comes before a range is the
+    sum of the counts of the ranges before it, of which there are as many as partitions.
+    """
+    order = (F.col("source").isNull(), F.col("source"))
+    own = Window.partitionBy("__range").orderBy(*order)
+    ranges = written(sizes.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = ranges.groupBy("__range").count().orderBy("__range").collect()
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["__range"], before))
+        before += r["count"]
+    offsets = sizes.sparkSession.createDataFrame(starts, "__range int, __before long")
+    return ranges.join(F.broadcast(offsets), "__range").withColumn("place", F.col("__before") + F.row_number().over(own) - 1).drop("__range", "__before")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
     """(source, source_size) -> the same with target, one row for each source.
 
     Sources in code point order, null last, take the weights in turn. All targets together
     are `share` of all sizes, split by weight; a target stops at `cap` times its source's
-    size and what is left over goes to the others by weight. Sorted by cap/weight, the
-    stopped sources come first, so running sums find the level at which the rest is split.
+    size and what is left over goes to the others by weight, until none is above. Each round is
+    one aggregate over the sources; only its sums reach the driver.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    pick = F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1
-    weighted = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), pick.cast("int")))
-    limit = F.col("source_size") * F.lit(float(cap))
-    by_stop = Window.orderBy(limit / F.col("weight"), F.col("source").isNull(), "source")
-    levels = weighted.select(
-        "source",
-        "source_size",
-        "weight",
-        limit.alias("stop"),
-        F.row_number().over(by_stop).alias("pos"),
-        (F.sum(limit).over(by_stop.rowsBetween(Window.unboundedPreceding, 0)) - limit).alias("stopped"),
-        (F.sum("weight").over(everything) - F.sum("weight").over(by_stop.rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight")).alias("open_weight"),
-        (F.sum("source_size").over(everything) * F.lit(float(share))).alias("total"),
-    ).withColumn("level", (F.col("total") - F.col("stopped")) / F.col("open_weight"))
-    found = F.min(F.when(F.col("level") * F.col("weight") <= F.col("stop"), F.struct("pos", "level"))).over(everything)
-    return levels.select("source", "source_size", F.least("stop", F.coalesce(found["level"] * F.col("weight"), "stop")).alias("target"))
+    pick = F.pmod(F.col("place"), F.lit(len(weights))) + 1
+    weighted = written(ranked(sizes).select("source", "source_size", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), pick.cast("int")).alias("weight")))
+    stop = F.col("source_size") * F.lit(float(cap))
+    level, held = None, -1
+    while True:
+        above = F.lit(False) if level is None else F.lit(level) * F.col("weight") > stop
+        row = weighted.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.sum(F.when(above, stop)).alias("stopped"), F.sum(F.when(~above, F.col("weight"))).alias("open"), F.count_if(above).alias("n")).first()
+        if row.n == held or not row.open:
+            break
+        level, held = (float(share) * row["all"] - (row.stopped or 0.0)) / row.open, row.n
+    target = stop if level is None or not row.open else F.least(stop, F.lit(level) * F.col("weight"))
+    return weighted.select("source", "source_size", target.alias("target"))
 
 
 def mix_sources(
@@ -74,13 +82,11 @@ def mix_sources(
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), *keep)
     sizes = own.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
-    # A salt spreads the rows of a hot source; a run-time broadcast of the few targets needs none of it.
-    salted = own.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    spread = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("source", "of")
-    on = salted["__source"].eqNullSafe(spread["of"]) & (salted["__salt"] == spread["salt"])
+    keyed = own.withColumn("__of_source", F.xxhash64(F.coalesce(F.col("__source"), F.lit("")), F.col("__source").isNull()))
+    few = written(targets.withColumn("__of_source", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())).select("__of_source", "source_size", "target"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)
-    return salted.join(spread, on).select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), *keep)
+    return meet(keyed, few, "__of_source").select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), *keep)
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
