@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import small_batches, word_lists, written
+from vellum.llm.common import as_partitions, small_batches, word_lists, written
 
 #: Bytes of text that make a batch (about a million tokens), and exact counts that are broadcast at most.
 BATCH_BYTES, FREQUENT = 6 << 20, 1 << 19
+#: Bytes of all texts that a shard's n-grams come from.
+SHARD_BYTES = 24 << 20
 BITS_PER_MEMBER, PROBES, LEVELS = 8, 5, 40
 #: Share of the bigram estimate in a smoothed probability.
 LAMBDA = 0.6
@@ -150,11 +152,12 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Ta
         yield closed()
 
 
-def _packed(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of distinct, sorted hashes by shard, and where each shard starts in it."""
+def _packed(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of distinct, sorted hashes by shard, and (shard, from, to) for each shard that has some."""
     shard = shard_of(hashes, shards)
     order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
+    held, first = np.unique(shard[order], return_index=True)
+    return order, list(zip(held.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]))
 
 
 def ngram_levels(keyed: DataFrame, shards: int) -> DataFrame:
@@ -170,7 +173,7 @@ def ngram_levels(keyed: DataFrame, shards: int) -> DataFrame:
             for kind, hashes in ((UNIGRAM, joined), (BIGRAM, bigram_hashes(joined, ends)[0])):
                 hashes, counts = tally(hashes, once)
                 order, cuts = _packed(hashes, shards)
-                rows += [(name, kind, s, hashes[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+                rows += [(name, kind, s, hashes[order[a:b]].tobytes(), counts[order[a:b]].astype(np.uint32).tobytes()) for s, a, b in cuts]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["batch", "kind", "shard", "hashes", "counts"])
 
     def merge(_key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +187,7 @@ def ngram_levels(keyed: DataFrame, shards: int) -> DataFrame:
             asked += zip(part["batch"].to_pylist(), more)
             learned = [x > 0 for x in n]
             hashes, counts = tally(np.concatenate((hashes, *(x[k] for x, k in zip(more, learned)))), np.concatenate((counts, *(x[k] for x, k in zip(n, learned)))))
-        filters = shard_filters(kind, shard, shards, hashes, levels_of(counts))
+        filters = shard_filters(kind, hashes, levels_of(counts))
         for name, probed in asked:
             yield row([name], [kind], [shard], [filters.level(kind, probed).astype(np.uint8).tobytes()], [None], [None])
         for a in range(0, len(hashes) if kind == UNIGRAM else 0, 50_000):
@@ -200,26 +203,27 @@ def ngram_levels(keyed: DataFrame, shards: int) -> DataFrame:
     return blobs.groupBy("kind", "shard").applyInArrow(merge, "batch string, kind int, shard int, levels binary, h long, c long")
 
 
-def shard_filters(kind: int, shard: int, shards: int, hashes: np.ndarray, levels: np.ndarray) -> Filters:
-    """The filters of all levels of one shard's n-grams of one kind."""
-    starts, bits = (np.zeros((2, LEVELS + 2, shards), dtype=np.int64) for _ in range(2))
+def shard_filters(kind: int, hashes: np.ndarray, levels: np.ndarray) -> Filters:
+    """The filters of all levels of one shard's n-grams of one kind; they know of no other shard."""
+    starts, bits = (np.zeros((2, LEVELS + 2, 1), dtype=np.int64) for _ in range(2))
     data, size = [np.zeros(0, np.uint8)], 0
     for level in range(1, int(levels.max(initial=0)) + 1):
         made = np.frombuffer(make_filter(hashes[levels >= level]), dtype=np.uint8)
-        starts[kind, level, shard], bits[kind, level, shard] = size, len(made) * 8
+        starts[kind, level, 0], bits[kind, level, 0] = size, len(made) * 8
         data.append(made)
         size += len(made)
-    return Filters(shards, np.concatenate(data), starts, bits, (1, 1))
+    return Filters(1, np.concatenate(data), starts, bits, (1, 1))
 
 
 def frequent_counts(unigrams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of all unigrams from a least count on, the least for which there are FREQUENT of them at most."""
-    by_count = unigrams.groupBy(F.least("c", F.lit(4096)).alias("least")).count().orderBy(F.desc("least")).collect()
+    """Hashes, sorted, and counts of all unigrams from a least count on, the least power of two for which there are FREQUENT of them at most."""
+    # Counts by their power of two; the words left out each hold 1 / FREQUENT of all tokens at most, as so many are as frequent.
+    by_count = unigrams.groupBy(F.floor(F.log2("c")).cast("int").alias("power")).count().orderBy(F.desc("power")).collect()
     left, least = FREQUENT, None
     for r in by_count:
         if r["count"] > left:
             break
-        left, least = left - r["count"], r["least"]
+        left, least = left - r["count"], 1 << r["power"]
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     rows = unigrams.filter(F.col("c") >= least).toArrow()
@@ -233,16 +237,19 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     learn_from: condition on the rows of docs that are counted (default: all). Tokens are the
     words and one end, so a null or empty text has one token. base_score is the add-one unigram
-    log10 probability by exact counts, score the model's. If nothing is learned from, counts and
+    log10 probability by exact counts, score the model's: its counts are quantised, so the
+    smoothed shares do not add up to one, and a share over 1 counts as 1. If nothing is learned from, counts and
     train_tokens are 0 and each token has probability 1. Repeated rows are counted and returned
     each; an empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     learned = F.lit(True) if learn_from is None else F.coalesce(learn_from, F.lit(False))
     text = F.col(text_col)
     keyed = stable(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"), learned.alias("learned")))
-    with small_batches(spark):
+    # As many shards as keep one to SHARD_BYTES of text, each with its share of all n-grams.
+    size = keyed.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    with small_batches(spark), as_partitions(spark, shards):
         counted = written(ngram_levels(keyed, shards))
     unigrams = counted.filter("h is not null").select("h", "c")
     total, distinct = unigrams.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -254,8 +261,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = np.unique(hashes)
         order, cuts = _packed(found, shards)
         level = np.zeros(len(found), dtype=np.int64)
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            level[order[cuts[s] : cuts[s + 1]]] = np.frombuffer(answers[kind, s], np.uint8)
+        for s, a, b in cuts:
+            level[order[a:b]] = np.frombuffer(answers[kind, s], np.uint8)
         return found, level
 
     def smoothed(single: tuple[np.ndarray, np.ndarray], double: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -312,7 +319,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = keyed.mapInArrow(named, f"batch string, doc_id {id_type}, text_hash long, text binary")
     answers = counted.filter("batch is not null").select("batch", "kind", "shard", "levels")
     scored = texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, f"doc_id {id_type}, text_hash long, n long, known long, base double, model double, h long")
-    with small_batches(spark):
+    with small_batches(spark), as_partitions(spark, shards):
         held = written(scored)
     shipped.destroy()  # else idle workers keep every call's counts
     return _with_rare_words(held, unigrams, total, norm)
