@@ -119,8 +119,8 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids and texts, none longer than MAX_CHARS or without a letter; rows that repeat an id and a text are one document."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= MAX_CHARS) & F.col("text").rlike(r"\p{L}"))
+    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids and texts; of a text over MAX_CHARS an excerpt from a place that the hash tells. Texts without a letter are left out; rows that repeat an id and a text are one document."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     # The least hashes of a frequent language lie below a bound that its count tells, so few of its rows are ranked.
     bounds = hashed.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE * (1 << 40)) / F.approx_count_distinct("at")).alias("bound"))
@@ -128,8 +128,9 @@ def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
     # One row for each language, of which the model has a column of weights each.
     few = hashed.join(F.broadcast(bounds), "lang").filter("at <= bound").dropDuplicates(["lang", "at", "doc_id"])
     picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
-    rows = picked.select("lang", "place", "text").orderBy("lang", "place").collect()
-    return [(r.text, r.lang) for r in rows]
+    start = F.pmod(F.col("at"), F.greatest(F.lit(1), F.length("text") - MAX_CHARS + 1)).cast("int") + 1
+    rows = picked.select("lang", "place", F.substring("text", start, F.lit(MAX_CHARS)).alias("text")).orderBy("lang", "place").collect()
+    return [(r.text, r.lang) for r in rows if _LETTER.search(r.text)]
 
 
 def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn_from: Column | None = None, keep: Sequence[str] = ()) -> DataFrame:
