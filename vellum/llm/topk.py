@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Most rows of a block on average, and queries whose scores are accumulated together.
 CANDIDATE_BLOCK, QUERY_BLOCK, TILE = 8192, 1024, 16
+LONG = (-(2**63) + 1, 2**63 - 1)
 
 
 def quantised(vector: Column, scale: float = 64.0) -> Column:
@@ -38,9 +39,10 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weig
     """(query_id, vec_id, score) of each query's k best rows of the block, ties to the smaller id, its own row excluded."""
     order = np.argsort(ids, kind="stable")
     ids, weights, n = ids[order], weights[order], len(ids)
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(weights).max(initial=0)) * max(1, weights.shape[1])
+    reach = lambda x: max(abs(int(x.min(initial=0))), int(x.max(initial=0)))
+    most = reach(queries) * reach(weights) * max(1, weights.shape[1])
     # Sums are exact in a type whose integers reach the largest possible one.
-    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
+    kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**62 else object
     postings = []
     for term in range(weights.shape[1]):
         held = np.flatnonzero(weights[:, term])
@@ -60,7 +62,7 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weig
             else:
                 scores[:, held] += part[:, term, None] * value
         # One key orders by score, then by smaller id; a query's own rows come last of all.
-        whole, own = scores.astype(np.int64), np.zeros(scores.shape, dtype=bool)
+        whole, own = (scores if kind is not object else np.clip(scores, *LONG)).astype(np.int64), np.zeros(scores.shape, dtype=bool)
         for i, (x, y) in enumerate(zip(low[a : a + TILE], high[a : a + TILE])):
             own[i, x:y] = True
         if most < 2**62 // max(n, 1) // 2:
@@ -83,7 +85,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, *, k: int = 20, id_col
     Rows with the query's own id are not its candidates; ties go to the smaller id. Rows whose
     id or weights are null take no part. Rows that repeat an id with other weights are
     candidates of their own, and a query id that repeats is one query for each distinct
-    vector, ranked together. Empty tables give an empty result; other columns are not read.
+    vector, ranked together. A score beyond 64 bits counts as the last one within. Empty tables give an empty result; other columns are not read.
     """
 
     def own(frame: DataFrame) -> DataFrame:
@@ -93,8 +95,9 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, *, k: int = 20, id_col
     blocks = lambda frame, size: max(1, -(-frame.count() // size))
     n_asked, n_held = blocks(asked, QUERY_BLOCK), blocks(held, CANDIDATE_BLOCK)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = held.withColumn("c", block(n_held)).withColumn("q", numbers(n_asked))
+    block = lambda n, *by: F.pmod(F.xxhash64("id", "weights", *by), F.lit(n)).cast("int")
+    # Rows that repeat an id, or an id and its weights, are spread like any others.
+    left = held.withColumn("c", block(n_held, F.spark_partition_id())).withColumn("q", numbers(n_asked))
     right = asked.withColumn("q", block(n_asked)).withColumn("c", numbers(n_held))
 
     def best(some: pa.Table, asking: pa.Table) -> pa.Table:
