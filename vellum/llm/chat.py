@@ -17,13 +17,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN, MIDDLE, CLOSE = b"<s>[", b"]\n", b"</s>\n"
 ESCAPED, MARK = b"<[]\\", ord("\\")
-#: Bytes whose places are computed at a time.
-CHUNK = 1 << 20
+#: Bytes whose places are computed at a time, and bytes of roles and texts that are put together in one buffer, but for a longer conversation.
+CHUNK, BUFFER = 1 << 20, 1 << 27
 _TURN = re.compile(r"<s>\[(.*?)\]\n(.*?)</s>\n", re.DOTALL)
 _UNESCAPE = re.compile(r"([<\[\]\\])\\")
 _IS_ESCAPED = np.isin(np.arange(256), np.frombuffer(ESCAPED, dtype=np.uint8))
@@ -119,8 +120,14 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[pa.RecordBatch] = []
 
-        def close(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-            return assemble(batch.column(0), batch.column(1), batch.column(2), starts, learn)
+        def close(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(i)), 0), dtype=np.int64) for i in (1, 2))
+            buffer = np.cumsum(np.add.reduceat(sizes, starts)) // BUFFER
+            bounds = np.append(starts, batch.num_rows)
+            for own in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(buffer)) + 1):
+                a, b = int(bounds[own[0]]), int(bounds[own[-1] + 1])
+                part = batch.slice(a, b - a)
+                yield assemble(part.column(0), part.column(1), part.column(2), starts[own] - a, learn)
 
         def one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -140,15 +147,15 @@ def format_chats(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "
                     if cut == batch.num_rows:
                         continue
                     batch, changed = batch.slice(cut), changed[1:] - cut
-                yield close(one(pending), np.array([0]))
+                yield from close(one(pending), np.array([0]))
                 pending = []
             if len(changed):
                 last = int(changed[-1])
-                yield close(one([batch.slice(0, last)]), np.append(0, changed[:-1]))
+                yield from close(one([batch.slice(0, last)]), np.append(0, changed[:-1]))
                 batch = batch.slice(last)
             pending = [batch]
         if pending:
-            yield close(one(pending), np.array([0]))
+            yield from close(one(pending), np.array([0]))
 
     own = turns.select(F.col(id_col).cast("long").alias("conv_id"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.col(turn_col).alias("turn"))
     ordered = own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
