@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import checkpointed, word_lists
-from vellum.llm.components import connected_components
+from vellum.llm.components import connected_components, with_root
 
 #: Nodes of a block on average, pairs compared at a time, and words that are abandoned together.
 BLOCK, PAIRS, WORDS = 512, 1 << 17, 16
-#: The rows of one fingerprint are spread over so many join keys.
-SALTS = 8
+#: Fingerprints of more rows than this are joined by broadcast: there are no more of them than rows / HEAVY.
+HEAVY = 100_000
 
 
 def fingerprint(data: bytes, size: int = 3, seed: int = 42) -> int:
@@ -221,9 +221,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     # Only copies and linked fingerprints can have a component that isn't their own row's id.
     rooted = nodes.join(roots, "fp", "left").filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = rooted.join(least, "root").select(F.col("fp").alias("of"), "component_id")
-    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = marked.withColumn("row_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    joined = own.join(salted, (own["fp"] == salted["of"]) & (own["row_salt"] == salted["salt"]), "left")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "__root")
+    found = checkpointed(with_root(rooted, "root", least, "fp").select(F.col("fp").alias("of"), "component_id", "n"))
+    heavy = found.filter(F.col("n") > HEAVY).select(F.col("of").alias("heavy"), F.col("component_id").alias("heavy_id"))
+    light = found.filter(F.col("n") <= HEAVY).drop("n")
+    # Rows of a heavy fingerprint have their component already; in the second join they are dealt by id.
+    first = marked.join(F.broadcast(heavy), marked["fp"] == heavy["heavy"], "left")
+    dealt = first.withColumn("key", F.when(F.col("heavy").isNull(), F.struct(F.lit(True).alias("light"), F.col("fp").alias("of"))).otherwise(F.struct(F.lit(False).alias("light"), F.xxhash64("doc_id").alias("of"))))
+    joined = dealt.join(light.select(F.struct(F.lit(True).alias("light"), "of").alias("key"), "component_id"), "key", "left")
+    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("heavy_id", "component_id", "doc_id").alias("component_id"))
