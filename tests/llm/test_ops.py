@@ -16,7 +16,7 @@ import xxhash
 from conftest import same_rows
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, html_text, language, lm, mixing, queries, secrets, simhash, tokens, topk, trigrams
+from vellum.llm import chat, common, decontaminate, html_text, language, lm, mixing, queries, secrets, simhash, tokens, topk, trigrams
 from vellum.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, kinds int"
@@ -223,7 +223,7 @@ def test_secrets_beyond_the_broadcast(spark, monkeypatch):
     scan = lambda: Counter((r.doc_id, r.text, r.s) for r in secrets.scan_secrets(docs).select("doc_id", "text", secrets.spans_text(F.col("spans")).alias("s")).collect())
     want = Counter((i, t or "", ",".join(brute_secrets(t or ""))) for i, t in rows)
     assert scan() == want
-    monkeypatch.setattr(secrets, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     assert scan() == want
 
 
@@ -286,11 +286,17 @@ def test_decontamination_finds_planted_items(spark):
             text = text[:50] + piece + text[50:]
             planted.add((d, item))
         texts.append(" ".join(w.upper() if rng.random() < 0.2 else w for w in text) + "!")
-    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(None, None), (90, "two words"), (91, "")], "item_id long, text string")
+    some = max(texts, key=len).lower().strip("!").split()
+    short = {90: ["w7"], 91: some[3:5], 92: some[:4], 93: ["w1", "w1", "w1"]}
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in (*enumerate(items), *short.items())] + [(None, None), (None, " ".join(items[0])), (94, "")], "item_id long, text string")
     shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
     lower = [re.findall(r"[a-z0-9]+", t.lower()) for t in texts]
     want = {(d, i) for d, t in enumerate(lower) for i, x in enumerate(items) if len(shingles(t) & shingles(x)) >= 0.8 * len(shingles(x))}
     assert planted <= want
+    long = {d for d, _ in want}
+    want |= {(d, None) for d, i in want if i == 0}
+    want |= {(d, i) for d, t in enumerate(lower) for i, x in short.items() if any(t[a : a + len(x)] == x for a in range(len(t)))}
+    assert {90, 91, 92} <= {i for _, i in want}
     for limit in (decontaminate.BROADCAST_HASHES, 0):  # the broadcast and the shuffled way
         decontaminate.BROADCAST_HASHES, before = limit, decontaminate.BROADCAST_HASHES
         try:
@@ -299,7 +305,17 @@ def test_decontamination_finds_planted_items(spark):
             decontaminate.BROADCAST_HASHES = before
         assert got == want
     left = {r.doc_id for r in decontaminate.decontaminate(docs_of(spark, texts), bench).collect()}
-    assert left == set(range(120)) - {d for d, _ in want}
+    assert left == set(range(120)) - long
+
+
+def test_decontamination_beyond_the_broadcast(spark, monkeypatch):
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(None, f"a {item} b", 1), (None, "clean", 2), (7, item, 3), (7, "other words", 4), (7, item, 3), (8, None, 5)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, item, "x")], "item_id long, text string, doc_id string")
+    for bound in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        assert {tuple(r) for r in decontaminate.contaminated(docs, items).collect()} == {(None, 1, 1.0), (7, 1, 1.0)}
+        assert Counter(map(tuple, decontaminate.decontaminate(docs, items).collect())) == Counter([(None, "clean", 2), (7, "other words", 4), (8, None, 5)])
 
 
 # 4: tokens
@@ -420,6 +436,15 @@ def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(70)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5, 5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(71)} | {1000 + i: 1000 for i in range(300)}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_heavy_fingerprints_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HEAVY", 3)
+    texts = ["same words as all the others have"] * 6 + ["none"] * 2 + [None, "", "alone in the world"]
+    rows = [(i if i not in (2, 6) else None, t) for i, t in enumerate(texts)]
+    got = Counter((r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter([(None if i == 2 else i, 0) for i in range(6)] + [(None, 7), (7, 7), (8, 8), (9, 8), (10, 10)])
 
 
 def test_near_duplicates_on_documents(spark, sf_dir):
@@ -506,6 +531,14 @@ def test_language_learns_from_null_and_repeated_ids(spark):
     assert {(r.lang, r.lang_pred) for r in language.identify_languages(docs, keep=["lang"]).distinct().collect()} == {("en", "en"), ("fr", "fr")}
 
 
+def test_language_learns_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_CHARS", 200)
+    words = {"en": "the of and that with this from have they which ", "fr": "le les des une est que qui dans pour avec "}
+    docs = spark.createDataFrame([(i, (w * 30 if lang == "en" else w) + f"{i}", lang) for lang, w in words.items() for i in range(40)], "doc_id long, text string, lang string")
+    assert all(len(t) <= 200 for t, _ in language.training_sample(docs))
+    assert {(r.lang, r.lang_pred) for r in language.identify_languages(docs, keep=["lang"]).distinct().collect()} == {("en", "en"), ("fr", "fr")}
+
+
 # 9: language model
 
 
@@ -576,10 +609,10 @@ def test_topk_matches_brute_force(scale):
     ids = rng.permutation(np.repeat(np.arange(150), 2))
     q, v, s = topk.block_best(ids[:40], weights[:40], ids, weights, 20)
     for a in range(40):
-        rows = sorted((-int(weights[a] @ weights[b]), int(ids[b])) for b in range(300) if ids[b] != ids[a])[:20]
-        mine = slice(None)
+        score = lambda b: max(topk.LONG[0], min(topk.LONG[1], sum(int(x) * int(y) for x, y in zip(weights[a], weights[b]))))
+        rows = sorted((-score(b), int(ids[b])) for b in range(300) if ids[b] != ids[a])[:20]
         got = sorted(zip((-s[q == ids[a]]).tolist(), v[q == ids[a]].tolist()))
-        assert all(r in got for r in rows), mine
+        assert all(r in got for r in rows)
 
 
 def test_topk_with_few_rows_and_bad_vectors(spark):
@@ -589,17 +622,50 @@ def test_topk_with_few_rows_and_bad_vectors(spark):
     assert got == [(20, 1, 2, 32 * 16 + 32 * 64), (20, 2, 1, 32 * 64 + 32 * 32)] or got == [(20, 1, 1, 3072), (20, 2, 2, 2560)]
 
 
+@pytest.mark.parametrize("size", [2**40, 2**61])
+def test_topk_scores_beyond_64_bits(size):
+    ids, weights = np.arange(4), np.array([[size, size], [size, 1], [-size, -size], [1, 2]], dtype=np.int64)
+    q, v, s = topk.block_best(ids[:1], weights[:1], ids, weights, 20)
+    clip = lambda x: max(topk.LONG[0], min(topk.LONG[1], x))
+    want = {b: clip(sum(int(x) * int(y) for x, y in zip(weights[0], weights[b]))) for b in (1, 2, 3)}
+    assert dict(zip(v.tolist(), s.tolist())) == want
+
+
+def test_topk_with_one_id_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    rows = [(1, [i % 5, 1], "x") for i in range(60)] + [(2, [1, 1], "y")] * 30 + [(20, [1, 0], "z")]
+    vectors = spark.createDataFrame(rows, "vec_id long, weights array<long>, query_id string").repartition(4)
+    got = [(r["rank"], r.vec_id, r.score) for r in topk.exact_topk(vectors.filter("vec_id = 20"), vectors).orderBy("rank").collect()]
+    want = sorted(((-w[0], v) for v, w, _ in rows if v != 20))[:20]
+    assert got == [(i + 1, v, -s) for i, (s, v) in enumerate(want)]
+
+
+def test_chats_in_small_buffers_with_clashing_columns(spark, monkeypatch):
+    rows = [(c, t, "assistant", f"{c}.{t} " * c, 1, "x") for c in range(12) for t in range(3)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int, formatted string")
+    monkeypatch.setattr(chat, "BUFFER", 40)
+    assert [(r.conv_id, chat.read_back(r.formatted)) for r in chat.format_chats(frame).orderBy("conv_id").collect()] == [(c, [("assistant", f"{c}.{t} " * c) for t in range(3)]) for c in range(12)]
+
+
 # Odd tables
 
 
 def test_odd_documents(spark, odd):
-    n = odd.count()
-    assert secrets.scan_secrets(odd).count() == n
-    assert tokens.count_tokens(odd, public_tokenizers.path("byte_bpe_50k.json")).count() == n
-    assert mixing.mix_sources(odd).count() == n
-    assert simhash.near_duplicates(odd).count() == n
-    assert language.identify_languages(odd).count() == n
-    assert lm.score_documents(odd).count() == n
+    ids = Counter(r.doc_id for r in odd.collect())
+    own = lambda frame, *columns: Counter((r.doc_id, *(r[c] for c in columns)) for r in frame.collect())
+    found = secrets.scan_secrets(odd)
+    assert own(found) == Counter({(k,): n for k, n in ids.items()}) and [r.doc_id for r in found.filter("size(spans) > 0").collect()] == [6]  # a run of hex digits
+    sizes = {None: 0, 1: 0, 2: 0, 3: 0, 4: 8, 5: 180_000, 6: 1}
+    assert own(mixing.mix_sources(odd), "size") == Counter({(k, sizes[k]): n for k, n in ids.items()})
+    prints = {k: k for k in ids} | {None: 1, 2: 1, 3: 1}  # texts without a word are linked; the null id takes its component's
+    assert own(simhash.near_duplicates(odd), "component_id") == Counter({(k, prints[k]): n for k, n in ids.items()})
+    lm_rows = lm.score_documents(odd)
+    assert own(lm_rows, "n_tokens", "n_known") == Counter({(k, sizes[k] + 1, sizes[k] + 1): n for k, n in ids.items()})
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in lm_rows.collect())
+    named = {k: "und" if k in (None, 1, 2, 3) else "en" if k in (4, 5) else "de" for k in ids}
+    assert own(language.identify_languages(odd), "lang_pred") == Counter({(k, named[k]): n for k, n in ids.items()})
+    counts = own(tokens.count_tokens(odd, public_tokenizers.path("byte_bpe_50k.json")), "n_bytes")
+    assert counts == Counter({(r.doc_id, len((r.text or "").encode())): ids[r.doc_id] for r in odd.collect()})
     items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(odd, items).collect()] == [(4, 1)]
 
