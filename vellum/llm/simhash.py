@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import checkpointed, word_lists
+from vellum.llm.common import checkpointed, small_batches, word_lists
 from vellum.llm.components import connected_components, with_root
 
 #: Nodes of a block on average, pairs compared at a time, and words that are abandoned together.
@@ -216,7 +216,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     row's own included; null ids have none of their own and take their component's. Repeated
     rows are returned each; an empty table gives an empty result; other columns are not read.
     """
-    marked = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
+    with small_batches(docs.sparkSession):
+        marked = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = connected_components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
     # Only copies and linked fingerprints can have a component that isn't their own row's id.
