@@ -17,6 +17,7 @@ from vellum.llm.html_text import extract_text
 from vellum.llm.language import identify_languages
 from vellum.llm.lm import score_documents
 from vellum.llm.mixing import mix_sources
+from vellum.llm.prefix_trie import branched, numbered, trie_nodes, turn_digests
 from vellum.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, spans_text
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.tokens import count_tokens
@@ -89,11 +90,41 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors.filter("vec_id % 20 = 0"), vectors)
 
 
+#: Turns at most that op11 takes from a conversation's base.
+SHARED_TURNS = 8
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = numbered(turn_digests(table(spark, sf_dir, "conversations")))
+    conv = F.col("conv_id")
+    shared = (F.crc32(conv.cast("string").cast("binary")) % (SHARED_TURNS + 1)).cast("int")
+    return trie_nodes(*branched(places, conv - conv % 5, shared, SHARED_TURNS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk)}
+    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk, op11_prefix_trie)}
 
 
 SQL = {
+    "op11_prefix_trie": """
+WITH z AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crcs),
+t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content, strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT conv_id, content, n_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) - 1 AS place FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c // 256, crcs[(xor(c % 256, b) + 1)::INT])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM p), z),
+a AS (SELECT c.conv_id, p.place, p.content, p.n_bytes FROM c JOIN p ON p.conv_id = c.base AND p.place < c.h),
+k AS (SELECT conv_id, count(*) AS k FROM a GROUP BY conv_id),
+r AS (SELECT * FROM a UNION ALL SELECT conv_id, place - h + coalesce(k, 0), content, n_bytes FROM p JOIN c USING (conv_id) LEFT JOIN k USING (conv_id) WHERE place >= h),
+m AS (SELECT conv_id, 0 AS depth, '' AS node, 0 AS n_bytes FROM c UNION ALL
+  SELECT conv_id, place + 1, md5(string_agg(content, ',') OVER (PARTITION BY conv_id ORDER BY place)), n_bytes FROM r),
+l AS (SELECT *, lag(node) OVER w AS up, lead(node) OVER w IS NULL AS ends FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT node, any_value(up) AS up, min(conv_id) AS conv_id, any_value(depth)::BIGINT AS depth, count(*) AS n_convs, (count(*) - 1) * any_value(n_bytes) AS own, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM l GROUP BY node),
+d AS (SELECT up AS node, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+s AS (SELECT l.node, count(*) FILTER (WHERE d.node IS NULL) AS n_leaves, sum(n.own)::BIGINT AS saved_tokens FROM n LEFT JOIN d USING (node) JOIN l ON l.conv_id = n.conv_id AND l.depth <= n.depth GROUP BY l.node)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (node) LEFT JOIN d USING (node) LEFT JOIN n u ON u.node = n.up
+""",
     "op10_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
