@@ -22,6 +22,7 @@ from vellum.llm.secrets import BASE_RULES, RULES, Rule, scan_secrets, spans_text
 from vellum.llm.simhash import near_duplicates
 from vellum.llm.tokens import count_tokens
 from vellum.llm.topk import exact_topk, quantised
+from vellum.llm.whitening import whiten
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +102,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_nodes(*branched(places, conv - conv % 5, shared, SHARED_TURNS))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk, op11_prefix_trie, op12_whitening)}
 
 
 SQL = {
