@@ -15,6 +15,7 @@ from vellum.llm.common import held_out, table
 from vellum.llm.decontaminate import contaminated
 from vellum.llm.html_text import extract_text
 from vellum.llm.language import identify_languages
+from vellum.llm.line_quality import score_quality
 from vellum.llm.lm import score_documents
 from vellum.llm.mixing import mix_sources
 from vellum.llm.prefix_trie import branched, numbered, trie_nodes, turn_digests
@@ -106,8 +107,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), learn_from=~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk, op11_prefix_trie, op12_whitening)}
+    return {f.__name__: f for f in (op1_html_text, op2_secrets, op3_decontamination, op4_tokens, op5_mixing, op6_simhash, op7_chat, op8_language, op9_lm, op10_topk, op11_prefix_trie, op12_whitening, op13_line_quality)}
 
 
 SQL = {
