@@ -607,12 +607,12 @@ def test_topk_matches_brute_force(scale):
     rng = np.random.default_rng(scale)
     weights = rng.integers(-9, 9, (300, 12)) * (rng.random((300, 12)) < 0.4) * scale
     ids = rng.permutation(np.repeat(np.arange(150), 2))
-    q, v, s = topk.block_best(ids[:40], weights[:40], ids, weights, 20)
+    at, v, s, own = topk.block_best(ids[:40], weights[:40], ids, weights, 20)
     for a in range(40):
         score = lambda b: max(topk.LONG[0], min(topk.LONG[1], sum(int(x) * int(y) for x, y in zip(weights[a], weights[b]))))
-        rows = sorted((-score(b), int(ids[b])) for b in range(300) if ids[b] != ids[a])[:20]
-        got = sorted(zip((-s[q == ids[a]]).tolist(), v[q == ids[a]].tolist()))
-        assert all(r in got for r in rows)
+        rows = sorted((-score(b), int(ids[b])) for b in range(300))[:20]
+        assert sorted(zip((-s[at == a]).tolist(), v[at == a].tolist())) == rows
+        assert set(v[(at == a) & own].tolist()) <= {int(ids[a])}
 
 
 def test_topk_with_few_rows_and_bad_vectors(spark):
@@ -625,10 +625,10 @@ def test_topk_with_few_rows_and_bad_vectors(spark):
 @pytest.mark.parametrize("size", [2**40, 2**61])
 def test_topk_scores_beyond_64_bits(size):
     ids, weights = np.arange(4), np.array([[size, size], [size, 1], [-size, -size], [1, 2]], dtype=np.int64)
-    q, v, s = topk.block_best(ids[:1], weights[:1], ids, weights, 20)
+    _, v, s, own = topk.block_best(ids[:1], weights[:1], ids, weights, 20)
     clip = lambda x: max(topk.LONG[0], min(topk.LONG[1], x))
-    want = {b: clip(sum(int(x) * int(y) for x, y in zip(weights[0], weights[b]))) for b in (1, 2, 3)}
-    assert dict(zip(v.tolist(), s.tolist())) == want
+    want = {b: clip(sum(int(x) * int(y) for x, y in zip(weights[0], weights[b]))) for b in range(4)}
+    assert dict(zip(v.tolist(), s.tolist())) == want and v[own].tolist() == [0]
 
 
 def test_topk_with_one_id_and_equal_rows(spark, monkeypatch):
@@ -640,6 +640,19 @@ def test_topk_with_one_id_and_equal_rows(spark, monkeypatch):
     assert got == [(i + 1, v, -s) for i, (s, v) in enumerate(want)]
 
 
+def test_topk_rows_that_share_the_querys_id_are_candidates(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 4)
+    rows = [(20, [3, 1]), (20, [2, 0]), (20, [2, 0]), (40, [1, 1]), (7, [1, 2]), (None, [9, 9]), (8, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, weights array<long>").repartition(3)
+    got = Counter(tuple(r) for r in topk.exact_topk(vectors.filter("vec_id % 20 = 0"), vectors, k=3).collect())
+    want, usable = Counter(), [(v, w) for v, w in rows if v and w]
+    for i, (v, w) in enumerate(usable):
+        if v % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(w, y)), x) for j, (x, y) in enumerate(usable) if j != i)[:3]
+            want.update((v, r, x, -s) for r, (s, x) in enumerate(best, 1))
+    assert got == want
+
+
 def test_chats_in_small_buffers_with_clashing_columns(spark, monkeypatch):
     rows = [(c, t, "assistant", f"{c}.{t} " * c, 1, "x") for c in range(12) for t in range(3)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns int, formatted string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,6 +87,38 @@ def meet(rows: DataFrame, few: DataFrame, key: str, broadcast_rows: int | None =
     return spread.join(salted, (F.col(key) == F.col("__of")) & (F.col("__own") == F.col("__salt")), "left").drop("__of", "__own", "__salt")
 
 
+def packed(names: Sequence[str]) -> Column:
+    """The named columns as one struct, so that no name of a caller's meets one of an operator's own; unpacked gives them back."""
+    return F.struct(F.lit(True).alias("any"), *[F.col(_quoted(c)).alias(f"c{i}") for i, c in enumerate(names)])
+
+
+def unpacked(names: Sequence[str], of: str) -> list[Column]:
+    return [F.col(of)[f"c{i}"].alias(c) for i, c in enumerate(names)]
+
+
+def refuse_clash(kept: Sequence[str], own: Sequence[str]) -> None:
+    """Columns to keep that are named as the result's own, or twice, can't both be returned."""
+    if clash := sorted({c for c in kept if c in own or list(kept).count(c) > 1}):
+        raise ValueError(f"columns to keep are named as the result's own, or twice: {clash}; rename them first")
+
+
+def fresh(name: str, taken: Sequence[str]) -> str:
+    """The name, with underscores after it until it is not taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_hash(*columns: Column) -> Column:
+    """128 bits that tell rows apart: of 10^12 rows no two are expected to share it. A null differs from any value."""
+    known = [F.coalesce(c.cast("string"), F.lit("")) for c in columns] + [c.isNull() for c in columns]
+    return F.struct(*[F.xxhash64(F.lit(lane), *known).alias(f"h{lane}") for lane in (1, 2)])
+
+
 @contextmanager
 def as_partitions(spark: SparkSession, least: int) -> Iterator[None]:
     """Shuffles of jobs that run inside make so many partitions at least; the session's setting is put back."""

@@ -101,40 +101,42 @@ def memberships(turns: DataFrame, convs: DataFrame) -> DataFrame:
 def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted (id1, id2, conv_id) -> the node's conv_ids, comma-joined, CHUNK_IDS at most, with the first."""
     held, of = [], None
-
-    def chunk() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"id1": [of[0]], "id2": [of[1]], "first": [held[0]], "ids": [",".join(map(str, held))]})
-
     for batch in batches:
-        a, b, c = (x.to_pylist() for x in batch.columns)
-        for node, conv in zip(zip(a, b), c):
+        out = []
+        for *node, conv in zip(*(x.to_pylist() for x in batch.columns)):
             if node != of or len(held) == CHUNK_IDS:
                 if held:
-                    yield chunk()
+                    out.append((*of, held[0], ",".join(map(str, held))))
                 held, of = [], node
             held.append(conv)
+        yield _batch(out, CHUNKS)
     if held:
-        yield chunk()
+        yield _batch([(*of, held[0], ",".join(map(str, held)))], CHUNKS)
 
 
 def _hashed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted chunks -> one digest for each node, fed chunk by chunk."""
     of, state = None, None
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"id1": [of[0]], "id2": [of[1]], "ends_sha256": [state.hexdigest()]})
-
     for batch in batches:
-        a, b, _, ids = (x.to_pylist() for x in batch.columns)
-        for node, text in zip(zip(a, b), ids):
+        out = []
+        for *node, _, ids in zip(*(x.to_pylist() for x in batch.columns)):
             if node == of:
-                state.update(b"," + text.encode())
-            else:
-                if state:
-                    yield done()
-                of, state = node, hashlib.sha256(text.encode())
+                state.update(b"," + ids.encode())
+                continue
+            if state:
+                out.append((*of, state.hexdigest()))
+            of, state = node, hashlib.sha256(ids.encode())
+        yield _batch(out, DIGESTS)
     if state:
-        yield done()
+        yield _batch([(*of, state.hexdigest())], DIGESTS)
+
+
+CHUNKS = pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("first", pa.int64()), ("ids", pa.string())])
+DIGESTS = pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("ends_sha256", pa.string())])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
 def ends_digests(ends: DataFrame) -> DataFrame:

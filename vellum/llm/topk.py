@@ -35,8 +35,8 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best rows of the block, ties to the smaller id, its own row excluded."""
+def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, vec_id, score, own) of each query's k best rows of the block, ties to the smaller id; own: of the query's id and weights."""
     order = np.argsort(ids, kind="stable")
     ids, weights, n = ids[order], weights[order], len(ids)
     reach = lambda x: max(abs(int(x.min(initial=0))), int(x.max(initial=0)))
@@ -48,8 +48,7 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weig
         held = np.flatnonzero(weights[:, term])
         dense = 2 * len(held) >= n
         postings.append((None if dense else held, weights[:, term].astype(kind) if dense else weights[held, term].astype(kind)))
-    low, high = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for a in range(0, len(query_ids), TILE):
         part = queries[a : a + TILE].astype(kind)
         scores, scratch = np.zeros((len(part), n), dtype=kind), np.empty((len(part), n), dtype=kind)
@@ -61,37 +60,34 @@ def block_best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, weig
                 scores += scratch
             else:
                 scores[:, held] += part[:, term, None] * value
-        # One key orders by score, then by smaller id; a query's own rows come last of all.
-        whole, own = (scores if kind is not object else np.clip(scores, *LONG)).astype(np.int64), np.zeros(scores.shape, dtype=bool)
-        for i, (x, y) in enumerate(zip(low[a : a + TILE], high[a : a + TILE])):
-            own[i, x:y] = True
+        # One key orders by score, then by smaller id.
+        whole = (scores if kind is not object else np.clip(scores, *LONG)).astype(np.int64)
         if most < 2**62 // max(n, 1) // 2:
             keys = whole * n + (n - 1 - np.arange(n))
-            keys[own] = np.iinfo(np.int64).min
             best = np.argpartition(keys, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), keys.shape)
         else:
-            best = np.stack([np.lexsort((np.arange(n), -row, mine))[:k] for row, mine in zip(whole, own)]) if n else np.zeros((len(part), 0), int)
+            best = np.stack([np.lexsort((np.arange(n), -row))[:k] for row in whole]) if n else np.zeros((len(part), 0), int)
         line = np.repeat(np.arange(len(part)), best.shape[1])
         best = best.ravel()
-        kept = ~own[line, best]
-        line, best = line[kept], best[kept]
-        found.append((query_ids[a + line], ids[best], whole[line, best]))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], ids[:0])
+        own = (ids[best] == query_ids[a + line]) & (weights[best] == queries[a + line]).all(axis=1)
+        found.append((a + line, ids[best], whole[line, best], own))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (ids[:0], ids[:0], ids[:0], ids[:0] > 0)
 
 
 def exact_topk(queries: DataFrame, candidates: DataFrame, *, k: int = 20, id_col: str = "vec_id", weights_col: str = "weights") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k rows of highest inner product, all if fewer.
 
-    Rows with the query's own id are not its candidates; ties go to the smaller id. Rows whose
-    id or weights are null take no part. Rows that repeat an id with other weights are
-    candidates of their own, and a query id that repeats is one query for each distinct
-    vector, ranked together. A score beyond 64 bits counts as the last one within. Empty tables give an empty result; other columns are not read.
+    Every row is a query, or a candidate, of its own, rows that repeat an id too. A query's own
+    row is no candidate of its: of the candidates with its id and weights one is left out, whichever, as they are
+    alike. Ties go to the smaller id. Rows whose id or weights are null take no part. A score beyond 64 bits
+    counts as the last one within. Empty tables give an empty result; other columns are not read.
     """
 
     def own(frame: DataFrame) -> DataFrame:
         return frame.select(F.col(id_col).cast("long").alias("id"), F.col(weights_col).cast("array<long>").alias("weights")).dropna()
 
-    asked, held = own(queries).dropDuplicates(), own(candidates)
+    # Equal queries are searched once and returned as often as they are asked.
+    asked, held = own(queries).groupBy("id", "weights").agg(F.count("*").alias("times")), own(candidates)
     blocks = lambda frame, size: max(1, -(-frame.count() // size))
     n_asked, n_held = blocks(asked, QUERY_BLOCK), blocks(held, CANDIDATE_BLOCK)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -103,11 +99,18 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, *, k: int = 20, id_col
     def best(some: pa.Table, asking: pa.Table) -> pa.Table:
         width = max([0, *(int(t["weights"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).max()) for t in (some, asking) if t.num_rows)])
         if not some.num_rows or not asking.num_rows:
-            parts = (np.zeros(0, np.int64),) * 3
-        else:
-            parts = block_best(asking["id"].to_numpy(), _matrix(asking["weights"], width), some["id"].to_numpy(), _matrix(some["weights"], width), k)
-        return pa.table([pa.array(x, pa.int64()) for x in parts], names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(best, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            return pa.table([pa.array([], x) for x in (pa.int64(),) * 5 + (pa.bool_(),)], names=names)
+        # One more than asked for, as the query's own row may be among them.
+        at, ids, scores, own_row = block_best(asking["id"].to_numpy(), _matrix(asking["weights"], width), some["id"].to_numpy(), _matrix(some["weights"], width), k + 1)
+        of = asking.select(["id", "key", "times"]).take(pa.array(at))
+        return pa.table([*of.columns, pa.array(ids, pa.int64()), pa.array(scores, pa.int64()), pa.array(own_row, pa.bool_())], names=names)
+
+    names = ["query_id", "key", "times", "vec_id", "score", "own"]
+    right = right.withColumn("key", F.xxhash64("weights"))
+    found = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(best, "query_id long, key long, times long, vec_id long, score long, own boolean")
+    one = Window.partitionBy("query_id", "key")
+    placed = found.withColumn("place", F.row_number().over(one.orderBy(F.desc("score"), "vec_id", F.desc("own")))).filter(F.col("place") <= k + 1)
+    own_place = F.coalesce(F.min(F.when(F.col("own"), F.col("place"))).over(one), F.lit(k + 1))
+    ranked = placed.withColumn("own_place", own_place).filter("place != own_place").withColumn("rank", F.col("place") - (F.col("place") > F.col("own_place")).cast("int"))
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", again.alias("time")).drop("time")
