@@ -364,6 +364,40 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
     assert mixing.mixed_documents(docs).count() == rows.agg(F.sum("copies")).first()[0]
 
 
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows"])
+def test_mix_comes_near_its_targets_whatever_the_ids(spark, kind):
+    texts = {"null ids": lambda i: f"w{i} " * 10, "one id": lambda i: f"w{i} " * 10, "equal rows": lambda i: "w " * 10}[kind]
+    docs = spark.createDataFrame([(None if kind == "null ids" else 7, texts(i), f"s{i % 3}") for i in range(12_000)], "doc_id long, text string, source string").repartition(5)
+    rows = mixing.mix_sources(docs)
+    taken = rows.groupBy("source_size", "target").agg(F.sum(F.col("size") * F.col("copies")).alias("taken")).collect()
+    assert len(taken) == 3 and all(abs(r.taken - r.target) < 0.02 * r.target for r in taken)
+    assert rows.filter("copies > 2").count() == 0
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, mixing.mix_sources(docs.repartition(3)).collect()))
+
+
+CLASHING = ["__key", "__leak", "__of", "__salt", "__own", "__source", "__of_source", "__kinds", "__items", "__row", "__drop", "size", "target", "copies", "kept", "row", "number", "spans", "lang_pred", "score", "copy_no"]
+
+
+def test_callers_columns_come_back_whatever_their_names(spark):
+    extra = ", ".join(f"{c} int" for c in CLASHING)
+    rows = [(i, f"one two three four five number {i % 7} and more words in it", "en", "a" if i % 2 else None, *range(i, i + len(CLASHING))) for i in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {extra}")
+    given = {r.doc_id: tuple(r) for r in docs.collect()}
+    items = spark.createDataFrame([(1, "one two three four five number 3")], "item_id long, text string")
+    clean = decontaminate.decontaminate(docs, items)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: tuple(r) for r in clean.collect()} == {i: r for i, r in given.items() if i % 7 != 3}
+    mixed = mixing.mixed_documents(docs)
+    assert set(mixed.columns) == {*docs.columns, "copy_no_"}
+    assert all(tuple(r[c] for c in docs.columns) == given[r.doc_id] for r in mixed.collect())
+    kept = [c for c in CLASHING if c not in ("spans", "score", "lang_pred", "size", "target", "copies")]
+    for found in (secrets.scan_secrets(docs, keep=[*kept, "score"]), language.identify_languages(docs, keep=[*kept, "spans"]), mixing.mix_sources(docs, keep=kept)):
+        assert all(r[c] == given[r.doc_id][4 + CLASHING.index(c)] for r in found.collect() for c in kept)
+    for refused in (lambda: secrets.scan_secrets(docs, keep=["spans"]), lambda: language.identify_languages(docs, keep=["lang_pred"]), lambda: mixing.mix_sources(docs, keep=["size"])):
+        with pytest.raises(ValueError):
+            refused()
+
+
 # 6: SimHash
 
 

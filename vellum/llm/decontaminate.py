@@ -6,7 +6,7 @@ item's sketch is its k smallest shingle hashes, and every document shingle that
 them counts as a hit. Items are partitioned by the size of their shingle set; a partition's
 largest size u gives k = u - ceil(threshold * u) + 1 hashes for each item, so an item of
 which a document holds the threshold's share always hits at least once, and the hits needed
-follow from the item's own size. Candidates, told by a hash of id and text, are then verified
+follow from the item's own size. Candidates, told by 128 bits of id and text, are then verified
 by exact shingle containment.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import meet, written
+from vellum.llm.common import meet, packed, row_hash, unpacked, written
 
 #: Sketch hashes up to this many (16 bytes each, so 64 MB at most in a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_HASHES = 1_000_000
@@ -75,7 +75,7 @@ def contaminated(
     document or an item id count as one set of rows: the best containment of the pair is
     returned once. Empty tables give an empty result; other columns are not read.
     """
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("__key"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash(F.col(id_col), F.col(text_col)).alias("__key"))
     found = _contained(keyed, items, item_id_col, item_text_col, size, threshold)
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))
 
@@ -106,8 +106,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     A shorter item is too common a phrase to tell a leak from clean text, so it drops nothing.
     """
-    rows = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
-    keyed = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "__key")
+    names, key = docs.columns, row_hash(F.col(id_col), F.col(text_col)).alias("__key")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key)
     long = items.filter(F.size(_tokens(F.col(item_text_col))) >= size)
-    leaks = written(_contained(keyed, long, item_id_col, item_text_col, size, threshold).select("__key", F.lit(True).alias("__leak")).distinct())
-    return meet(rows, leaks, "__key").filter("__leak is null").select(*docs.columns)
+    leaks = written(_contained(keyed, long, item_id_col, item_text_col, size, threshold).select("__key", F.lit(True).alias("leak")).distinct())
+    return meet(docs.select(packed(names).alias("all_columns"), key), leaks, "__key").filter("leak is null").select(*unpacked(names, "all_columns"))

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.llm.common import fresh, refuse_clash
+
 #: Bounds of the training sample: texts a language and characters a text, and landmarks among them.
 PER_LANGUAGE, MAX_CHARS, LANDMARKS = 300, 20_000, 32
 ORDERS, RIDGE, BATCH = (1, 2, 3), 0.05, 256
@@ -141,8 +143,9 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n-grams are in the landmarks, by a bound from the sample (none if all of it are landmarks). A null text, one without any letter, and every
     text if there is no labelled row at all get `und`, score 0 and not known. Repeated rows are predicted
     each; an empty table gives an empty result; other columns are not read. Texts are read
-    whole. The sample that is learned from is bounded by PER_LANGUAGE and MAX_CHARS.
+    whole; columns to keep that are named as the result's own are an error. The sample that is learned from is bounded by PER_LANGUAGE and MAX_CHARS.
     """
+    refuse_clash(keep, ("doc_id", "lang_pred", "score", "known"))
     named = docs if learn_from is None else docs.filter(learn_from)
     sample = training_sample(named.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
     model = fit([t for t, _ in sample], [x for _, x in sample]) if sample else None
@@ -164,7 +167,7 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
             kept = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(values, pa.float64()), pa.array(known, pa.bool_()), *kept], [f.name for f in schema])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(fresh("text", keep)), *keep)
     added = T.StructType().add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("known", T.BooleanType())
-    schema = T.StructType([own.schema["doc_id"], *added, *own.schema.fields[2:]])
+    schema = T.StructType([own.schema.fields[0], *added, *own.schema.fields[2:]])
     return own.mapInArrow(run, schema)

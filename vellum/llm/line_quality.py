@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellum.llm.common import fresh, refuse_clash
+
 #: Bounds of the training sample: documents of each label, and characters of each, from a place that a hash tells.
 PER_LABEL, MAX_CHARS = 1500, 20_000
 BINS, RIDGE, STEPS = 12, 1.0, 60
@@ -300,9 +302,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     learned from, every score is 0.5; if all have one label, it is that label. Texts are read whole; repeated rows are scored each; an empty
     table gives an empty result; other columns are not read. The sample that is learned from is bounded by PER_LABEL and MAX_CHARS.
     """
-    clash = {"doc_id", "score"} & set(keep)
-    if clash:
-        raise ValueError(f"columns to keep are named as the result's own: {sorted(clash)}")
+    refuse_clash(keep, ("doc_id", "score"))
     rated = labels if learn_from is None else labels.filter(learn_from)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sample, prior = training_sample(texts, rated.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")))
@@ -339,7 +339,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(batch.column(1)), pa.float64()), *batch.columns[2:]], names)
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), *keep)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(fresh("text", keep)), *keep)
     schema = T.StructType([own.schema.fields[0], T.StructField("score", T.DoubleType()), *own.schema.fields[2:]])
     names = [f.name for f in schema]
     return own.mapInArrow(run, schema)

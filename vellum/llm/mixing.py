@@ -1,8 +1,8 @@
 """Mixing sources to target weights.
 
 Words are counted per source, every source gets a target by weight, and a document is
-emitted floor(rate) times plus once more when a hash of its id falls below the fraction
-of the rate. Nothing is sampled by a random generator, so reruns agree.
+emitted floor(rate) times plus once more when a hash of its id, its text and its number among
+equal rows falls below the fraction of the rate. Nothing is sampled by a random generator, so reruns agree.
 """
 
 from __future__ import annotations
@@ -12,7 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import meet, word_count, written
+from vellum.llm.common import fresh, meet, packed, refuse_clash, row_hash, unpacked, word_count, written
+
+#: What mix_sources adds to the id and the kept columns.
+ADDED = ("size", "source_size", "target", "copies")
+
 
 def unit_hash(key: Column, seed: str) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
@@ -75,25 +79,45 @@ def mix_sources(
     """One row for each row of docs: its id, size, source_size, target, copies and the kept columns.
 
     The size is the number of words (null or empty text: 0). A null source is a source of
-    its own. A source of size 0 has target 0 and its documents no copies. Rows that repeat
-    an id share its decision. An empty table gives an empty result. Other columns, whatever
-    their names, are not read.
+    its own. A source of size 0 has target 0 and its documents no copies. Every row is drawn for on its own, rows
+    whose id is null or repeated too; rows that are equal in id, text and source are numbered. An empty table gives an empty
+    result. Other columns are not read; columns to keep that are named as the result's own are an error.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("size"), *keep)
-    sizes = own.groupBy(F.col("__source").alias("source")).agg(F.sum("size").alias("source_size"))
+    refuse_clash(keep, ("doc_id", *ADDED))
+    source = F.col(source_col)
+    own = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), packed(keep).alias("kept"))
+    sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share, cap)
-    keyed = own.withColumn("__of_source", F.xxhash64(F.coalesce(F.col("__source"), F.lit("")), F.col("__source").isNull()))
-    few = written(targets.withColumn("__of_source", F.xxhash64(F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())).select("__of_source", "source_size", "target"))
+    few = written(targets.withColumn("of", row_hash(F.col("source"))).select("of", "source_size", "target"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)
-    return meet(keyed, few, "__of_source").select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), *keep)
+    drawn = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest", "number")
+    extra = unit_hash(drawn, seed) < rate - F.floor(rate)
+    mixed = meet(_numbered(own).withColumn("of", row_hash(F.col("source"))), few, "of")
+    return mixed.select("doc_id", "size", "source_size", "target", (F.floor(rate) + extra.cast("long")).alias("copies"), *unpacked(keep, "kept"))
 
 
-def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with copy_no from 1.
+def _numbered(own: DataFrame) -> DataFrame:
+    """own with number: 0, or 0, 1, ... among rows of equal id, text and source.
 
-    Columns of docs that are named as the mix's own (size, source_size, target, copies, copy_no) are left out.
+    Only such rows are written and dealt again, by the partition they come from, so that a row that
+    repeats without end is no single group; what a partition's rows begin with is a sum over the partitions before it.
     """
-    others = [c for c in docs.columns if c not in (id_col, "size", "source_size", "target", "copies", "copy_no")]
-    mixed = mix_sources(docs, id_col=id_col, keep=others, **params).filter("copies > 0")
-    return mixed.select(F.col("doc_id").alias(id_col), *others, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_no"))
+    rows = own.withColumn("row", row_hash(F.col("doc_id"), F.col("digest"), F.col("source")))
+    repeated = written(rows.groupBy("row").count().filter("count > 1").select("row", F.lit(True).alias("repeats")))
+    marked = meet(rows, repeated, "row")
+    again = written(marked.filter("repeats").drop("repeats").withColumn("part", F.spark_partition_id()))
+    counts = again.groupBy("row", "part").count()
+    earlier = Window.partitionBy("row").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("row", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("begin"))
+    within = F.row_number().over(Window.partitionBy("row", "part").orderBy("size"))
+    numbers = again.withColumn("within", within).join(begins, ["row", "part"])
+    return marked.filter("repeats is null").select(*own.columns, F.lit(0).cast("long").alias("number")).unionByName(numbers.select(*own.columns, (F.col("begin") + F.col("within") - 1).alias("number")))
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", **params) -> DataFrame:
+    """The rows of docs with all their columns, each as often as the mix takes it, with copy_no from 1 (copy_no_ if docs has a copy_no, and so on)."""
+    others = [c for c in docs.columns if c != id_col]
+    names = [f"c{i}" for i in range(len(others))]
+    own = docs.select(F.col(id_col), *[F.col(c) for c in {params.get("text_col", "text"), params.get("source_col", "source")} - {id_col}], packed(others).alias("all_columns"))
+    mixed = mix_sources(own, id_col=id_col, keep=["all_columns"], **params).filter("copies > 0")
+    return mixed.select(F.col("doc_id").alias(id_col), *[F.col("all_columns")[n].alias(c) for n, c in zip(names, others)], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(fresh("copy_no", docs.columns)))

@@ -154,7 +154,8 @@ SELECT doc_id, item_id, count(*) / any_value(c)::DOUBLE AS containment
 FROM ds JOIN bs USING (n, s) JOIN c USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(c)::DOUBLE >= 0.8
 """,
     "op5_mixing": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS digest,
+  row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, '')), source) - 1 AS number FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS weight FROM s),
 o AS (SELECT *, 2.0::DOUBLE * source_size AS stop, row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, source IS NULL, source) AS pos,
@@ -164,7 +165,7 @@ f AS (SELECT (SELECT level FROM l WHERE level * weight <= stop ORDER BY pos LIMI
 t AS (SELECT source, source_size, least(stop, coalesce(f.level * weight, stop)) AS target FROM l CROSS JOIN f)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - floor(rate))::INT))::BIGINT AS taken FROM (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate,
-    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::UBIGINT / 4294967296.0 AS u
+    ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || digest || ':' || number), 1, 8))::UBIGINT / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 """,
 }

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import meet, written
+from vellum.llm.common import meet, packed, refuse_clash, unpacked, written
 from vellum.llm.trigrams import trigram_query
 
 #: Matches that are gone through one by one between two partial results, and characters of a piece of a text.
@@ -137,9 +137,10 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     A document without any match has an empty array. Rows that repeat an id are each scanned on
     their own text. A null id is a document like any other. An empty table gives an empty
-    result; other columns are not read.
+    result; other columns are not read; columns to keep that are named as the result's own are an error.
     """
-    own = row_key(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *keep))
+    refuse_clash(keep, ("doc_id", "text", "spans"))
+    own = row_key(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), packed(keep).alias("__kept")))
     indexed = [r for r in rules if trigram_query(r.pattern)]
     none = F.array().cast(SPANS)
     joined = meet(own, written(candidates(own, indexed)), "__key") if indexed else own.withColumn("__kinds", F.array().cast("array<string>"))
@@ -147,7 +148,7 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         rule_spans(F.col("text"), r, i) if r not in indexed else F.when(F.array_contains("__kinds", r.kind), rule_spans(F.col("text"), r, i)).otherwise(none)
         for i, r in enumerate(rules)
     ]
-    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"), *keep)
+    return joined.select("doc_id", "text", F.array_sort(F.concat(*each)).alias("spans"), *unpacked(keep, "__kept"))
 
 
 def spans_text(spans: Column) -> Column:
