@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import meet, table, written
+from vellum.llm.common import meet, row_hash, table, written
 from vellum.llm.decontaminate import decontaminate
 from vellum.llm.language import UNKNOWN, identify_languages
 from vellum.llm.mixing import mixed_documents
@@ -27,6 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("known")).select(*COLUMNS)
 
 
+def _key(row: Column) -> Column:
+    return F.struct(*[F.xxhash64(F.lit(lane), row).alias(f"h{lane}") for lane in (1, 2)])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group.
 
@@ -34,11 +38,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeat both are one document, of which the one with the least other columns stays. Texts are
     shuffled for such rows alone; what goes is told by a broadcast, up to a checked number.
     """
-    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text")))
-    rows = rows.withColumn("__key", F.xxhash64("__row"))
+    rows = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_hash(F.col("text")).alias("text")).alias("__row"))
+    rows = rows.withColumn("__key", _key(F.col("__row")))
     groups = near_duplicates(rows, id_col="__row")
     dropped = ~F.col("doc_id").eqNullSafe(F.col("component_id"))
-    marks = written(groups.select(F.xxhash64("doc_id").alias("__key"), dropped.alias("drop")).groupBy("__key").agg(F.max("drop").alias("__drop"), F.count("*").alias("n")).filter("__drop or n > 1").drop("n"))
+    marks = written(groups.select(_key(F.col("doc_id")).alias("__key"), dropped.alias("drop")).groupBy("__key").agg(F.max("drop").alias("__drop"), F.count("*").alias("n")).filter("__drop or n > 1").drop("n"))
     marked = meet(rows, marks, "__key")
     once = marked.filter("__drop is null").select(*COLUMNS)
     repeated = marked.filter("not __drop").groupBy("__key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
@@ -57,7 +61,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source comes near its target; copy_no is added. A null source is one of its own; rows that repeat an id share its decision."""
+    """Repeats or drops documents so that each source comes near its target; copy_no is added. A null source is one of its own; every row is drawn for on its own."""
     return mixed_documents(docs)
 
 
