@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.text import bullet_strength, count_words, has_metric
-from vellum.operators import geometry, layout, rewrite, store
+from vellum.operators import gains, geometry, layout, rewrite, store
 from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.plans import oracle
-from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores
+from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores, written
 from vellum.plans.terms import ROLES, default_targets, default_terms
+from vellum.plans.verify import composed_model, raw_totals
 from vellum.sources.text import link_targets, scan_lines
 from vellum.streaming import events as stream
 
@@ -376,6 +377,36 @@ def q_rewritten(spark, sf_dir):
     return work.select("doc_id", "line_no", rewrite.rewritten_bullet(F.col("text")).alias("text"))
 
 
+def _gains(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    terms, targets = default_terms(spark), default_targets(spark)
+    m = composed_model(corpus_model(spark, sf_dir), text, terms, targets)
+    wanted = terms.join(F.broadcast(targets.select("term")), "term", "left_semi")
+    return gains.placeholder_gains(m, written(gains.document_sums(m)), wanted, lambda lines: raw_totals(lines, terms, targets, 2024), hold=written)
+
+
+@query
+def q_placeholder_gains(spark, sf_dir):
+    """What each placeholder of the rewritten bullets would gain."""
+    return _gains(spark, sf_dir, rewrite.rewritten_bullet(F.col("text")))
+
+
+def _asked() -> Column:
+    """A bullet with placeholders for the number and the result that it lacks."""
+    s = bullet_strength(F.col("text"))
+    number = F.when(s["metric"] == 0, " ([[quantity or scale]])").otherwise("")
+    return F.concat(F.col("text"), number, F.when(s["outcome"] == 0, ", [[result: what improved and by how much]]").otherwise(""))
+
+
+@query
+def q_asked_gains(spark, sf_dir):
+    return _gains(spark, sf_dir, _asked()).select("doc_id", "line_no", "hint", "gain")
+
+
+@query
+def q_gain_totals(spark, sf_dir):
+    return gains.placeholder_totals(_gains(spark, sf_dir, _asked()))
+
+
 @query
 def q_normal_dates(spark, sf_dir):
     roles = corpus_model(spark, sf_dir).entries.filter("section = 'experience'")

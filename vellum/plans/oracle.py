@@ -175,6 +175,35 @@ NEEDS = {
     "contact_score": ("corpus", "bounds", "lost"), "score": ("parse_score", "keyword_score", "impact_score", "structure_score", "writing_score", "contact_score"),
 }
 
+#: Placeholders that the asked bullets get, as text, and what stands in for them.
+_NUMBER_ASKED, _RESULT_ASKED = " ([[quantity or scale]])", ", [[result: what improved and by how much]]"
+CTE |= {
+    "ask": f"""SELECT *, text || CASE WHEN metric = 0 THEN {lit(_NUMBER_ASKED)} ELSE '' END || CASE WHEN outcome = 0 THEN {lit(_RESULT_ASKED)} ELSE '' END AS composed
+  FROM (SELECT w.doc_id, w.line_no, w.text, s.verb, s.metric, s.outcome FROM work w JOIN strength s USING (doc_id, line_no) JOIN exp_entry e USING (doc_id, line_no) WHERE e.is_bullet AND s.verb + s.metric + s.outcome < 3)""",
+    "ask_words": f"SELECT d.doc_id, d.n_lines, d.words + coalesce(a.more, 0) AS words FROM doc_words d LEFT JOIN (SELECT doc_id, sum({_words('composed')} - {_words('text')}) AS more FROM ask GROUP BY doc_id) a USING (doc_id)",
+    "ask_new": f"""SELECT v.*, {_metric('new')}::INT + regexp_matches(regexp_replace(new, {lit(P.PLACEHOLDER)}, ' ', 'g'), {lit(P.OUTCOME)})::INT + verb AS now, b.n_lines, b.words - {_words('composed')} + {_words('new')} AS words FROM (
+    SELECT doc_id, line_no, 'quantity or scale' AS hint, verb, verb + metric + outcome AS old, composed, replace(composed, '[[quantity or scale]]', '10') AS new FROM ask WHERE metric = 0
+    UNION ALL SELECT doc_id, line_no, 'result: what improved and by how much', verb, verb + metric + outcome, composed, replace(composed, '[[result: what improved and by how much]]', 'cutting turnaround 30%') FROM ask WHERE outcome = 0) v JOIN ask_words b USING (doc_id)""",
+    "words_at": "SELECT DISTINCT doc_id, n_lines, words FROM (SELECT doc_id, n_lines, words FROM ask_words UNION ALL SELECT doc_id, n_lines, words FROM ask_new)",
+    # Scores that depend on the number of words, for each number that a variant has.
+    "structure_at": CTE["structure_score"].replace("SELECT b.doc_id,", "SELECT b.doc_id, w.words,", 1).replace("JOIN doc_words w", "JOIN words_at w"),
+    "keyword_at": CTE["keyword_score"].replace("SELECT d.doc_id,", "SELECT d.doc_id, d.words,", 1).replace("FROM doc_words d", "FROM words_at d").replace("GROUP BY d.doc_id", "GROUP BY d.doc_id, d.words"),
+    "text_parse": "SELECT d.doc_id, 100 - coalesce(sum(p.cost), 0) AS score FROM doc_words d LEFT JOIN (SELECT * FROM parse_cost WHERE rule_id IN ('glyphs', 'symbol-bullets')) p USING (doc_id) GROUP BY d.doc_id",
+    "text_contact": CTE["contact_score"].replace("lost_email THEN", "false THEN").replace("lost_phone THEN", "false THEN"),
+    "ask_sum": "SELECT doc_id, count(*) AS n, sum(verb + metric + outcome) AS s FROM strength GROUP BY doc_id",
+    "gain": """SELECT doc_id, line_no, hint, round(greatest(0, round((fixed + later) / 100, 1) - round((fixed + earlier) / 100, 1)), 1) AS gain FROM (SELECT v.doc_id, v.line_no, v.hint,
+    (25 * p.score + 10 * w.score + 5 * c.score)::DOUBLE AS fixed,
+    (25 * k1.score + 15 * s1.score + 20 * least(CASE WHEN i.n < 3 THEN 60 ELSE 100 END, floor((i.s - v.old + v.now) / (3.0 * i.n) * 100 + 0.5)))::DOUBLE AS later,
+    (25 * k0.score + 15 * s0.score + 20 * least(CASE WHEN i.n < 3 THEN 60 ELSE 100 END, floor(i.s / (3.0 * i.n) * 100 + 0.5)))::DOUBLE AS earlier
+  FROM ask_new v JOIN ask_words b USING (doc_id) JOIN ask_sum i USING (doc_id) JOIN text_parse p USING (doc_id) JOIN writing_score w USING (doc_id) JOIN text_contact c USING (doc_id)
+  JOIN keyword_at k1 ON k1.doc_id = v.doc_id AND k1.words = v.words JOIN structure_at s1 ON s1.doc_id = v.doc_id AND s1.words = v.words
+  JOIN keyword_at k0 ON k0.doc_id = v.doc_id AND k0.words = b.words JOIN structure_at s0 ON s0.doc_id = v.doc_id AND s0.words = b.words)""",
+}
+NEEDS |= {
+    "ask": ("work", "strength", "exp_entry"), "ask_words": ("doc_words", "ask"), "ask_new": ("ask", "ask_words"), "words_at": ("ask_words", "ask_new"), "structure_at": ("bounds", "words_at", "exp_entry", "headed"), "keyword_at": ("words_at", "target", "doc_hit"),
+    "text_parse": ("doc_words", "parse_cost"), "text_contact": ("corpus", "bounds", "lost"), "ask_sum": ("strength",), "gain": ("ask_new", "ask_words", "ask_sum", "text_parse", "writing_score", "text_contact", "keyword_at", "structure_at"),
+}
+
 
 def sql(body: str, *ctes: str) -> str:
     """The statement with the expressions it names and those they need, in order."""
@@ -205,6 +234,8 @@ _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'im
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
 
 SQL = {
+    "q_asked_gains": sql(" SELECT doc_id, line_no, hint, gain FROM gain", "gain"),
+    "q_gain_totals": sql(" SELECT doc_id, count(*) AS n_placeholders, count(*) AS n_unfilled, round(sum(gain), 1)::DOUBLE AS total_gain FROM gain GROUP BY doc_id", "gain"),
     "q_overall": sql(f"{_OVERALL} SELECT doc_id, round(raw, 1)::DOUBLE AS raw_total, least(99, floor(raw + 0.5))::INT AS overall, {_CATEGORY.format('least(99, floor(raw + 0.5))')} AS band FROM o", "score"),
     "q_category_scores": sql(" SELECT doc_id, category, score::INT AS score FROM score", "score"),
     "q_engines": sql(
