@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from vellum.functions import patterns as P
 from vellum.functions.text import bullet_strength, count_words, has_metric
 from vellum.operators import gains, geometry, layout, rewrite, store
+from vellum.operators.alignment import aligned
 from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.plans import oracle
+from vellum.plans.roundtrip import RoundTrip, change_counts, round_trip, score_changes
 from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores, written
 from vellum.plans.terms import ROLES, default_targets, default_terms
 from vellum.plans.verify import composed_model, raw_totals
@@ -465,6 +468,32 @@ def q_export(spark, sf_dir):
     return rewrite.export_text(corpus_model(spark, sf_dir).lines)
 
 
+def _round_trip(spark: SparkSession, sf_dir: str) -> RoundTrip:
+    return round_trip(corpus_model(spark, sf_dir).lines, default_terms(spark), default_targets(spark), 2024)
+
+
+@query
+def q_round_trip(spark, sf_dir):
+    """Lines of each document after export and reading again, and how many are read as another kind or in another section."""
+    trip = _round_trip(spark, sf_dir)
+    read = trip.reread.groupBy("doc_id").agg(F.count_if(F.col("what") == "kind").alias("n_kind"), F.count_if(F.col("what") == "section").alias("n_section"))
+    return change_counts(trip.changes).join(read, "doc_id", "left").fillna(0, ["n_kind", "n_section"])
+
+
+@query
+def q_round_trip_scores(spark, sf_dir):
+    before = replace(corpus_model(spark, sf_dir), layout=None)
+    return score_changes(before, _round_trip(spark, sf_dir).after)
+
+
+@query
+def q_rebuilt_changes(spark, sf_dir):
+    """What became of each line of the rebuilt documents: kept in its order, moved, changed, left out or added."""
+    m = corpus_model(spark, sf_dir)
+    whole = rewrite.rebuilt(m.lines, m.entries, default_terms(spark))
+    return aligned(m.lines.select("doc_id", "line_no", "text"), whole.select("doc_id", "line_no", "text"), hold=written)
+
+
 @query
 def q_history(spark, sf_dir):
     """Orders stand for stored documents: those that are filled have an analysis; those of an urgent priority were removed."""

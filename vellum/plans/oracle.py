@@ -6,6 +6,8 @@ as the DataFrame expressions.
 
 from __future__ import annotations
 
+import re
+
 from vellum.functions import patterns as P
 from vellum.plans.corpus import CORPUS_SQL, LAYOUT_SQL
 from vellum.operators.score import ENGINES
@@ -204,9 +206,12 @@ NEEDS |= {
     "text_parse": ("doc_words", "parse_cost"), "text_contact": ("corpus", "bounds", "lost"), "ask_sum": ("strength",), "gain": ("ask_new", "ask_words", "ask_sum", "text_parse", "writing_score", "text_contact", "keyword_at", "structure_at"),
 }
 
+CTE["text_score"] = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, floor(score + 0.5)::INT AS score FROM {t}" for c, t in (("parse", "text_parse"), ("keywords", "keyword_score"), ("impact", "impact_score"), ("structure", "structure_score"), ("writing", "writing_score"), ("contact", "text_contact")))
+NEEDS["text_score"] = ("text_parse", "keyword_score", "impact_score", "structure_score", "writing_score", "text_contact")
 
-def sql(body: str, *ctes: str) -> str:
-    """The statement with the expressions it names and those they need, in order."""
+
+def closure(*ctes: str) -> list[str]:
+    """The expressions and those they need, in order."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -217,6 +222,27 @@ def sql(body: str, *ctes: str) -> str:
 
     for c in ctes:
         add(c)
+    return order
+
+
+def _of_export(names: list[str]) -> None:
+    """The same expressions over the exported lines, with x_ before their names: headings in capitals, a dash for a bullet."""
+    heads = ("Experience", "Education", "Skills", "Summary", "Objective")
+    shown = f"CASE WHEN text IN ({', '.join(map(lit, heads))}) THEN upper(text) WHEN {matches('text', '^[•➢] ')} THEN '- ' || substr(text, 3) ELSE text END"
+    for n in names:
+        body = re.sub(rf"\b({'|'.join(names)})\b", r"x_\1", CTE[n])
+        for h in heads:
+            body = body.replace(lit(h), lit(h.upper()))
+        CTE[f"x_{n}"] = f"SELECT doc_id, line_no, {shown} AS text FROM corpus" if n == "corpus" else body.replace("[•➢] ", "- ")
+        NEEDS[f"x_{n}"] = ("corpus",) if n == "corpus" else tuple(f"x_{x}" if x in names else x for x in NEEDS.get(n, ()))
+
+
+_of_export([n for n in closure("text_score") if "corpus" in closure(n)])
+
+
+def sql(body: str, *ctes: str) -> str:
+    """The statement with the expressions it names and those they need, in order."""
+    order = closure(*ctes)
     recursive = "RECURSIVE " if "closure" in body else ""
     return "WITH " + recursive + ", ".join(f"{n} AS ({CTE[n]})" for n in order) + body
 
@@ -234,6 +260,12 @@ _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'im
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
 
 SQL = {
+    "q_round_trip": sql(
+        f""" SELECT c.doc_id, count(CASE WHEN lower({_STRIP.format('c.text')}) = lower(regexp_replace(x.text, '^- ', '')) THEN 1 END) AS n_same, 0::BIGINT AS n_moved, count(CASE WHEN lower({_STRIP.format('c.text')}) <> lower(regexp_replace(x.text, '^- ', '')) THEN 1 END) AS n_changed,
+0::BIGINT AS n_lost, 0::BIGINT AS n_added, count(CASE WHEN {matches('c.text', '^[•➢] ')} <> {matches('x.text', '^- ')} THEN 1 END) AS n_kind, 0::BIGINT AS n_section FROM corpus c JOIN x_corpus x USING (doc_id, line_no) GROUP BY c.doc_id""",
+        "x_corpus",
+    ),
+    "q_round_trip_scores": sql(" SELECT b.doc_id, b.category, b.score AS before, a.score AS after FROM text_score b JOIN x_text_score a USING (doc_id, category)", "text_score", "x_text_score"),
     "q_asked_gains": sql(" SELECT doc_id, line_no, hint, gain FROM gain", "gain"),
     "q_gain_totals": sql(" SELECT doc_id, count(*) AS n_placeholders, count(*) AS n_unfilled, round(sum(gain), 1)::DOUBLE AS total_gain FROM gain GROUP BY doc_id", "gain"),
     "q_overall": sql(f"{_OVERALL} SELECT doc_id, round(raw, 1)::DOUBLE AS raw_total, least(99, floor(raw + 0.5))::INT AS overall, {_CATEGORY.format('least(99, floor(raw + 0.5))')} AS band FROM o", "score"),
