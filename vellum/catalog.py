@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.text import bullet_strength, count_words, has_metric
-from vellum.operators import gains, geometry, layout, rewrite, store
+from vellum.operators import gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
 from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
@@ -468,6 +468,33 @@ def q_export(spark, sf_dir):
     return rewrite.export_text(corpus_model(spark, sf_dir).lines)
 
 
+def _machine_view(spark: SparkSession, sf_dir: str) -> tuple:
+    lay = corpus_model(spark, sf_dir).layout
+    placed = written(machine_view.with_columns(lay.items))
+    lines = written(machine_view.seen_lines(placed))
+    return lay, lines, written(machine_view.machine_lines(lay, placed, lines))
+
+
+@query
+def q_machine_view(spark, sf_dir):
+    """What a machine reads of each document: its rows, and the lines that it loses, scrambles or reads in another order."""
+    return machine_view.view_facts(*_machine_view(spark, sf_dir))
+
+
+@query
+def q_machine_rows(spark, sf_dir):
+    """The machine's text of each document, and how many visual lines each of its rows is made of."""
+    rows = _machine_view(spark, sf_dir)[2]
+    return rows.select("doc_id", "row_no", "text", F.size("line_nos").alias("n_lines"), "mangled")
+
+
+@query
+def q_unread_words(spark, sf_dir):
+    """Words that a document's lines say more often than the machine's text does."""
+    _, lines, rows = _machine_view(spark, sf_dir)
+    return machine_view.missing_words(lines, rows)
+
+
 def _round_trip(spark: SparkSession, sf_dir: str) -> RoundTrip:
     return round_trip(corpus_model(spark, sf_dir).lines, default_terms(spark), default_targets(spark), 2024)
 

@@ -20,6 +20,8 @@ DATE_RANGE = r"(?i)\b(19|20)\d{2}\s*(?:[–—-]|to)\s*(?:(19|20)\d{2}|present|c
 BASELINE, LEAST_HEIGHT, WIDE, NARROW, OVERLAP, COLUMN_GAP = 0.45, 0.004, 1.6, 0.12, 1.0, 0.06
 #: How near its column's right edge a line ends that goes on, how near the next line is, and how alike the fonts; fixed values.
 EDGE, LEADING, FONTS = 0.08, 0.9, 0.6
+#: The order in which lines are read on the page.
+LINE_ORDER = ["page", "column", "y", "line_no"]
 
 
 def _run_machine():
@@ -39,9 +41,14 @@ def _run_machine():
     return step
 
 
+def numbered_runs(fragments: DataFrame) -> DataFrame:
+    """fragments with run, the number of the run in its page, and apart, whether a word's gap comes before."""
+    return run_machine(fragments, ["doc_id", "page"], ["stream_index"], ["x", "y", "w", "font_size", "has_eol"], _run_machine, "run int, apart boolean")
+
+
 def merge_runs(fragments: DataFrame) -> DataFrame:
     """Fragments (doc_id, page, stream_index, text, x, y, w, font_size, has_eol; in points) that follow on one baseline become one; a space where the gap is wide and none stands."""
-    numbered = run_machine(fragments, ["doc_id", "page"], ["stream_index"], ["x", "y", "w", "font_size", "has_eol"], _run_machine, "run int, apart boolean")
+    numbered = numbered_runs(fragments)
     parts = F.array_sort(F.collect_list(F.struct("stream_index", "apart", "text")))
     space = lambda t, p: F.when(p["apart"] & ~t.endswith(" ") & ~p["text"].startswith(" "), " ").otherwise("")
     first, last = lambda c: F.min_by(c, "stream_index"), lambda c: F.max_by(c, "stream_index")
@@ -75,9 +82,14 @@ def _spaced(parts: Column) -> Column:
     return F.trim(F.replace(F.regexp_replace(F.regexp_replace(text, r"\s{3,}", "\x01"), r"\s+", " "), F.lit("\x01"), F.lit("   ")))
 
 
+def numbered_lines(items: DataFrame) -> DataFrame:
+    """items with line, the number of the line in its page."""
+    return run_machine(items, ["doc_id", "page"], ["y", "x", "stream_index"], ["column", "source", "y", "h"], _line_machine, "line int")
+
+
 def visual_lines(items: DataFrame) -> DataFrame:
     """Items (doc_id, page, column, source, stream_index, text, x, y, w, h) by line."""
-    numbered = run_machine(items, ["doc_id", "page"], ["y", "x", "stream_index"], ["column", "source", "y", "h"], _line_machine, "line int")
+    numbered = numbered_lines(items)
     parts = F.array_sort(F.collect_list(F.struct("x", "stream_index", (F.col("x") + F.col("w")).alias("end"), "text")))
     grouped = numbered.groupBy("doc_id", "page", "column", "source", "line").agg(
         F.min("y").alias("y"), F.min("x").alias("x"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), F.max("h").alias("h"), F.min("stream_index").alias("stream_index"), parts.alias("parts")
@@ -102,8 +114,8 @@ def _wrap_machine():
     return step
 
 
-def merge_wrapped(lines: DataFrame) -> DataFrame:
-    """Lines (doc_id, page, column, source, kind, text, x, y, w, h, font_size, line_no) with continuations rejoined, numbered anew.
+def numbered_paragraphs(lines: DataFrame) -> DataFrame:
+    """lines with paragraph, the number of the paragraph in its document.
 
     A bullet or text line without a stop at its end goes on in the next line of its column if it
     runs to the column's right edge, or if that starts in lower case and isn't dated.
@@ -118,8 +130,13 @@ def merge_wrapped(lines: DataFrame) -> DataFrame:
             "edge": F.max(end).over(Window.partitionBy("doc_id", "page", "column", "source")),
         }
     )
-    order = ["page", "column", "y", "line_no"]
-    numbered = run_machine(flagged, ["doc_id"], order, ["page", "column", "source", "opens", "follows", "lower", "stops", "font_size", "x", "y", "w", "h", "edge"], _wrap_machine, "paragraph int")
+    numbered = run_machine(flagged, ["doc_id"], LINE_ORDER, ["page", "column", "source", "opens", "follows", "lower", "stops", "font_size", "x", "y", "w", "h", "edge"], _wrap_machine, "paragraph int")
+    return numbered.select(*lines.columns, "paragraph")
+
+
+def merge_wrapped(lines: DataFrame) -> DataFrame:
+    """Lines (doc_id, page, column, source, kind, text, x, y, w, h, font_size, line_no) with continuations rejoined, numbered anew."""
+    numbered, order, end = numbered_paragraphs(lines), LINE_ORDER, F.col("x") + F.col("w")
     at = F.struct(*order)
     texts = F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda x: x["text"])
     merged = {
@@ -142,8 +159,12 @@ def _row_machine():
     return step
 
 
+def numbered_rows(items: DataFrame) -> DataFrame:
+    """items with row_no, the row of a reader that sorts by position alone."""
+    return run_machine(items, ["doc_id"], ["page", "y", "x", "stream_index"], ["page", "y", "h"], _row_machine, "row_no int")
+
+
 def machine_rows(items: DataFrame) -> DataFrame:
     """(doc_id, row_no, text, mangled): what a reader sees that sorts by position alone; mangled rows mix columns."""
-    numbered = run_machine(items, ["doc_id"], ["page", "y", "x", "stream_index"], ["page", "y", "h"], _row_machine, "row_no int")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "stream_index", "text"))), lambda x: x["text"])
-    return numbered.groupBy("doc_id", "row_no").agg(F.array_join(texts, " ").alias("text"), (F.count_distinct("column") > 1).alias("mangled"))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "stream_index", F.trim("text").alias("text")))), lambda x: x["text"])
+    return numbered_rows(items).groupBy("doc_id", "row_no").agg(F.regexp_replace(F.array_join(texts, " "), r"\s+", " ").alias("text"), (F.count_distinct("column") > 1).alias("mangled"))

@@ -68,7 +68,7 @@ LAYOUT_SQL = {
 SELECT doc_id, CAST(CASE WHEN doc_id % 10 = 3 THEN 5000 - r ELSE r END + 10 AS INT) AS stream_index, text, CAST(1 + floor(r / 60.0) AS INT) AS page,
   CAST(CASE WHEN doc_id % 4 = 0 AND r % 2 = 1 THEN 0.58 ELSE 0.06 END AS DOUBLE) AS x, CAST(CASE WHEN doc_id % 4 = 0 THEN 0.08 + floor((r % 60) / 2.0) * 0.028 ELSE 0.08 + (r % 60) * 0.014 END AS DOUBLE) AS y,
   CAST(CASE WHEN doc_id % 4 = 0 THEN 0.34 ELSE 0.8 END AS DOUBLE) AS w, CAST(0.012 AS DOUBLE) AS h, 'body' AS source, CAST(NULL AS VARCHAR(9)) AS table_id, CAST(NULL AS INT) AS row_no, CAST(NULL AS INT) AS col FROM (
-  SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber) - 1 AS r, concat('part ', CAST(l_partkey AS VARCHAR(9)), ' shipped') AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS body
+  SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS r, concat('part ', CAST(l_partkey AS VARCHAR(9)), ' shipped') AS text FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS body
 UNION ALL SELECT c_custkey, 0, CASE WHEN c_custkey % 14 = 0 THEN 'desk@mail.example' ELSE 'Curriculum vitae' END, 1, CAST(0.06 AS DOUBLE), CAST(0.02 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.012 AS DOUBLE), 'header', NULL, NULL, NULL FROM customer WHERE c_custkey % 14 = 0 OR c_custkey % 5 = 1
 UNION ALL SELECT c_custkey, 1, CASE WHEN c_custkey % 10 = 5 THEN '(212) 555-0199' ELSE 'Page 1 of 2' END, 1, CAST(0.06 AS DOUBLE), CAST(0.96 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.012 AS DOUBLE), 'footer', NULL, NULL, NULL FROM customer WHERE c_custkey % 10 = 5 OR c_custkey % 6 = 0
 UNION ALL SELECT c_custkey, 2 + k, concat('box ', CAST(k AS VARCHAR(9))), 1, CAST(0.7 AS DOUBLE), CAST(0.3 + k * 0.1 AS DOUBLE), CAST(0.1 AS DOUBLE), CAST(0.012 AS DOUBLE), 'textbox', NULL, NULL, NULL FROM customer, (VALUES (0), (1)) AS n(k) WHERE c_custkey % 8 = 3
@@ -76,7 +76,7 @@ UNION ALL SELECT c_custkey, CAST(6000 + k AS INT), concat('cell ', CAST(k AS VAR
   FROM customer, (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15)) AS n(k) WHERE c_custkey % 27 = 4 OR (c_custkey % 9 IN (2, 4) AND k < 4)
 """,
     "images": "SELECT c_custkey AS doc_id, CAST(1 + k AS INT) AS page, CASE WHEN c_custkey % 11 = 1 THEN '14 vector shapes' ELSE 'photo' END AS description FROM customer, (VALUES (0), (1), (2), (3)) AS n(k) WHERE c_custkey % 33 = 2 OR (c_custkey % 11 < 3 AND k = 0)",
-    "files": "SELECT c_custkey AS doc_id, 'pdf' AS file_type, CASE WHEN c_custkey % 16 = 0 THEN 3000000 ELSE 100000 END AS file_size, CASE WHEN c_custkey % 21 = 0 THEN 2 ELSE 1 END AS declared_columns FROM customer",
+    "files": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 27 IN (4, 11) THEN 'docx' ELSE 'pdf' END AS file_type, CASE WHEN c_custkey % 16 = 0 THEN 3000000 ELSE 100000 END AS file_size, CASE WHEN c_custkey % 21 = 0 THEN 2 ELSE 1 END AS declared_columns FROM customer",
 }
 
 

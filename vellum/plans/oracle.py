@@ -209,6 +209,21 @@ NEEDS |= {
 CTE["text_score"] = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, floor(score + 0.5)::INT AS score FROM {t}" for c, t in (("parse", "text_parse"), ("keywords", "keyword_score"), ("impact", "impact_score"), ("structure", "structure_score"), ("writing", "writing_score"), ("contact", "text_contact")))
 NEEDS["text_score"] = ("text_parse", "keyword_score", "impact_score", "structure_score", "writing_score", "text_contact")
 
+CTE |= {
+    # On the derived pages items of one height are one row, and one line if no divider parts them; tables are read where the file is in document order.
+    "v_item": "SELECT i.*, f.file_type = 'pdf' AS positioned, CASE WHEN c.columns = 2 AND i.x >= c.divider THEN 1 ELSE 0 END AS side FROM l_items i JOIN l_files f USING (doc_id) LEFT JOIN l_col c USING (doc_id, page)",
+    "v_line": "SELECT doc_id, source, table_id, row_no, stream_index, text, x, y, page, positioned, side, concat_ws('/', page, source, side, y) AS line FROM v_item",
+    "v_row": """SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, y) AS row_no, text, n_lines, lines, mangled FROM (
+    SELECT doc_id, page, y, trim(string_agg(trim(text), ' ' ORDER BY x)) AS text, count(DISTINCT line) AS n_lines, list(DISTINCT line) AS lines, count(DISTINCT side) > 1 AS mangled FROM v_line WHERE positioned AND source = 'body' GROUP BY doc_id, page, y)
+  UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_at), text, n_lines, lines, mangled FROM (
+    SELECT doc_id, min(stream_index) AS first_at, string_agg(trim(text), ' ' ORDER BY stream_index) AS text, count(DISTINCT line) AS n_lines, list(DISTINCT line) AS lines, count(DISTINCT col) > 1 AS mangled FROM (SELECT v.*, i.col FROM v_line v JOIN l_items i USING (doc_id, stream_index, source))
+    WHERE NOT positioned AND source IN ('body', 'table') GROUP BY doc_id, CASE WHEN table_id IS NULL THEN stream_index::VARCHAR ELSE table_id || ':' || row_no END)""",
+    # Patience piles: the number of piles is the longest run that is in order.
+    "v_moved": """SELECT doc_id, len(s) - len(list_reduce(list_prepend([]::INT[], list_transform(s, lambda v: [v])), lambda piles, v: list_concat(list_append(list_filter(piles, lambda p: p < v[1]), v[1]), list_filter(piles, lambda p: p >= v[1])[2:]))) AS n_moved
+  FROM (SELECT doc_id, list(at_index ORDER BY page, side, y) AS s FROM (SELECT doc_id, page, side, y, min(stream_index)::INT AS at_index FROM v_line WHERE source = 'body' GROUP BY doc_id, page, side, y) GROUP BY doc_id)""",
+}
+NEEDS |= {"v_item": ("l_items", "l_files", "l_col"), "v_line": ("v_item",), "v_row": ("v_line", "l_items"), "v_moved": ("v_line",)}
+
 
 def closure(*ctes: str) -> list[str]:
     """The expressions and those they need, in order."""
@@ -260,6 +275,20 @@ _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'im
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
 
 SQL = {
+    "q_machine_rows": sql(" SELECT doc_id, row_no::INT AS row_no, text, n_lines::INT AS n_lines, mangled FROM v_row", "v_row"),
+    "q_machine_view": sql(
+        """, w AS (SELECT doc_id, count(*) AS n_rows, count(CASE WHEN mangled THEN 1 END) AS n_mangled FROM v_row GROUP BY doc_id),
+s AS (SELECT doc_id, count(DISTINCT line) AS n_scrambled FROM (SELECT doc_id, unnest(lines) AS line FROM v_row WHERE mangled) GROUP BY doc_id),
+l AS (SELECT doc_id, count(DISTINCT line) AS n_lines, count(DISTINCT CASE WHEN source IN ('header', 'footer', 'textbox') THEN line END) AS n_lost FROM v_line GROUP BY doc_id)
+SELECT f.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_rows, 0) AS n_rows, coalesce(n_mangled, 0) AS n_mangled, coalesce(n_lost, 0) AS n_lost, coalesce(n_scrambled, 0) AS n_scrambled, coalesce(n_moved, 0) AS n_moved
+FROM l_files f LEFT JOIN l USING (doc_id) LEFT JOIN w USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN v_moved USING (doc_id)""",
+        "v_row", "v_moved", "v_line", "l_files",
+    ),
+    "q_unread_words": sql(
+        """, a AS (SELECT doc_id, unnest(string_split(trim(text), ' ')) AS word, 1 AS n FROM v_line UNION ALL SELECT doc_id, unnest(string_split(text, ' ')), -1 FROM v_row)
+SELECT doc_id, word, sum(n)::BIGINT AS n FROM a WHERE word <> '' GROUP BY doc_id, word HAVING sum(n) > 0""",
+        "v_line", "v_row",
+    ),
     "q_round_trip": sql(
         f""" SELECT c.doc_id, count(CASE WHEN lower({_STRIP.format('c.text')}) = lower(regexp_replace(x.text, '^- ', '')) THEN 1 END) AS n_same, 0::BIGINT AS n_moved, count(CASE WHEN lower({_STRIP.format('c.text')}) <> lower(regexp_replace(x.text, '^- ', '')) THEN 1 END) AS n_changed,
 0::BIGINT AS n_lost, 0::BIGINT AS n_added, count(CASE WHEN {matches('c.text', '^[•➢] ')} <> {matches('x.text', '^- ')} THEN 1 END) AS n_kind, 0::BIGINT AS n_section FROM corpus c JOIN x_corpus x USING (doc_id, line_no) GROUP BY c.doc_id""",
