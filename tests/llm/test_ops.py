@@ -589,6 +589,18 @@ def test_lm_base_scores_are_exact(spark, sf_dir, monkeypatch):
     assert all(r.score <= 0 for r in got)
 
 
+@pytest.mark.parametrize("texts", [["a b"] * 128 + ["a c"] * 127, ["a b"] * 3 + ["a c", "a d e", "b"], [" ".join(random.Random(i).choices("abcdefgh", k=30)) for i in range(60)]])
+def test_lm_probabilities_after_a_context_sum_to_one_at_most(texts):
+    tokens = [[*t.split(), "END"] for t in texts]
+    words = Counter(w for ws in tokens for w in ws)
+    pairs = Counter(p for ws in tokens for p in zip(["END", *ws[:-1]], ws))
+    norm = float(sum(words.values()) + len(words) + 1)
+    level = lambda n: lm.levels_of(np.array([n])) if n else np.array([0])
+    for context in [*words, "unseen"]:
+        mass = sum(lm.smoothed_share(level(pairs[context, w]), level(words[context]), level(words[w]), norm)[0] for w in [*words, "unseen"])
+        assert 0 < mass <= 1 + 1e-12
+
+
 def test_lm_scores_use_every_level(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(lm, "FILTER_BYTES", 20_000, raising=False)  # no such bound decides which levels count
     monkeypatch.setattr(lm, "BATCH_BYTES", 50_000, raising=False)
@@ -599,14 +611,10 @@ def test_lm_scores_use_every_level(spark, sf_dir, monkeypatch):
     words = Counter(w for i, ws in texts.items() if i % 3 for w in ws)
     pairs = Counter(p for i, ws in texts.items() if i % 3 for p in zip(before[i], ws))
     norm = sum(words.values()) + len(words) + 1
-    near = lambda n: float(lm.level_count(lm.levels_of(np.array([n])))[0]) if n else 0.0
+    level = lambda n: lm.levels_of(np.array([n])) if n else np.array([0])
 
     def want(i):
-        total = 0.0
-        for p in zip(before[i], texts[i]):
-            single, both = (near(words[p[1]]) + 1) / norm, near(pairs[p])
-            total += math.log10(min(lm.LAMBDA * min(both / near(words[p[0]]), 1) + (1 - lm.LAMBDA) * single if both else single, 1))
-        return total
+        return sum(math.log10(min(lm.smoothed_share(level(pairs[p]), level(words[p[0]]), level(words[p[1]]), norm)[0], 1)) for p in zip(before[i], texts[i]))
 
     # A learned text's n-grams are members; only levels that a filter holds by mistake set its score apart.
     learned = [i for i in texts if i % 3]

@@ -6,8 +6,10 @@ n-gram. Quantised to level 1 + floor(log2(count)), an n-gram is a member of one
 each level up to its own; a shard has filters sized by their members. A shard probes its
 filters, level after level until one fails, for all n-grams of each batch and sends the
 levels back to the batch, so no process holds more than one shard's filters and every level
-counts, however large the input. A bigram's share of its context's count is smoothed with
-the add-one unigram probability.
+counts, however large the input. A bigram's share of its context's count is mixed with
+the add-one unigram probability; by the least and greatest counts of the levels, the probabilities of
+all tokens after a context sum to one at most. The filter of one shard is small and local: broadcasting all of
+them would put filters that grow with the corpus into every worker.
 
 The base score needs exact unigram counts: those of the most frequent words, as many as
 FREQUENT, are broadcast; all others meet the documents' rare words in a join.
@@ -73,9 +75,24 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return (np.frexp(counts.astype(np.float64))[1]).astype(np.int64)  # 1 + floor(log2(count))
 
 
-def level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range, 1 for level 1, 0 for 0."""
-    return np.where(level < 2, level, (3 * np.exp2(np.maximum(level, 1) - 1) - 1) / 2)
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The least count of a level; 0 for level 0."""
+    return np.where(level > 0, np.exp2(np.maximum(level, 1) - 1), 0.0)
+
+
+def most_count(level: np.ndarray) -> np.ndarray:
+    """The greatest count of a level."""
+    return np.exp2(level) - 1
+
+
+def smoothed_share(both: np.ndarray, context: np.ndarray, alone: np.ndarray, norm: float) -> np.ndarray:
+    """The probability of a token after its context, by the levels of the two together, the context and the token.
+
+    The bigram's least count over the context's greatest, mixed with the add-one share of the token's least count: over all
+    tokens either sums to one at most, so the mixture does. After a context that was not learned from it is the token's share alone.
+    """
+    single = (least_count(alone) + 1) / norm
+    return np.where(context > 0, LAMBDA * np.minimum(least_count(both) / np.maximum(most_count(context), 1), 1.0) + (1 - LAMBDA) * single, single)
 
 
 def _probes(hashes: np.ndarray, bits: np.ndarray | int) -> Iterator[np.ndarray]:
@@ -237,8 +254,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     learn_from: condition on the rows of docs that are counted (default: all). Tokens are the
     words and one end, so a null or empty text has one token. base_score is the add-one unigram
-    log10 probability by exact counts, score the model's: its counts are quantised, so the
-    smoothed shares do not add up to one, and a share over 1 counts as 1. If nothing is learned from, counts and
+    log10 probability by exact counts, score the model's log10 probability of the text; see smoothed_share. If nothing is learned from, counts and
     train_tokens are 0 and each token has probability 1. Repeated rows are counted and returned
     each; an empty table gives an empty result; other columns are not read.
     """
@@ -267,11 +283,8 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def smoothed(single: tuple[np.ndarray, np.ndarray], double: tuple[np.ndarray, np.ndarray], tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
         pairs, before = bigram_hashes(tokens, ends)
-        count = lambda known, hashes: level_count(known[1])[np.searchsorted(known[0], hashes)]
-        alone, context, both = count(single, tokens), count(single, before), count(double, pairs)
-        share = np.where(context > 0, np.minimum(both / np.maximum(context, 1), 1.0), 0.0)
-        weight = np.where(both > 0, LAMBDA, 0.0)
-        return np.log10(np.minimum(weight * share + (1 - weight) * (alone + 1) / norm, 1.0))
+        level = lambda known, hashes: known[1][np.searchsorted(known[0], hashes)]
+        return np.log10(np.minimum(smoothed_share(level(double, pairs), level(single, before), level(single, tokens), norm), 1.0))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, table in text_batches(batches):
