@@ -21,6 +21,7 @@ from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, cor
 from vellum.plans.terms import ROLES, default_targets, default_terms
 from vellum.plans.verify import composed_model, raw_totals
 from vellum.sources.text import link_targets, scan_lines
+from vellum.sources.tree import TEXT, descendants, element_tree, inner_texts
 from vellum.streaming import events as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +92,26 @@ def q_page_tags(spark, sf_dir):
     return pages.select("page_id", F.coalesce(F.get(inner("h1"), F.lit(0)), F.lit("")).alias("raw_h1"), F.size(link_targets(F.col("html"))).alias("n_links"), F.size(inner("p")).alias("n_paragraphs"))
 
 
+def _page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return element_tree(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html", html=True)
+
+
+@query
+def q_page_elements(spark, sf_dir):
+    """How many elements of each name a page has."""
+    return _page_tree(spark, sf_dir).filter(F.col("tag") != TEXT).groupBy(F.col("doc_id").alias("page_id"), "tag").agg(F.count("*").alias("n"))
+
+
+@query
+def q_nested_texts(spark, sf_dir):
+    """The text of every paragraph and list item in the article of a page, but not in what is set apart inside it."""
+    tree = written(_page_tree(spark, sf_dir))
+    tops = tree.filter("tag in ('article', 'main')")
+    apart = ("aside", "footer", "nav", "form")
+    found = descendants(tree, tops, "p", apart).unionByName(descendants(tree, tops, "li", apart)).select("doc_id", "pre", "last").distinct()
+    return inner_texts(tree, found).select(F.col("doc_id").alias("page_id"), F.col("top").alias("node"), "text")
+
+
 @query
 def q_bullet_strength(spark, sf_dir):
     return work_bullets(corpus_model(spark, sf_dir).lines).select("doc_id", "line_no", bullet_strength(F.col("text")).alias("s")).select("doc_id", "line_no", "s.*")

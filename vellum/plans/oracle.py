@@ -275,6 +275,8 @@ _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'im
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
 
 SQL = {
+    "q_page_elements": r"""SELECT page_id, lower(regexp_extract(t, '^<([^\s/>]+)', 1)) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[?!][^>]*>|<(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM pages)
+WHERE NOT regexp_matches(t, '^<[!?/]') GROUP BY 1, 2""",
     "q_machine_rows": sql(" SELECT doc_id, row_no::INT AS row_no, text, n_lines::INT AS n_lines, mangled FROM v_row", "v_row"),
     "q_machine_view": sql(
         """, w AS (SELECT doc_id, count(*) AS n_rows, count(CASE WHEN mangled THEN 1 END) AS n_mangled FROM v_row GROUP BY doc_id),
