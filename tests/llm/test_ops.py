@@ -59,6 +59,14 @@ def test_html_keeps_the_article_and_drops_the_rest():
     assert html_text.main_blocks(page) == ["A & B", "First paragraph with the words of an article that is long enough to be decided by itself.", "Short."]
 
 
+def test_html_keeps_formulas_and_an_article_in_an_oddly_named_block():
+    text = "The quick brown fox is in the garden of the house and it was there for all of the day, as it is with the foxes that we have. " * 2
+    formula = f"<article><p>{text}</p><p>The area of the circle is <math><mi>A</mi><mo>=</mo><mn>3</mn><annotation>A=3</annotation></math> and it was measured.</p></article>"
+    assert html_text.main_blocks(formula)[1] == "The area of the circle is A=3 and it was measured."
+    assert html_text.main_blocks(f"<body><div class='social-page related-content'><p>{text}</p></div><div>Menu</div></body>") == [text.strip()]
+    assert html_text.main_blocks(f"<body><div class='related'><p>{text}</p></div><article><p>{text}</p></article></body>") == [text.strip()]
+
+
 def test_html_without_landmarks_goes_by_density_and_neighbours():
     text = "The quick brown fox is in the garden of the house and it was there for all of the day, as it is with the foxes that we have. " * 2
     page = f"<body><div><a href=/>Home</a> <a href=/>News</a> <a href=/>About the site</a></div><div>Menu</div><div>{text}</div><div>Then it left.</div><div>{text}</div><div><a href=/>next</a></div></body>"

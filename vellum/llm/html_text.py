@@ -32,7 +32,7 @@ STOP_WORDS = {
     "es": "el la los las de y en que un una es por con para se no su al lo como más del a o este pero sus le ha me si sin sobre entre".split(),
 }
 #: Tags whose content is never text.
-DROPPED = frozenset("script style noscript template iframe object svg math canvas audio video head title select textarea datalist".split())
+DROPPED = frozenset("script style noscript template iframe object svg annotation annotation-xml canvas audio video head title select textarea datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks that a new block of any kind ends, as their end tags are optional.
@@ -45,6 +45,8 @@ MARKED = frozenset(
 )
 #: Of these, the ones in which an article of its own is no main text either.
 SHUT = frozenset("aside footer sidebar comment comments disqus respond replies related recommended recommendations popup modal".split())
+#: Parts beside which a name of SHUT may stand around the article itself, so that it is a vote like the others.
+AROUND = frozenset("content page main wrapper container layout".split())
 #: Parts of a class name that say nothing about what it holds; fixed values.
 NEUTRAL = frozenset(
     "area article articles bar block body bottom box btn button cell col column container content entry foot footer form head header holder icon id inner item items layer left line link links list main module outer panel position post posts region right row section site slot small side text title top unit view wrap wrapper zone".split()
@@ -92,7 +94,7 @@ def _class_mark(value: str) -> str:
     for name in value.split():
         parts = {p.lower() for p in _PART.findall(name)}
         if parts & MARKED:
-            votes.add("doubt" if any(p not in MARKED and p not in NEUTRAL and len(p) > 2 for p in parts) else "shut" if parts & SHUT else "marked")
+            votes.add("doubt" if any(p not in MARKED and p not in NEUTRAL and len(p) > 2 for p in parts) else "shut" if parts & SHUT and not parts & AROUND else "marked")
     return next((v for v in ("shut", "marked", "doubt") if v in votes), "")
 
 
