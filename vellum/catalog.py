@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
+from vellum.functions import tokens
 from vellum.functions.text import bullet_strength, count_words, has_metric
 from vellum.operators import gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
@@ -18,11 +19,12 @@ from vellum.operators.score import engine_scores, overall_scores, plan_items, pr
 from vellum.plans import oracle
 from vellum.plans.roundtrip import RoundTrip, change_counts, round_trip, score_changes
 from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores, written
-from vellum.plans.terms import ROLES, default_targets, default_terms
+from vellum.plans.terms import ROLES, TOKEN_KEY, default_targets, default_terms
 from vellum.plans.verify import composed_model, raw_totals
 from vellum.sources.text import link_targets, scan_lines
 from vellum.sources.tree import TEXT, descendants, element_tree, inner_texts
 from vellum.streaming import events as stream
+from vellum.streaming import rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
@@ -348,6 +350,45 @@ def q_event_fold(spark, sf_dir):
     return stream.fold_batch(events).select("analysis_id", "n_events", F.col("n_findings").alias("n_clicks"), "done")
 
 
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a feed: purchases withdraw a finding, sign-ups by value reset, all others find."""
+    value, key = F.col("value"), F.col("event_id") % 17
+    kind = F.when((F.col("event_type") == "signup") & (value > 100), "reset").when(F.col("event_type") == "purchase", "resolved").otherwise("finding")
+    severity = F.when(value > 60, "high").when(value > 20, "medium").otherwise("low")
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("analysis_id"), F.col("event_id").alias("seq"), kind.alias("type"), key.cast("string").alias("key"), (F.floor(value) % 5).cast("int").alias("line_no"), severity.alias("severity"), F.col("event_type").alias("category"))
+
+
+@query
+def q_feed_marks(spark, sf_dir):
+    """The marks that a feed of findings leaves on lines."""
+    return rollup.feed_marks(_feed(spark, sf_dir))
+
+
+@query
+def q_replaced_order(spark, sf_dir):
+    """Event types of each user in the order in which they were last replaced."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "event_type")
+    return rollup.in_last_order(events, "user_id", of="event_type").select("user_id", "event_type", "place")
+
+
+@query
+def q_change_log(spark, sf_dir):
+    """Changed hunks of each order by section, in the order in which sections first change."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    kind, section = F.when(F.col("l_partkey") % 3 == 0, "edit").otherwise("same"), F.col("l_returnflag")
+    hunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(order).alias("hunk_ord"), kind.alias("kind"), section.alias("section"), (F.col("l_linestatus") == "F").alias("accepted"))
+    return rewrite.change_log(hunks)
+
+
+@query
+def q_signed_tokens(spark, sf_dir):
+    """A token for each order, and whom it names a year after the order's date."""
+    seconds = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
+    token = tokens.signed(F.col("o_orderkey").cast("string"), seconds + (F.col("o_orderkey") % 800) * 86_400, TOKEN_KEY)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", seconds.alias("seconds"), token.alias("token"))
+    return orders.select("o_orderkey", "token", tokens.verified(F.col("token"), F.col("seconds") + 365 * 86_400, TOKEN_KEY).alias("subject"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = oracle.CTE["item"].replace("//", "div").replace('"row"', "`row`").replace("FROM part", "FROM {part}")
     return spark.sql(sql, part=table(spark, sf_dir, "part"))

@@ -236,6 +236,13 @@ def merged_runs(hunks: DataFrame) -> DataFrame:
     return grouped.select("doc_id", F.col("__run").cast("int").alias("hunk_ord"), "kind", "section", "n")
 
 
+def change_log(hunks: DataFrame) -> DataFrame:
+    """(doc_id, section, place, n, n_accepted): the changed hunks of each section, sections in the order in which they first change; hunks without a section are one of their own."""
+    changed = hunks.filter("kind <> 'same'").groupBy("doc_id", "section").agg(F.min("hunk_ord").alias("first"), F.count("*").alias("n"), F.count_if("accepted").alias("n_accepted"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))
+    return changed.withColumn("place", place).select("doc_id", "section", "place", "n", "n_accepted")
+
+
 def rejoined(lines: DataFrame) -> DataFrame:
     """Wrapped lines put together: a line goes on if the one before ends in a comma or semicolon, or has no end and the line starts in lower case."""
     order = Window.partitionBy("doc_id").orderBy("line_no")

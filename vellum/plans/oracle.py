@@ -9,9 +9,10 @@ from __future__ import annotations
 import re
 
 from vellum.functions import patterns as P
+from vellum.functions.tokens import pads
 from vellum.plans.corpus import CORPUS_SQL, LAYOUT_SQL
 from vellum.operators.score import ENGINES
-from vellum.plans.terms import DEFAULT, DEFAULT_TARGETS
+from vellum.plans.terms import DEFAULT, DEFAULT_TARGETS, TOKEN_KEY
 
 SPECIAL = ("c", "r", "go")
 
@@ -274,7 +275,18 @@ _CATEGORY = "CASE WHEN {0} < 50 THEN 'filtered' WHEN {0} < 70 THEN 'borderline'
 _WEIGHT = "CASE category WHEN 'parse' THEN {0} WHEN 'keywords' THEN {1} WHEN 'impact' THEN {2} WHEN 'structure' THEN {3} WHEN 'writing' THEN {4} ELSE {5} END"
 _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15, 10, 5)}) / 100.0 AS raw FROM score GROUP BY doc_id)"
 
+_INNER, _OUTER = (p.hex() for p in pads(TOKEN_KEY))
+_SIGNATURE = "sha256(unhex('{1}') || unhex(sha256(unhex('{0}') || encode(body))))".format(_INNER, _OUTER)
+
 SQL = {
+    "q_feed_marks": """WITH f AS (SELECT user_id::VARCHAR AS analysis_id, event_id AS seq, CASE WHEN event_type = 'signup' AND value > 100 THEN 'reset' WHEN event_type = 'purchase' THEN 'resolved' ELSE 'finding' END AS type, event_id % 17 AS key, (floor(value) % 5)::INT AS line_no, CASE WHEN value > 60 THEN 3 WHEN value > 20 THEN 2 ELSE 1 END AS rank, event_type AS category FROM events),
+r AS (SELECT analysis_id, max(seq) AS reset FROM f WHERE type = 'reset' GROUP BY analysis_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, key ORDER BY seq DESC) AS k FROM f WHERE type <> 'reset')
+SELECT analysis_id, line_no, max(rank)::INT AS rank, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM k LEFT JOIN r USING (analysis_id) WHERE k = 1 AND type = 'finding' AND seq > coalesce(reset, -1) GROUP BY analysis_id, line_no""",
+    "q_replaced_order": "SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY max(event_id))::INT AS place FROM events GROUP BY user_id, event_type",
+    "q_change_log": """WITH h AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS hunk_ord, l_partkey % 3 = 0 AS edit, l_returnflag AS section, l_linestatus = 'F' AS accepted FROM lineitem)
+SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY min(hunk_ord))::INT AS place, count(*) AS n, count(CASE WHEN accepted THEN 1 END) AS n_accepted FROM h WHERE edit GROUP BY doc_id, section""",
+    "q_signed_tokens": f"""SELECT o_orderkey, body || '.' || {_SIGNATURE} AS token, CASE WHEN o_orderkey % 800 > 365 THEN o_orderkey::VARCHAR END AS subject FROM (SELECT o_orderkey, base64(encode(o_orderkey::VARCHAR)) || '.' || ((o_orderdate::DATE - DATE '1970-01-01') * 86400 + (o_orderkey % 800) * 86400) AS body FROM orders)""",
     "q_page_elements": r"""SELECT page_id, lower(regexp_extract(t, '^<([^\s/>]+)', 1)) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[?!][^>]*>|<(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM pages)
 WHERE NOT regexp_matches(t, '^<[!?/]') GROUP BY 1, 2""",
     "q_machine_rows": sql(" SELECT doc_id, row_no::INT AS row_no, text, n_lines::INT AS n_lines, mangled FROM v_row", "v_row"),

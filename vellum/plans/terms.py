@@ -65,3 +65,6 @@ def default_terms(spark: SparkSession) -> DataFrame:
 
 def default_targets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(DEFAULT_TARGETS), "term string, weight int")
+
+#: The key of the example tokens.
+TOKEN_KEY = b"an example key that is not a secret"
