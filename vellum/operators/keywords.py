@@ -59,12 +59,13 @@ def keyword_hits(lines: DataFrame, terms: DataFrame) -> DataFrame:
     keys = term_forms(terms.filter(~_special(F.col("term")))).select("key", "term").distinct()
     small = keys.count() <= BROADCAST_FORMS
     tokens = body.select("*", F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("key"))
-    found = tokens.join(F.broadcast(keys) if small else keys, "key").drop("key").dropDuplicates(["doc_id", "line_no", "term"])
+    found = tokens.join(F.broadcast(keys) if small else keys, "key").drop("key")
     fixed = F.explode(F.array(*[F.when(F.col("text").contains(w), F.lit(t)) for t, w in (("go", "o"), ("r", "R"), ("c", "C"))])).alias("term")
     special = body.select("*", fixed).join(terms.select("term"), "term")
     both = found.unionByName(special.select(found.columns))
     verified = both.join(F.broadcast(patterns) if small else patterns, "term").withColumn("hits", F.size(F.expr("regexp_extract_all(text, pattern, 0)")))
-    return verified.filter("hits > 0").select("doc_id", "line_no", "term", "hits")
+    # A line that meets a term through two tokens is verified twice; only what holds is brought together, without its text.
+    return verified.filter("hits > 0").select("doc_id", "line_no", "term", "hits").dropDuplicates(["doc_id", "line_no", "term"])
 
 
 def implications(terms: DataFrame, depth: int = 3) -> DataFrame:

@@ -34,6 +34,15 @@ def matched_section(norm: Column) -> Column:
     return F.coalesce(known_section(norm), F.when(F.length(norm) > 6, F.coalesce(*loose)))
 
 
+def _middle_sizes(lines: DataFrame) -> DataFrame:
+    """(doc_id, mid_size): the upper median of each document's font sizes, an element of the sorted sizes, from the counts of its few sizes."""
+    sizes = lines.filter("font_size > 0").groupBy("doc_id", "font_size").count()
+    by_doc = Window.partitionBy("doc_id")
+    up_to = F.sum("count").over(by_doc.orderBy("font_size"))
+    middle = F.floor(F.sum("count").over(by_doc) / 2) + 1
+    return sizes.withColumn("up_to", up_to).withColumn("middle", middle).filter("up_to >= middle").groupBy("doc_id").agg(F.min("font_size").alias("mid_size"))
+
+
 def classify_lines(lines: DataFrame) -> DataFrame:
     """Lines with fonts -> also bullet (its glyph or null), raw, norm, words and kind; the first rule that fits decides the kind."""
     glyph = F.regexp_extract("raw", P.BULLET_GLYPH, 1)
@@ -41,14 +50,13 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     text, words, norm = F.col("text"), F.col("words"), F.col("norm")
     by_doc, first = Window.partitionBy("doc_id"), Window.partitionBy("doc_id").orderBy("line_no")
     base = (
-        lines.withColumn("raw", text)
+        lines.join(_middle_sizes(lines), "doc_id", "left")
+        .withColumn("raw", text)
         .withColumn("bullet", bullet)
         .withColumn("text", F.when(F.col("bullet").isNotNull(), F.regexp_replace("raw", P.BULLET_GLYPH, "")).otherwise(F.col("raw")))
         .withColumn("words", count_words(text))
         .withColumn("norm", normal_heading(text))
         .withColumn("max_size", F.max("font_size").over(by_doc))
-        # The upper median: an element of the sorted sizes, never a mean of two.
-        .withColumn("mid_size", F.element_at(F.array_sort(F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size"))).over(by_doc)), (F.floor(F.count(F.when(F.col("font_size") > 0, 1)).over(by_doc) / 2) + 1).cast("int")))
         .withColumn("first_body", F.sum(F.when(F.col("source") == "body", 1).otherwise(0)).over(first.rowsBetween(Window.unboundedPreceding, 0)) == 1)
     )
     in_table, digits4 = F.col("source") == "table", text.rlike(r"\d{4}")

@@ -162,10 +162,11 @@ CTE = {
   FROM l_cols c LEFT JOIN (SELECT DISTINCT doc_id FROM l_table) t USING (doc_id) LEFT JOIN lost l USING (doc_id) LEFT JOIN (SELECT DISTINCT doc_id FROM l_page) p USING (doc_id) LEFT JOIN (SELECT doc_id FROM l_loose WHERE kind = 'textbox') x USING (doc_id)""",
     "score": " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, score FROM {t}_score" for c, t in (("parse", "parse"), ("keywords", "keyword"), ("impact", "impact"), ("structure", "structure"), ("writing", "writing"), ("contact", "contact"))),
     "request": "SELECT event_type AS kind, user_id AS identity, ts, event_id FROM events",
-    "item": """SELECT p_partkey % 60 AS doc_id, CAST(p_partkey AS INT) AS stream_index, CASE WHEN p_partkey % 13 = 0 THEN 'Yearly report' ELSE p_name END AS text, CAST(1 + (p_partkey // 60) % 2 AS INT) AS page,
-  CAST(CASE WHEN p_partkey % 7 < 4 OR p_partkey % 60 < 10 THEN 0.06 ELSE 0.60 END AS DOUBLE) AS x, CAST(0.02 + (p_partkey % 13) * 0.06 AS DOUBLE) AS y,
+    # Forty parts make a document of two pages, so documents grow in number with the table.
+    "item": """SELECT p_partkey // 40 AS doc_id, CAST(p_partkey AS INT) AS stream_index, CASE WHEN p_partkey % 13 = 0 THEN 'Yearly report' ELSE p_name END AS text, CAST(1 + (p_partkey // 20) % 2 AS INT) AS page,
+  CAST(CASE WHEN p_partkey % 7 < 4 OR (p_partkey // 40) % 6 = 0 THEN 0.06 ELSE 0.60 END AS DOUBLE) AS x, CAST(0.02 + (p_partkey % 13) * 0.06 AS DOUBLE) AS y,
   CAST(0.05 + (p_size % 30) * 0.01 AS DOUBLE) AS w, CAST(0.012 AS DOUBLE) AS h, CASE WHEN p_partkey % 41 = 0 THEN 'header' ELSE 'body' END AS source,
-  CASE WHEN p_partkey % 10 = 3 THEN 'T1' END AS table_id, CAST(p_partkey // 600 AS INT) AS "row", CAST(p_partkey % 3 AS INT) AS col FROM part""",
+  CASE WHEN p_partkey % 10 = 3 THEN 'T1' END AS table_id, CAST((p_partkey // 20) % 2 AS INT) AS "row", CAST(p_partkey % 3 AS INT) AS col FROM part""",
 }
 NEEDS = {
     **{f"{p}{n}": tuple(f"{p}{x}" if x != "item" else i for x in needs) for p, i in (("l_", "l_items"), ("i_", "item")) for n, needs in (("hist", ("item",)), ("band", ("item",)), ("gap", ("band", "hist")), ("col", ("item", "gap")))},
@@ -287,6 +288,15 @@ SELECT analysis_id, line_no, max(rank)::INT AS rank, count(*) AS n, string_agg(D
     "q_change_log": """WITH h AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS hunk_ord, l_partkey % 3 = 0 AS edit, l_returnflag AS section, l_linestatus = 'F' AS accepted FROM lineitem)
 SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY min(hunk_ord))::INT AS place, count(*) AS n, count(CASE WHEN accepted THEN 1 END) AS n_accepted FROM h WHERE edit GROUP BY doc_id, section""",
     "q_signed_tokens": f"""SELECT o_orderkey, body || '.' || {_SIGNATURE} AS token, CASE WHEN o_orderkey % 800 > 365 THEN o_orderkey::VARCHAR END AS subject FROM (SELECT o_orderkey, base64(encode(o_orderkey::VARCHAR)) || '.' || ((o_orderdate::DATE - DATE '1970-01-01') * 86400 + (o_orderkey % 800) * 86400) AS body FROM orders)""",
+    "q_export": sql(
+        f""" SELECT doc_id, string_agg(CASE WHEN text IN ('Experience', 'MY JOURNEY', 'Education', 'Skills', 'Summary', 'Objective') THEN chr(10) || upper(text) WHEN {matches('text', '^[•➢] ')} THEN '- ' || substr(text, 3) ELSE text END, chr(10) ORDER BY line_no) AS text FROM corpus GROUP BY doc_id""",
+        "corpus",
+    ),
+    "q_reading_issues": sql(
+        """ SELECT doc_id, kind, sum(n)::BIGINT AS n FROM (SELECT r.doc_id, 'column-interleave' AS kind, count(*) AS n FROM (SELECT doc_id, page, y, count(DISTINCT side) AS sides FROM v_item WHERE source = 'body' GROUP BY doc_id, page, y) r JOIN l_cols c USING (doc_id) WHERE sides > 1 AND c.columns > 1 GROUP BY r.doc_id
+UNION ALL SELECT doc_id, 'table-flatten', cols FROM l_table WHERE cols > 1 UNION ALL SELECT m.doc_id, 'out-of-order', moved FROM l_moved m JOIN l_cols USING (doc_id) WHERE columns = 1 AND n > 10 AND moved > n * 0.25) GROUP BY doc_id, kind""",
+        "v_item", "l_cols", "l_table", "l_moved",
+    ),
     "q_page_elements": r"""SELECT page_id, lower(regexp_extract(t, '^<([^\s/>]+)', 1)) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[?!][^>]*>|<(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM pages)
 WHERE NOT regexp_matches(t, '^<[!?/]') GROUP BY 1, 2""",
     "q_machine_rows": sql(" SELECT doc_id, row_no::INT AS row_no, text, n_lines::INT AS n_lines, mangled FROM v_row", "v_row"),
