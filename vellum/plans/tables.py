@@ -33,6 +33,14 @@ def written(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Removes the tables that this application has written, once no result needs them any more."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is not None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{named}/{spark.sparkContext.applicationId}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def build_model(lines: DataFrame, terms: DataFrame, targets: DataFrame, as_of_year: int, layout: Layout | None = None) -> Model:
     """The document model of a corpus of lines (doc_id, line_no, text), as written tables. What the rules ask of each line is computed once, with the model."""
     whole = written(with_work(attach_entries(written(assign_sections(classify_lines(with_fonts(lines)))))))
