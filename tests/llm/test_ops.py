@@ -581,6 +581,18 @@ def test_language_learns_from_long_texts(spark, monkeypatch):
     assert {(r.lang, r.lang_pred) for r in language.identify_languages(docs, keep=["lang"]).distinct().collect()} == {("en", "en"), ("fr", "fr")}
 
 
+def test_many_languages_keep_the_sample_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 30)
+    monkeypatch.setattr(language, "MAX_TEXTS", 90)
+    monkeypatch.setattr(language, "MAX_LANDMARKS", 60)
+    rows = [(i, f"{chr(97 + i % 40 % 26)}{chr(97 + i % 40 // 26)} word text {i}", f"l{i % 40:02}") for i in range(800)] + [(1000 + i, "more of it", "l39") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_sample(docs)
+    assert len(sample) == 90 and {x for _, x in sample} == {"l39", *(f"l{i:02}" for i in range(29))}
+    model = language.fit([t for t, _ in sample], [x for _, x in sample])
+    assert len(model.landmarks) == 60 and language.identify_languages(docs).count() == len(rows)
+
+
 # 9: language model
 
 

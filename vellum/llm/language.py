@@ -24,6 +24,8 @@ from vellum.llm.common import fresh, refuse_clash
 
 #: Bounds of the training sample: texts a language and characters a text, and landmarks among them.
 PER_LANGUAGE, MAX_CHARS, LANDMARKS = 300, 20_000, 32
+#: Bounds of all languages together: the most frequent ones are learned, and with many of them fewer texts and landmarks of each.
+MAX_LANGUAGES, MAX_TEXTS, MAX_LANDMARKS = 1000, 12_000, 2000
 ORDERS, RIDGE, BATCH = (1, 2, 3), 0.05, 256
 #: A text is known by this share of what all but a hundredth of the sample's texts, landmarks left out, have in the vocabulary.
 KNOWN = 0.8
@@ -100,7 +102,8 @@ def _indexes(model: Model) -> list[np.ndarray]:
 def fit(texts: list[str], labels: list[str]) -> Model:
     """texts and labels: the sample, in the order that decides which texts are landmarks."""
     languages = sorted(set(labels))
-    chosen = [i for lang in languages for i in [j for j, x in enumerate(labels) if x == lang][:LANDMARKS]]
+    each = max(1, min(LANDMARKS, MAX_LANDMARKS // len(languages)))
+    chosen = [i for lang in languages for i in [j for j, x in enumerate(labels) if x == lang][:each]]
     vocabulary = [np.unique(np.concatenate([grams(texts[i])[k] for i in chosen])) for k in range(len(ORDERS))]
     model = Model(languages, vocabulary, np.zeros((0, 0)), np.zeros((0, 0)))
     model.landmarks = model.presence([texts[i] for i in chosen])
@@ -121,15 +124,21 @@ def fit(texts: list[str], labels: list[str]) -> Model:
 
 
 def training_sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids and texts; of a text over MAX_CHARS an excerpt from a place that the hash tells. Texts without a letter are left out; rows that repeat an id and a text are one document."""
+    """(text, lang) of PER_LANGUAGE documents of each language at most, by a hash of their ids and texts; of a text over MAX_CHARS an excerpt from a place that the hash tells. Texts without a letter are left out; rows that repeat an id and a text are one document.
+
+    Of more than MAX_LANGUAGES languages those with the most documents are taken, ties by name, and of each so many documents that all are MAX_TEXTS at most.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = usable.withColumn("at", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
     # The least hashes of a frequent language lie below a bound that its count tells, so few of its rows are ranked.
-    bounds = hashed.groupBy("lang").agg((F.lit(2.0 * PER_LANGUAGE * (1 << 40)) / F.approx_count_distinct("at")).alias("bound"))
+    counted = hashed.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("at").alias("apart")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counted:
+        return []
+    each = min(PER_LANGUAGE, MAX_TEXTS // len(counted))
+    bounds = docs.sparkSession.createDataFrame([(r.lang, (2.0 * each + 20) * (1 << 40) / r.apart) for r in counted], "lang string, bound double")
     order = Window.partitionBy("lang").orderBy("at", "doc_id")
-    # One row for each language, of which the model has a column of weights each.
     few = hashed.join(F.broadcast(bounds), "lang").filter("at <= bound").dropDuplicates(["lang", "at", "doc_id"])
-    picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PER_LANGUAGE)
+    picked = few.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= each)
     start = F.pmod(F.col("at"), F.greatest(F.lit(1), F.length("text") - MAX_CHARS + 1)).cast("int") + 1
     rows = picked.select("lang", "place", F.substring("text", start, F.lit(MAX_CHARS)).alias("text")).orderBy("lang", "place").collect()
     return [(r.text, r.lang) for r in rows if _LETTER.search(r.text)]
@@ -143,7 +152,7 @@ def identify_languages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     n-grams are in the landmarks, by a bound from the sample (none if all of it are landmarks). A null text, one without any letter, and every
     text if there is no labelled row at all get `und`, score 0 and not known. Repeated rows are predicted
     each; an empty table gives an empty result; other columns are not read. Texts are read
-    whole; columns to keep that are named as the result's own are an error. The sample that is learned from is bounded by PER_LANGUAGE and MAX_CHARS.
+    whole; columns to keep that are named as the result's own are an error. The sample that is learned from is bounded by PER_LANGUAGE, MAX_CHARS, MAX_LANGUAGES and MAX_TEXTS.
     """
     refuse_clash(keep, ("doc_id", "lang_pred", "score", "known"))
     named = docs if learn_from is None else docs.filter(learn_from)
