@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
-from vellum.functions import tokens
+from vellum.functions import schema, tokens
 from vellum.functions.text import bullet_strength, count_words, has_metric
 from vellum.operators import gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
@@ -17,6 +17,7 @@ from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.plans import oracle
+from vellum.plans.corpus import EVENT_JSON
 from vellum.plans.roundtrip import RoundTrip, change_counts, round_trip, score_changes
 from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores, written
 from vellum.plans.terms import ROLES, TOKEN_KEY, default_targets, default_terms
@@ -343,6 +344,15 @@ def q_json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"))
 
 
+@query
+def q_event_errors(spark, sf_dir):
+    """Errors of the events by path and reason, and the events without any."""
+    events = table(spark, sf_dir, "events").select("event_id", F.expr(EVENT_JSON).alias("json"))
+    found = schema.checked(events, "json")
+    said = F.explode_outer("errors").alias("e")
+    return found.select("kind", said).groupBy(F.coalesce("kind", F.lit("?")).alias("kind"), F.coalesce("e.path", F.lit("")).alias("path"), F.coalesce("e.reason", F.lit("valid")).alias("reason")).agg(F.count("*").alias("n"))
+
+
 @query
 def q_event_fold(spark, sf_dir):
     kind = F.when(F.col("event_type") == "click", "finding").when(F.col("event_type") == "purchase", "done").otherwise("stage")

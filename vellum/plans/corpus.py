@@ -79,6 +79,12 @@ UNION ALL SELECT c_custkey, CAST(6000 + k AS INT), concat('cell ', CAST(k AS VAR
     "files": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 27 IN (4, 11) THEN 'docx' ELSE 'pdf' END AS file_type, CASE WHEN c_custkey % 16 = 0 THEN 3000000 ELSE 100000 END AS file_size, CASE WHEN c_custkey % 21 = 0 THEN 2 ELSE 1 END AS declared_columns FROM customer",
 }
 
+#: Events of the table as an analysis' events in JSON, some of them broken by their numbers; runs on both engines.
+EVENT_JSON = """CASE event_id % 8 WHEN 0 THEN concat('{"type":"stage","stage":"', CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'parse' END, '","at":', CAST(event_id AS VARCHAR(20)), '}')
+WHEN 1 THEN concat('{"type":"finding","finding":{"id":"f', CAST(event_id AS VARCHAR(20)), '","severity":', CASE WHEN event_id % 3 = 0 THEN '2' ELSE '"low"' END, '}}')
+WHEN 2 THEN concat('{"type":"aggregate","overallScore":', CASE WHEN event_id % 3 = 1 THEN 'null' ELSE CAST(event_id % 100 AS VARCHAR(20)) END, ',"keywordMap":[]}')
+WHEN 3 THEN '{"type":"done","at":1.5,"aiUsed":"no"}' WHEN 4 THEN '{"type":"finding"}' WHEN 5 THEN '{"kind":"done"}' WHEN 6 THEN '{"type":"done","at":' ELSE '{"type":"done","at":7}' END"""
+
 
 def derived_layout(spark: SparkSession, sf_dir: str) -> Layout:
     """The layout of the derived documents."""

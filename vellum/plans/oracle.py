@@ -10,7 +10,7 @@ import re
 
 from vellum.functions import patterns as P
 from vellum.functions.tokens import pads
-from vellum.plans.corpus import CORPUS_SQL, LAYOUT_SQL
+from vellum.plans.corpus import CORPUS_SQL, EVENT_JSON, LAYOUT_SQL
 from vellum.operators.score import ENGINES
 from vellum.plans.terms import DEFAULT, DEFAULT_TARGETS, TOKEN_KEY
 
@@ -280,6 +280,14 @@ _INNER, _OUTER = (p.hex() for p in pads(TOKEN_KEY))
 _SIGNATURE = "sha256(unhex('{1}') || unhex(sha256(unhex('{0}') || encode(body))))".format(_INNER, _OUTER)
 
 SQL = {
+    "q_event_errors": f"""WITH j AS (SELECT {EVENT_JSON} AS t FROM events), v AS (SELECT t, json_valid(t) AS ok, CASE WHEN json_valid(t) THEN t ELSE '{{}}' END::JSON AS d FROM j),
+k AS (SELECT ok, d, CASE WHEN ok AND d->>'$.type' IN ('stage', 'finding', 'aggregate', 'done') THEN d->>'$.type' END AS kind FROM v),
+e AS (SELECT coalesce(kind, '?') AS kind, list_filter([CASE WHEN NOT ok THEN '$ syntax' WHEN kind IS NULL THEN '$.type kind' END] || CASE kind
+  WHEN 'stage' THEN [CASE WHEN d->>'$.stage' NOT IN ('parse', 'keywords', 'impact', 'structure', 'writing', 'contact', 'aggregate', 'plan') THEN '$.stage value' END]
+  WHEN 'finding' THEN [CASE WHEN json_type(d, '$.finding') IS NULL THEN '$.finding missing' END, CASE WHEN json_type(d, '$.finding.id') IS NULL THEN '$.finding.id missing' END, CASE coalesce(json_type(d, '$.finding.severity'), '') WHEN '' THEN '$.finding.severity missing' WHEN 'VARCHAR' THEN NULL ELSE '$.finding.severity type' END]
+  WHEN 'aggregate' THEN [CASE WHEN json_type(d, '$.overallScore') = 'NULL' THEN '$.overallScore missing' END]
+  WHEN 'done' THEN [CASE WHEN json_type(d, '$.aiUsed') <> 'BOOLEAN' THEN '$.aiUsed type' END] ELSE [] END, lambda x: x IS NOT NULL) AS errors FROM k)
+SELECT kind, coalesce(split_part(error, ' ', 1), '') AS path, coalesce(split_part(error, ' ', 2), 'valid') AS reason, count(*) AS n FROM (SELECT kind, unnest(CASE WHEN len(errors) = 0 THEN [NULL] ELSE errors END) AS error FROM e) GROUP BY 1, 2, 3""",
     "q_feed_marks": """WITH f AS (SELECT user_id::VARCHAR AS analysis_id, event_id AS seq, CASE WHEN event_type = 'signup' AND value > 100 THEN 'reset' WHEN event_type = 'purchase' THEN 'resolved' ELSE 'finding' END AS type, event_id % 17 AS key, (floor(value) % 5)::INT AS line_no, CASE WHEN value > 60 THEN 3 WHEN value > 20 THEN 2 ELSE 1 END AS rank, event_type AS category FROM events),
 r AS (SELECT analysis_id, max(seq) AS reset FROM f WHERE type = 'reset' GROUP BY analysis_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, key ORDER BY seq DESC) AS k FROM f WHERE type <> 'reset')
