@@ -16,6 +16,7 @@ from vellum.operators.alignment import aligned
 from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
+from vellum.operators.wrap import wrapped
 from vellum.plans import oracle
 from vellum.plans.corpus import EVENT_JSON
 from vellum.plans.roundtrip import RoundTrip, change_counts, round_trip, score_changes
@@ -65,6 +66,13 @@ def q_line_scan(spark, sf_dir):
     )
 
 
+@query
+def q_wrapped_lines(spark, sf_dir):
+    """How many rows each line of a document takes on a page, and its first row."""
+    rows = wrapped(_doc_lines(spark, sf_dir), 10.0, 200.0)
+    return rows.groupBy("doc_id", "line_no").agg(F.count("*").cast("int").alias("n_rows"), F.min_by("text", "row_no").alias("first_row"))
+
+
 @query
 def q_contact_lines(spark, sf_dir):
     email, phone = F.col("text").rlike(P.EMAIL), F.col("text").rlike(P.PHONE)

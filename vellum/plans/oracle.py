@@ -12,6 +12,7 @@ from vellum.functions import patterns as P
 from vellum.functions.tokens import pads
 from vellum.plans.corpus import CORPUS_SQL, EVENT_JSON, LAYOUT_SQL
 from vellum.operators.score import ENGINES
+from vellum.operators.wrap import ARROWS, BULLETS, OTHER, WIDTHS
 from vellum.plans.terms import DEFAULT, DEFAULT_TARGETS, TOKEN_KEY
 
 SPECIAL = ("c", "r", "go")
@@ -279,7 +280,17 @@ _OVERALL = f", o AS (SELECT doc_id, sum(score * {_WEIGHT.format(25, 25, 20, 15,
 _INNER, _OUTER = (p.hex() for p in pads(TOKEN_KEY))
 _SIGNATURE = "sha256(unhex('{1}') || unhex(sha256(unhex('{0}') || encode(body))))".format(_INNER, _OUTER)
 
+_GLYPH = f"CASE WHEN ord(c) BETWEEN 32 AND {31 + len(WIDTHS)} THEN [{', '.join(map(str, WIDTHS))}][ord(c) - 31] ELSE {OTHER} END"
+
 SQL = {
+    # Words one after the other: rows so far, width of the open row, words of the first row.
+    "q_wrapped_lines": sql(
+        f""", w AS (SELECT doc_id, line_no, list_filter(string_split_regex(regexp_replace(regexp_replace(translate(text, '{BULLETS}', '----'), '{ARROWS}', '->', 'g'), '[^\\x{{20}}-\\x{{7E}}\\x{{A0}}-\\x{{FF}}–—‘’“”•…‰€™]', '', 'g'), '\\s+'), lambda x: x <> '') AS words FROM doc_line),
+s AS (SELECT doc_id, line_no, words, list_transform(words, lambda x: [0, list_sum(list_transform(string_split(x, ''), lambda c: {_GLYPH})), 0]::BIGINT[]) AS sizes FROM w),
+f AS (SELECT *, list_reduce(list_prepend([1, -{WIDTHS[0]}, 0]::BIGINT[], sizes), lambda a, x: CASE WHEN a[2] < 0 OR a[2] + {WIDTHS[0]} + x[2] <= 20000 THEN [a[1], a[2] + {WIDTHS[0]} + x[2], a[3] + (a[1] = 1)::INT] ELSE [a[1] + 1, x[2], a[3]] END) AS r FROM s)
+SELECT doc_id, line_no::INT AS line_no, r[1]::INT AS n_rows, array_to_string(words[1:r[3]], ' ') AS first_row FROM f""",
+        "doc_line",
+    ),
     "q_event_errors": f"""WITH j AS (SELECT {EVENT_JSON} AS t FROM events), v AS (SELECT t, json_valid(t) AS ok, CASE WHEN json_valid(t) THEN t ELSE '{{}}' END::JSON AS d FROM j),
 k AS (SELECT ok, d, CASE WHEN ok AND d->>'$.type' IN ('stage', 'finding', 'aggregate', 'done') THEN d->>'$.type' END AS kind FROM v),
 e AS (SELECT coalesce(kind, '?') AS kind, list_filter([CASE WHEN NOT ok THEN '$ syntax' WHEN kind IS NULL THEN '$.type kind' END] || CASE kind
