@@ -8,6 +8,7 @@ import pytest
 from conftest import same_rows
 
 from vellum import catalog
+from vellum.operators import fixes
 from vellum.operators.findings import RULES, WEIGHTS
 from vellum.operators.score import PLAN
 from vellum.plans.corpus import CORPUS_SQL
@@ -24,7 +25,7 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 #: Queries without an SQL twin, and the test that holds each to a plain computation.
 OTHERWISE = {
     "q_line_marks": "test_line_marks", "q_plan": "test_plan_and_projection", "q_projected": "test_plan_and_projection", "q_findings": "test_findings_add_up", "q_roles": "test_roles", "q_kinds": "test_kinds",
-    "q_placeholder_gains": "tests/test_gains.py", "q_rebuilt_changes": "tests/test_alignment.py", "q_nested_texts": "tests/test_tree.py",
+    "q_placeholder_gains": "tests/test_gains.py", "q_rebuilt_changes": "tests/test_alignment.py", "q_nested_texts": "tests/test_tree.py", "q_line_fixes": "test_line_fixes",
     "q_rewritten": "tests/test_rules.py", "q_rebuilt": "tests/test_rules.py", "q_claims": "tests/test_rules.py", "q_headlines": "tests/test_rules.py", "q_summaries": "tests/test_rules.py",
 }
 
@@ -89,6 +90,22 @@ def test_plan_and_projection(spark, sf_dir):
         assert projected[doc] == pytest.approx(min(99.0, round(now + more, 1)), abs=0.051)
 
 
+def test_line_fixes(spark, sf_dir):
+    """Every fixable finding of the first forty lines of a document has its line's rewrite, the same for all of the line's."""
+    lines, found = {}, Counter()
+    for f in _findings(spark, sf_dir):
+        if f["rule_id"] in fixes.FIXABLE:
+            lines.setdefault(f["doc_id"], set()).add(f["line_no"])
+            found[f["doc_id"], f["line_no"]] += 1
+    got = catalog.q_line_fixes(spark, sf_dir).collect()
+    by_line = {}
+    for r in got:
+        by_line.setdefault((r.doc_id, r.line_no), []).append(r.fix)
+    assert Counter(d for d, _ in by_line) == {d: min(len(ls), fixes.MOST_LINES) for d, ls in lines.items()}
+    assert all(len(set(v)) == 1 and len(v) == found[k] for k, v in by_line.items())
+    assert len({(r.doc_id, r.finding) for r in got}) == len(got)
+
+
 def test_roles(spark, sf_dir):
     from vellum.operators.keywords import keyword_hits
     from vellum.plans.tables import corpus_model

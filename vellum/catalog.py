@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from vellum.functions import patterns as P
 from vellum.functions import schema, tokens
 from vellum.functions.text import bullet_strength, count_words, has_metric
-from vellum.operators import gains, geometry, layout, machine_view, rewrite, store
+from vellum.operators import fixes, gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
 from vellum.operators.findings import work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
@@ -490,6 +490,17 @@ def q_gain_totals(spark, sf_dir):
     return gains.placeholder_totals(_gains(spark, sf_dir, _asked()))
 
 
+@query
+def q_line_fixes(spark, sf_dir):
+    """The rule-based rewrite of each line that has fixable findings, offered for one of its findings and taken for all of them."""
+    m = corpus_model(spark, sf_dir)
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("category", "rule_id", "ord", "line_no"))
+    found = corpus_findings(spark, sf_dir).select("doc_id", number.alias("finding"), "rule_id", "line_no")
+    targets = written(fixes.fix_targets(found, m.lines, m.entries))
+    offered = targets.filter("text is not null").select("doc_id", F.col("line_no").alias("seq"), F.element_at("findings", -1).alias("finding"), rewrite.rewritten_bullet(F.col("text")).alias("fix"))
+    return fixes.applied_fixes(targets, offered)
+
+
 @query
 def q_normal_dates(spark, sf_dir):
     roles = corpus_model(spark, sf_dir).entries.filter("section = 'experience'")
