@@ -6,12 +6,14 @@ from collections import Counter
 
 import pytest
 from conftest import same_rows
+from pyspark.sql import functions as F
 
 from vellum import catalog
 from vellum.operators import fixes
 from vellum.operators.findings import RULES, WEIGHTS
 from vellum.operators.score import PLAN
 from vellum.plans.corpus import CORPUS_SQL
+from vellum.plans.rule_twin import PLANTED
 from vellum.plans.tables import corpus_findings, corpus_scores
 
 SQL = catalog.oracle_sql()
@@ -30,6 +32,13 @@ OTHERWISE = {
 }
 
 
+def test_each_planted_rule_is_broken_and_kept(spark, sf_dir):
+    """Of the documents planted for a rule some break it and some keep it."""
+    docs = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
+    n = {r.rule_id: r.n for r in catalog.q_planted_rules(spark, sf_dir).groupBy("rule_id").agg(F.countDistinct("doc_id").alias("n")).collect()}
+    assert set(n) == set(PLANTED) and all(0 < x < docs for x in n.values())
+
+
 def test_every_query_is_held_by_something():
     assert set(catalog.queries()) - set(SQL) - set(OTHERWISE) == set()
 

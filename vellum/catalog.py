@@ -13,14 +13,14 @@ from vellum.functions import schema, tokens
 from vellum.functions.text import bullet_strength, count_words, has_metric
 from vellum.operators import fixes, gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
-from vellum.operators.findings import work_bullets
+from vellum.operators.findings import all_findings, document_findings, entry_findings, line_findings, skeleton_findings, work_bullets
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.operators.wrap import wrapped
-from vellum.plans import oracle
-from vellum.plans.corpus import EVENT_JSON
+from vellum.plans import oracle, rule_twin
+from vellum.plans.corpus import EVENT_JSON, planted_corpus
 from vellum.plans.roundtrip import RoundTrip, change_counts, round_trip, score_changes
-from vellum.plans.tables import corpus_findings, corpus_lines, corpus_model, corpus_scores, written
+from vellum.plans.tables import build_model, corpus_findings, corpus_lines, corpus_model, corpus_scores, written
 from vellum.plans.terms import ROLES, TOKEN_KEY, default_targets, default_terms
 from vellum.plans.verify import composed_model, raw_totals
 from vellum.sources.text import link_targets, scan_lines
@@ -300,6 +300,18 @@ def q_weak_spots(spark, sf_dir):
     return weak_spots(corpus_scores(spark, sf_dir))
 
 
+@query
+def q_planted_rules(spark, sf_dir):
+    """Findings of the rules that only the planted documents break."""
+    terms = default_terms(spark)
+    m = build_model(written(planted_corpus(spark, sf_dir)), terms, default_targets(spark), 2024)
+    titles = m.entries.filter("section = 'experience' and title is not null").select("doc_id", F.col("title").alias("text"))
+    m = replace(m, roles=written(infer_roles(titles, m.lines.filter("section in ('skills', 'summary')"), terms, ROLES)))
+    scorers = {"lines": line_findings, "documents": document_findings, "entries": entry_findings, "skeletons": skeleton_findings}
+    own = all_findings(m, scorers, hold=written).filter(F.col("rule_id").isin(*rule_twin.PLANTED))
+    return own.select("doc_id", "rule_id", "line_no", "cost")
+
+
 @query
 def q_line_marks(spark, sf_dir):
     return store.line_marks(corpus_findings(spark, sf_dir))
@@ -635,4 +647,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracle.SQL)
+    return oracle.SQL | rule_twin.SQL

@@ -79,6 +79,28 @@ UNION ALL SELECT c_custkey, CAST(6000 + k AS INT), concat('cell ', CAST(k AS VAR
     "files": "SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 27 IN (4, 11) THEN 'docx' ELSE 'pdf' END AS file_type, CASE WHEN c_custkey % 16 = 0 THEN 3000000 ELSE 100000 END AS file_size, CASE WHEN c_custkey % 21 = 0 THEN 2 ELSE 1 END AS declared_columns FROM customer",
 }
 
+#: Short documents, one for each customer, for the rules that the corpus above never breaks; every order is an entry with three bullets.
+PLANTED_SQL = f"""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block, k1, k2) AS INT) AS line_no, text FROM (
+  SELECT c_custkey AS doc_id, 0 AS block, CAST(0 AS BIGINT) AS k1, 0 AS k2, CASE WHEN c_custkey % 5 = 0 THEN 'application papers' ELSE concat({_FIRST}, ' ', {_LAST}) END AS text FROM customer
+  UNION ALL SELECT c_custkey, 1, 0, 0, concat('p', CAST(c_custkey AS VARCHAR(9)), '@mail.example', CASE WHEN c_custkey % 4 = 0 THEN '' ELSE ' · (212) 555-0142 · Austin, TX · linkedin.com/in/p1' END) FROM customer
+  UNION ALL SELECT c_custkey, 1, 0, n.k, n.said FROM customer JOIN (VALUES (1, '(212) 555-0142'), (2, 'Austin, TX'), (3, 'linkedin.com/in/p1'), (4, 'github.com/p1')) AS n(k, said) ON c_custkey % 4 = 0
+  UNION ALL SELECT c_custkey, 2, 0, 0, 'Summary' FROM customer WHERE c_custkey % 3 <> 0
+  UNION ALL SELECT c_custkey, 3, 0, 0, 'Analyst of retail data with long practice in reports and process design.' FROM customer
+  UNION ALL SELECT c_custkey, 3, 0, 1, concat(repeat('careful work on plans and budgets, ', CASE WHEN c_custkey % 7 = 0 THEN 14 ELSE 12 END), 'every week.') FROM customer WHERE c_custkey % 7 < 2
+  UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 6 = 1 THEN 4 ELSE 8 END, 0, 0, 'Education' FROM customer
+  UNION ALL SELECT c_custkey, CASE WHEN c_custkey % 6 = 1 THEN 4 ELSE 8 END, 0, 1, concat('B.S. in Economics and Statistics, State University', CASE WHEN c_custkey % 8 = 0 THEN '' ELSE ', 2008' END) FROM customer
+  UNION ALL SELECT c_custkey, 5, 0, 0, 'Skills' FROM customer
+  UNION ALL SELECT c_custkey, 5, 0, 1, 'Python, SQL, Docker, Excel, Tableau' FROM customer
+  UNION ALL SELECT c_custkey, 6, 0, 0, CASE WHEN c_custkey % 6 = 0 THEN 'MY JOURNEY' ELSE 'Experience' END FROM customer
+  UNION ALL SELECT o_custkey, 7, o_orderkey, 0, concat({_pick(["Software Engineer", "Nurse", "Project Manager"], "o_custkey")}, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(' — ', {_pick(["Acme", "Northwind", "Globex"], "o_orderkey")}) END,
+    ' | ', {_pick(_MONTH, "month(o_orderdate) - 1")}, ' ', CAST(year(o_orderdate) AS VARCHAR(9)), ' – Jun ', CAST(year(o_orderdate) + 1 + o_orderkey % 3 AS VARCHAR(9))) FROM orders
+  UNION ALL SELECT o_custkey, 7, o_orderkey, n.k, concat('• ', CASE WHEN o_custkey % 9 = 0 OR (o_custkey % 9 = 1 AND n.k < 3) THEN 'Improved the billing reports by 12%, resulting in faster work'
+    WHEN n.k = 1 THEN 'Built the sql warehouse for five stores' WHEN n.k = 2 THEN 'Reduced the cost of docker builds by 12%' ELSE 'Wrote the quarterly budgets for the regional team' END,
+    CASE WHEN n.k = 2 AND o_orderkey % 13 < 2 THEN repeat(' and kept careful notes', CASE WHEN o_orderkey % 13 = 0 THEN 9 ELSE 6 END) ELSE '' END, '.') FROM orders JOIN (VALUES (1), (2), (3)) AS n(k) ON n.k > 0
+) AS blocks
+"""
+
 #: Events of the table as an analysis' events in JSON, some of them broken by their numbers; runs on both engines.
 EVENT_JSON = """CASE event_id % 8 WHEN 0 THEN concat('{"type":"stage","stage":"', CASE WHEN event_id % 5 = 0 THEN event_type ELSE 'parse' END, '","at":', CAST(event_id AS VARCHAR(20)), '}')
 WHEN 1 THEN concat('{"type":"finding","finding":{"id":"f', CAST(event_id AS VARCHAR(20)), '","severity":', CASE WHEN event_id % 3 = 0 THEN '2' ELSE '"low"' END, '}}')
@@ -98,6 +120,11 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_spark_form(CORPUS_SQL), **_tables(spark, sf_dir))
 
 
+def planted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, text) of the documents that break the rules which the derived corpus keeps."""
+    return spark.sql(_spark_form(PLANTED_SQL), **_tables(spark, sf_dir))
+
+
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("customer", "orders", "lineitem")}
 

@@ -78,7 +78,8 @@ CTE = {
     "corpus": CORPUS_SQL,
     # The derived corpus: headings are known, so sections and work lines follow from their positions.
     "bounds": """SELECT doc_id, min(CASE WHEN text IN ('Experience', 'MY JOURNEY') THEN line_no END) AS exp_at, coalesce(min(CASE WHEN text = 'Education' THEN line_no END), 1000000) AS edu_at,
-  min(CASE WHEN text = 'Skills' THEN line_no END) AS skills_at, min(CASE WHEN text IN ('Summary', 'Objective') THEN line_no END) AS sum_at FROM corpus GROUP BY doc_id""",
+  min(CASE WHEN text = 'Skills' THEN line_no END) AS skills_at, min(CASE WHEN text IN ('Summary', 'Objective') THEN line_no END) AS sum_at,
+  bool_or(regexp_matches(text, '^[A-Z]+( [A-Z]+){1,4}$') AND length(text) < 40 AND lower(text) NOT IN ('experience', 'education', 'skills', 'summary', 'objective')) AS odd FROM corpus GROUP BY doc_id""",
     "exp_line": f"""SELECT c.doc_id, c.line_no, c.text AS raw, {_STRIP.format('c.text')} AS text, {matches('c.text', '^[•➢] ')} AS is_bullet, (NOT {matches('c.text', '^[•➢] ')}) AND {matches("c.text", P.DATE_RANGE)} AS dated
   FROM corpus c JOIN bounds b USING (doc_id) WHERE c.line_no > b.exp_at AND c.line_no < b.edu_at""",
     # A short undated line before a dated one starts its entry; one between a dated line and a bullet completes the header.
@@ -113,7 +114,7 @@ CTE = {
   FROM doc_words d CROSS JOIN target t LEFT JOIN doc_hit h ON h.doc_id = d.doc_id AND h.term = t.term GROUP BY d.doc_id""",
     "impact_score": "SELECT doc_id, least(CASE WHEN count(*) < 3 THEN 60 ELSE 100 END, floor(sum(verb + metric + outcome) / (3.0 * count(*)) * 100 + 0.5)) AS score FROM strength GROUP BY doc_id",
     "headed": f"""SELECT doc_id, entry, bool_or(dated) AS dated, max(CASE WHEN dated THEN {extract('raw', P.DATE_RANGE)} ELSE '' END) AS dates, count(CASE WHEN NOT is_header THEN 1 END) AS n_bullets FROM exp_entry WHERE entry > 0 GROUP BY doc_id, entry""",
-    "structure_score": f"""SELECT b.doc_id, greatest(0, 100 - (CASE WHEN b.edu_at = 1000000 THEN 15 ELSE 0 END + CASE WHEN b.skills_at IS NULL THEN 15 ELSE 0 END + CASE WHEN b.doc_id % 6 = 0 THEN 8 ELSE 0 END
+    "structure_score": f"""SELECT b.doc_id, greatest(0, 100 - (CASE WHEN b.edu_at = 1000000 THEN 15 ELSE 0 END + CASE WHEN b.skills_at IS NULL THEN 15 ELSE 0 END + CASE WHEN b.odd THEN 8 ELSE 0 END
     + CASE WHEN coalesce(h.forms, 0) > 1 THEN 5 ELSE 0 END + least(10, 5 * coalesce(h.n_empty, 0)) + CASE WHEN o.doc_id IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN r.doc_id IS NOT NULL THEN 3 ELSE 0 END
     + CASE WHEN w.n_lines > 110 THEN 8 WHEN w.words > 950 AND coalesce(y.years, 0) < 8 THEN 4 ELSE 0 END + CASE WHEN w.words < 120 THEN 12 WHEN w.words < 200 THEN 6 ELSE 0 END + CASE WHEN e.doc_id IS NULL THEN 30 ELSE 0 END)) AS score
   FROM bounds b JOIN doc_words w USING (doc_id)
@@ -135,7 +136,7 @@ CTE = {
     "writing_score": "SELECT d.doc_id, greatest(0, 100 - coalesce(sum(w.cost), 0)) AS score FROM doc_words d LEFT JOIN writing_cost w USING (doc_id) GROUP BY d.doc_id",
     "contact_score": f"""SELECT doc_id, greatest(0, 100 - (CASE WHEN NOT {matches('text', P.EMAIL)} THEN CASE WHEN lost_email THEN 12 ELSE 30 END ELSE 0 END + CASE WHEN NOT {matches('text', P.PHONE)} THEN CASE WHEN lost_phone THEN 8 ELSE 20 END ELSE 0 END + CASE WHEN NOT {matches('text', r'linkedin\.com')} THEN 12 ELSE 0 END
     + CASE WHEN placed THEN 0 ELSE 15 END + CASE WHEN {matches(f"split_part({extract('text', P.EMAIL)}, '@', 1)", P.EMAIL_TONE)} THEN 5 ELSE 0 END)) AS score
-  FROM (SELECT c.doc_id, bool_or(coalesce(l.email, false)) AS lost_email, bool_or(coalesce(l.phone, false)) AS lost_phone, any_value(CASE WHEN c.line_no = 2 THEN c.text END) AS text, bool_or((c.line_no <= 6 OR c.line_no < b.first_at) AND place <> '' AND NOT {matches('place', P.TITLE)} AND NOT {matches('place', P.DEGREE)}) AS placed
+  FROM (SELECT c.doc_id, bool_or(coalesce(l.email, false)) AS lost_email, bool_or(coalesce(l.phone, false)) AS lost_phone, coalesce(string_agg(CASE WHEN {matches('c.text', P.EMAIL)} OR {matches('c.text', P.PHONE)} OR {matches('c.text', r'linkedin\.com')} THEN c.text END, chr(10) ORDER BY c.line_no), '') AS text, bool_or((c.line_no <= 6 OR c.line_no < b.first_at) AND place <> '' AND NOT {matches('place', P.TITLE)} AND NOT {matches('place', P.DEGREE)}) AS placed
     FROM (SELECT *, coalesce(nullif({extract('bare', P.STRICT_LOCATION)}, ''), {extract('bare', P.LOCATION)}) AS place FROM (SELECT *, {_STRIP.format('text')} AS bare FROM corpus)) c JOIN (SELECT doc_id, least(exp_at, coalesce(sum_at, 1000000), coalesce(skills_at, 1000000)) AS first_at FROM bounds) b USING (doc_id) LEFT JOIN lost l USING (doc_id) GROUP BY c.doc_id)""",
     **_column_ctes("item", "i_"),
     **{f"l_{name}": sql for name, sql in LAYOUT_SQL.items()},
@@ -145,7 +146,7 @@ CTE = {
     "l_loose": f"SELECT doc_id, source AS kind, count(*) AS n, bool_or({matches('text', P.EMAIL)}) AS email, bool_or({matches('text', P.PHONE)}) AS phone FROM l_items WHERE source IN ('header', 'footer', 'textbox') GROUP BY doc_id, source",
     "l_table": "SELECT doc_id, table_id, count(*) AS n, count(DISTINCT col) AS cols FROM l_items WHERE table_id IS NOT NULL GROUP BY doc_id, table_id",
     "l_page": "SELECT doc_id, page, count(*) AS n, bool_or(description LIKE '%vector%') AS vector FROM l_images GROUP BY doc_id, page",
-    "glyph": f"SELECT c.doc_id, bool_or(c.line_no = 2) AS contact FROM corpus c WHERE {matches('c.text', P.GLYPH_ISSUE)} GROUP BY c.doc_id",
+    "glyph": f"SELECT c.doc_id, bool_or(c.line_no < least(b.exp_at, coalesce(b.sum_at, 1000000), coalesce(b.skills_at, 1000000))) AS contact FROM corpus c JOIN bounds b USING (doc_id) WHERE {matches('c.text', P.GLYPH_ISSUE)} GROUP BY c.doc_id",
     "parse_cost": """SELECT doc_id, 'multi-column' AS rule_id, 30.0 AS cost, 1 AS n FROM l_cols WHERE columns > 1
   UNION ALL SELECT doc_id, 'table', least(30, 10 * count(*)), least(3, count(*)) FROM l_table GROUP BY doc_id
   UNION ALL SELECT doc_id, 'header-text', CASE WHEN email OR phone THEN 15 ELSE 5 END, 1 FROM l_loose WHERE kind = 'header'
@@ -171,7 +172,7 @@ CTE = {
 }
 NEEDS = {
     **{f"{p}{n}": tuple(f"{p}{x}" if x != "item" else i for x in needs) for p, i in (("l_", "l_items"), ("i_", "item")) for n, needs in (("hist", ("item",)), ("band", ("item",)), ("gap", ("band", "hist")), ("col", ("item", "gap")))},
-    "l_cols": ("l_files", "l_col"), "l_moved": ("l_items",), "l_loose": ("l_items",), "l_table": ("l_items",), "l_page": ("l_images",), "glyph": ("corpus",), "body_contact": ("corpus",), "lost": ("body_contact", "l_loose"),
+    "l_cols": ("l_files", "l_col"), "l_moved": ("l_items",), "l_loose": ("l_items",), "l_table": ("l_items",), "l_page": ("l_images",), "glyph": ("corpus", "bounds"), "body_contact": ("corpus",), "lost": ("body_contact", "l_loose"),
     "parse_cost": ("l_cols", "l_table", "l_loose", "l_page", "l_moved", "l_files", "glyph", "corpus"), "parse_score": ("doc_words", "parse_cost"), "hazard": ("l_cols", "l_table", "lost", "l_page", "l_loose"),
     "bounds": ("corpus",), "exp_line": ("corpus", "bounds"), "exp_mark": ("exp_line",), "exp_entry": ("exp_mark",), "work": ("exp_entry",), "strength": ("work",), "exp_prose": ("exp_entry",),
     "sum_prose": ("corpus", "bounds"), "edu_prose": ("corpus", "bounds"), "prose": ("exp_prose", "sum_prose", "edu_prose"), "hit": ("corpus", "term_form"),
@@ -449,7 +450,7 @@ SELECT doc_id, count(DISTINCT CASE WHEN regexp_matches(d, '\\d{{1,2}}/\\d{{2,4}}
         " SELECT doc_id, CASE WHEN edu_at = 1000000 THEN 15 ELSE 0 END + CASE WHEN skills_at IS NULL THEN 15 ELSE 0 END AS cost FROM bounds WHERE edu_at = 1000000 OR skills_at IS NULL", "bounds"
     ),
     "q_contact_missing": sql(
-        f""", c AS (SELECT doc_id, text FROM corpus WHERE line_no = 2) SELECT doc_id, NOT {matches('text', P.EMAIL)} AS no_email, NOT {matches('text', P.PHONE)} AS no_phone, NOT {matches('text', r'linkedin\.com')} AS no_linkedin,
+        f""", c AS (SELECT doc_id, coalesce(string_agg(CASE WHEN {matches('text', P.EMAIL)} OR {matches('text', P.PHONE)} OR {matches('text', r'linkedin\.com')} THEN text END, chr(10) ORDER BY line_no), '') AS text FROM corpus GROUP BY doc_id) SELECT doc_id, NOT {matches('text', P.EMAIL)} AS no_email, NOT {matches('text', P.PHONE)} AS no_phone, NOT {matches('text', r'linkedin\.com')} AS no_linkedin,
 {matches(f"split_part({extract('text', P.EMAIL)}, '@', 1)", P.EMAIL_TONE)} AS odd_tone FROM c""",
         "corpus",
     ),
