@@ -28,6 +28,7 @@ def test_same_rows_as_sql(spark, sf_dir, duck, name):
 OTHERWISE = {
     "q_line_marks": "test_line_marks", "q_plan": "test_plan_and_projection", "q_projected": "test_plan_and_projection", "q_findings": "test_findings_add_up", "q_roles": "test_roles", "q_kinds": "test_kinds",
     "q_placeholder_gains": "tests/test_gains.py", "q_rebuilt_changes": "tests/test_alignment.py", "q_nested_texts": "tests/test_tree.py", "q_line_fixes": "test_line_fixes",
+    "q_rewrite_hunks": "tests/test_hunks.py", "q_rewrite_log": "tests/test_hunks.py",
     "q_rewritten": "tests/test_rules.py", "q_rebuilt": "tests/test_rules.py", "q_claims": "tests/test_rules.py", "q_headlines": "tests/test_rules.py", "q_summaries": "tests/test_rules.py",
 }
 

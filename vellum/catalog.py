@@ -13,7 +13,8 @@ from vellum.functions import schema, tokens
 from vellum.functions.text import bullet_strength, count_words, has_metric
 from vellum.operators import fixes, gains, geometry, layout, machine_view, rewrite, store
 from vellum.operators.alignment import aligned
-from vellum.operators.findings import all_findings, document_findings, entry_findings, line_findings, skeleton_findings, work_bullets
+from vellum.operators.findings import all_findings, document_findings, entry_findings, known_contact, line_findings, skeleton_findings, work_bullets
+from vellum.operators.hunks import rewrite_hunks
 from vellum.operators.keywords import implications, infer_roles, keyword_hits, match_percent, match_targets, named_candidates, ordered_missing, overused
 from vellum.operators.score import engine_scores, overall_scores, plan_items, projected_scores, weak_spots
 from vellum.operators.wrap import wrapped
@@ -545,6 +546,24 @@ def q_rebuilt(spark, sf_dir):
     return rewrite.rebuilt(m.lines, m.entries, default_terms(spark)).select("doc_id", "line_no", "section", "kind", "text", F.array_join("origins", ",").alias("origins"))
 
 
+def _hunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = corpus_model(spark, sf_dir)
+    return rewrite_hunks(m, known_contact(m), q_plan(spark, sf_dir), default_terms(spark), hold=written)
+
+
+@query
+def q_rewrite_hunks(spark, sf_dir):
+    """What each document's plan changes, line by line."""
+    return _hunks(spark, sf_dir).withColumn("origins", F.array_join("origins", ","))
+
+
+@query
+def q_rewrite_log(spark, sf_dir):
+    """How many hunks of each kind a section has, unchanged ones that follow one another as one."""
+    hunks = _hunks(spark, sf_dir).withColumn("kind", F.col("change"))
+    return rewrite.merged_runs(hunks).groupBy("doc_id", "section", F.col("kind").alias("change")).agg(F.count("*").alias("n_hunks"), F.sum("n").alias("n_lines"))
+
+
 @query
 def q_missing_ranks(spark, sf_dir):
     return ordered_missing(corpus_model(spark, sf_dir).matches).select("doc_id", "term", "rank")

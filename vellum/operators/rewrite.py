@@ -244,13 +244,13 @@ def change_log(hunks: DataFrame) -> DataFrame:
 
 
 def rejoined(lines: DataFrame) -> DataFrame:
-    """Wrapped lines put together: a line goes on if the one before ends in a comma or semicolon, or has no end and the line starts in lower case."""
+    """(doc_id, line_no, text, origins): wrapped lines put together; a line goes on if the one before ends in a comma or semicolon, or has no end and the line starts in lower case."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
     before = F.lag("text").over(order)
     goes_on = before.rlike(r"[,;]$") | (~before.rlike(r"[.!?:;]$") & F.col("text").rlike(r"^[a-z]"))
     runs = lines.withColumn("__new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("__run", F.sum("__new").over(order))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"])
-    return runs.groupBy("doc_id", "__run").agg(F.min("line_no").alias("line_no"), F.array_join(texts, " ").alias("text")).drop("__run")
+    own = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    return runs.groupBy("doc_id", "__run").agg(F.min("line_no").alias("line_no"), F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"), F.transform(own, lambda x: x["line_no"]).alias("origins")).drop("__run")
 
 
 def unreferenced(lines: DataFrame, hunks: DataFrame) -> DataFrame:
@@ -334,7 +334,12 @@ def grouped_skills(items: DataFrame, terms: DataFrame, single: int = 8, most: in
 
 
 #: Order of the sections of a rebuilt document, and their headings; fixed values.
-SECTION_ORDER = ("contact", "summary", "experience", "education", "skills", "projects", "certifications", "awards", "publications", "volunteer", "languages", "interests", "other")
+SECTION_ORDER = ("contact", "summary", "experience", "projects", "education", "skills", "certifications", "awards", "publications", "volunteer", "languages", "interests", "other")
+LABELS = {s: s.capitalize() for s in SECTION_ORDER} | {"volunteer": "Volunteer Experience", "other": "Additional"}
+
+
+def section_label(section: Column) -> Column:
+    return _lookup(LABELS, section)
 
 
 def rebuilt(lines: DataFrame, entries: DataFrame, terms: DataFrame, own_order: bool = False) -> DataFrame:
@@ -350,7 +355,7 @@ def rebuilt(lines: DataFrame, entries: DataFrame, terms: DataFrame, own_order: b
     fixed = F.array_position(F.array(*map(F.lit, SECTION_ORDER)), F.col("sec"))
     place = F.when(F.col("sec").isin("contact", "summary"), fixed).otherwise(F.col("at") + 100) if own_order else F.when(fixed == 0, 99).otherwise(fixed)
     placed = firsts.withColumn("place", place.cast("long"))
-    headings = placed.filter("sec <> 'contact'").select("doc_id", "place", F.col("sec").alias("section"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("heading").alias("kind"), upper_first(F.col("sec")).alias("text"), F.array().cast("array<int>").alias("origins"))
+    headings = placed.filter("sec <> 'contact'").select("doc_id", "place", F.col("sec").alias("section"), F.lit(0).alias("o1"), F.lit(0).alias("o2"), F.lit("heading").alias("kind"), section_label(F.col("sec")).alias("text"), F.array().cast("array<int>").alias("origins"))
     own = body.join(placed.select("doc_id", "sec", "place"), ["doc_id", "sec"])
     head = own.filter("header").groupBy("doc_id", "place", "sec", "entry").agg(F.array_sort(F.collect_list("line_no")).cast("array<int>").alias("origins"))
     titles = head.join(headlines(entries), ["doc_id", "entry"]).select("doc_id", "place", F.col("sec").alias("section"), F.col("entry").cast("int").alias("o1"), F.lit(0).alias("o2"), F.lit("entry").alias("kind"), "text", "origins")
