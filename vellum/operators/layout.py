@@ -76,17 +76,22 @@ def dropped_elements(layout: Layout) -> DataFrame:
 
 
 def reading_issues(layout: Layout) -> DataFrame:
-    """(doc_id, kind, n, text): rows that mix columns of a positioned file, tables that are read cell by cell, and an order unlike the page's."""
+    """(doc_id, kind, n, text): rows that mix columns of a positioned file, columns of another file, tables that are read cell by cell, and an order unlike the page's.
+
+    A file without positions is read in its own order, so its columns are one issue, n the number of columns.
+    """
     columns = column_counts(layout)
     dividers = two_columns(layout.items).filter("columns = 2").select("doc_id", "page", "divider")
     placed = layout.items.filter("source = 'body'").join(dividers, ["doc_id", "page"], "left").withColumn("column", F.coalesce((F.col("x") >= F.col("divider")).cast("int"), F.lit(0)))
     mangled = machine_rows(placed).filter("mangled").groupBy("doc_id").agg(F.count("*").alias("n"), F.left(F.min_by("text", "row_no"), F.lit(90)).alias("text"))
-    interleaved = mangled.join(columns.filter("columns > 1"), "doc_id").select("doc_id", F.lit("column-interleave").alias("kind"), "n", "text")
+    several = columns.filter("columns > 1").join(layout.files.select("doc_id", "file_type"), "doc_id")
+    interleaved = mangled.join(several.filter("file_type = 'pdf'"), "doc_id").select("doc_id", F.lit("column-interleave").alias("kind"), "n", "text")
+    flowed = several.filter("file_type <> 'pdf'").select("doc_id", F.lit("column-interleave").alias("kind"), F.col("columns").cast("long").alias("n"), F.lit("").alias("text"))
     wide = layout.items.filter("table_id is not null").groupBy("doc_id", "table_id").agg(F.count_distinct("col").alias("n")).filter("n > 1")
     first = flattened_tables(layout.items).groupBy("doc_id", "table_id").agg(F.left(F.min_by("text", "row"), F.lit(80)).alias("text"))
     tables = wide.join(first, ["doc_id", "table_id"]).select("doc_id", F.lit("table-flatten").alias("kind"), "n", "text")
     order = displaced(layout.items).filter("out_of_order").join(columns.filter("columns = 1"), "doc_id").select("doc_id", F.lit("out-of-order").alias("kind"), F.col("moved").alias("n"), F.lit("").alias("text"))
-    return interleaved.unionByName(tables).unionByName(order)
+    return interleaved.unionByName(flowed).unionByName(tables).unionByName(order)
 
 
 def parse_findings(layout: Layout, found: Callable[..., DataFrame], finding: Callable[..., Column]) -> DataFrame:

@@ -313,9 +313,10 @@ SELECT doc_id, section, row_number() OVER (PARTITION BY doc_id ORDER BY min(hunk
         "corpus",
     ),
     "q_reading_issues": sql(
-        """ SELECT doc_id, kind, sum(n)::BIGINT AS n FROM (SELECT r.doc_id, 'column-interleave' AS kind, count(*) AS n FROM (SELECT doc_id, page, y, count(DISTINCT side) AS sides FROM v_item WHERE source = 'body' GROUP BY doc_id, page, y) r JOIN l_cols c USING (doc_id) WHERE sides > 1 AND c.columns > 1 GROUP BY r.doc_id
+        """ SELECT doc_id, kind, sum(n)::BIGINT AS n FROM (SELECT r.doc_id, 'column-interleave' AS kind, count(*) AS n FROM (SELECT doc_id, page, y, count(DISTINCT side) AS sides FROM v_item WHERE source = 'body' AND positioned GROUP BY doc_id, page, y) r JOIN l_cols c USING (doc_id) WHERE sides > 1 AND c.columns > 1 GROUP BY r.doc_id
+UNION ALL SELECT doc_id, 'column-interleave', columns FROM l_cols JOIN l_files USING (doc_id) WHERE columns > 1 AND file_type <> 'pdf'
 UNION ALL SELECT doc_id, 'table-flatten', cols FROM l_table WHERE cols > 1 UNION ALL SELECT m.doc_id, 'out-of-order', moved FROM l_moved m JOIN l_cols USING (doc_id) WHERE columns = 1 AND n > 10 AND moved > n * 0.25) GROUP BY doc_id, kind""",
-        "v_item", "l_cols", "l_table", "l_moved",
+        "v_item", "l_cols", "l_files", "l_table", "l_moved",
     ),
     "q_page_elements": r"""SELECT page_id, lower(regexp_extract(t, '^<([^\s/>]+)', 1)) AS tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->|<[?!][^>]*>|<(?:[^>"'']|"[^"]*"|''[^'']*'')*>')) AS t FROM pages)
 WHERE NOT regexp_matches(t, '^<[!?/]') GROUP BY 1, 2""",
