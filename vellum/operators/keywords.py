@@ -86,7 +86,7 @@ def match_targets(lines: DataFrame, terms: DataFrame, targets: DataFrame) -> Dat
     """
     hits = keyword_hits(lines, terms).groupBy("doc_id", "term").agg(F.sum("hits").alias("hits"), F.count("*").alias("n_lines"))
     wanted = lines.select("doc_id").distinct().withColumn("t", F.explode(F.array(*[F.struct(F.lit(r.term).alias("term"), F.lit(r.weight).alias("weight")) for r in targets.collect()]))).select("doc_id", "t.*")
-    implied = hits.join(F.broadcast(implications(terms)), "term").select("doc_id", F.col("implied").alias("term"), F.col("term").alias("by"))
+    implied = hits.join(implications(terms), "term").select("doc_id", F.col("implied").alias("term"), F.col("term").alias("by"))
     support = implied.groupBy("doc_id", "term").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("supported_by"))
     joined = wanted.join(hits, ["doc_id", "term"], "left").join(support, ["doc_id", "term"], "left")
     return joined.select("doc_id", "term", "weight", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.when(F.col("hits").isNull(), F.col("supported_by")).alias("supported_by"))
@@ -147,7 +147,7 @@ def preset_keywords(roles: dict, terms: DataFrame) -> DataFrame:
     asked = terms.sparkSession.createDataFrame(rows, "role string, place int, asked string, weight int")
     alias = terms.select(F.explode("aliases").alias("asked"), F.struct("ord", "term", "category", "aliases").alias("by_alias")).groupBy("asked").agg(F.max("by_alias").alias("by_alias"))
     named = terms.select(F.col("term").alias("asked"), F.struct("ord", "term", "category", "aliases").alias("by_term"))
-    found = asked.join(F.broadcast(named), "asked", "left").join(F.broadcast(alias), "asked", "left").withColumn("d", F.coalesce("by_term", "by_alias"))
+    found = asked.join(named, "asked", "left").join(alias, "asked", "left").withColumn("d", F.coalesce("by_term", "by_alias"))
     return found.select("role", "place", F.coalesce("d.term", "asked").alias("term"), "weight", F.coalesce("d.category", F.lit("role")).alias("category"), F.coalesce("d.aliases", F.array().cast("array<string>")).alias("aliases"))
 
 

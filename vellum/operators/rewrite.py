@@ -317,7 +317,7 @@ def grouped_skills(items: DataFrame, terms: DataFrame, single: int = 8, most: in
     among equals, go into one named Also, with what the dictionary doesn't know.
     """
     names = terms.select(F.explode(F.concat(F.array("term"), "aliases")).alias("__name"), "category").groupBy("__name").agg(F.max("category").alias("category"))
-    known = distinct_items(items).join(F.broadcast(names), F.lower("item") == F.col("__name"), "left")
+    known = distinct_items(items).join(names, F.lower("item") == F.col("__name"), "left")
     label = F.coalesce(_lookup(GROUPS, F.col("category")), F.lit("Also"))
     by_doc = Window.partitionBy("doc_id")
     sized = known.withColumn("n", F.count("*").over(by_doc)).withColumn("label", F.when(F.col("n") <= single, "Skills").otherwise(label))

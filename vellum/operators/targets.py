@@ -43,7 +43,7 @@ def extract_targets(jds: DataFrame, terms: DataFrame, most: int = 40) -> DataFra
     known = keyword_hits(lines.select("doc_id", "line_no", "text"), terms).join(lines.drop("text"), ["doc_id", "line_no"])
     special = F.col("term").isin(*CASE_SENSITIVE)
     flags = known.groupBy("doc_id", "term").agg(F.sum("hits").alias("hits"), F.max(F.col("required") & ~special).alias("required"), F.max(F.col("optional") & ~special).alias("optional"), F.max("title").alias("title"))
-    listed = flags.join(F.broadcast(terms.select("term", "category")), "term").select("doc_id", "term", "category", _weight(F.col("hits")).alias("weight"), "hits")
+    listed = flags.join(terms.select("term", "category"), "term").select("doc_id", "term", "category", _weight(F.col("hits")).alias("weight"), "hits")
     names = terms.select(F.explode(F.concat(F.array("term"), "aliases")).alias("term")).distinct()
     lowered = lines.groupBy("doc_id").agg(
         F.lower(F.array_join(F.collect_list(F.when(F.col("required"), F.col("text"))), "\n")).alias("req"), F.lower(F.array_join(F.collect_list(F.when(F.col("optional"), F.col("text"))), "\n")).alias("opt")
