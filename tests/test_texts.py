@@ -1,12 +1,14 @@
 from pyspark.sql import functions as F
 
+from vellum import catalog
 from vellum.functions import patterns as P
 from vellum.operators import texts
 from vellum.operators.findings import with_said, with_work
 from vellum.operators.gains import with_text
+from vellum.operators.geometry import column_histogram
 from vellum.operators.keywords import keyword_hits
 from vellum.operators.lines import classify_lines, with_marks
-from vellum.operators.sections import assign_sections, attach_entries, entry_table
+from vellum.operators.sections import assign_sections, attach_entries, contact_fields, entry_table
 from vellum.plans.tables import written
 from vellum.plans.terms import default_terms
 from vellum.sources.text import with_fonts
@@ -58,3 +60,34 @@ def test_texts_that_recur_are_read_as_they_are_line_by_line(spark):
     assert rows(with_text(whole, new, work, written)) == rows(with_text(whole, F.when(work, new).otherwise(F.col("text"))))
     said = whole.filter(F.col("said.filler")).select("text").distinct().collect()
     assert said and all("various" in r.text for r in said) and P.FILLER
+
+
+def test_sections_and_entries_need_one_order_of_the_lines(spark):
+    marked = with_marks(with_fonts(_lines(spark)))
+    plan = attach_entries(assign_sections(classify_lines(marked)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_contact_fields_of_texts_that_recur_are_as_line_by_line(spark):
+    lines = written(attach_entries(assign_sections(classify_lines(with_marks(with_fonts(_lines(spark)))))))
+    rows = lambda frame: sorted(map(str, frame.collect()))
+    assert rows(contact_fields(lines, hold=written)) == rows(contact_fields(lines))
+
+
+def test_only_lines_that_do_not_recur_are_rewritten_one_by_one(spark, sf_dir):
+    for query in (catalog.q_rewritten, catalog.q_generic_phrases, catalog.q_rebuilt, catalog.q_claims):
+        assert "LeftAnti, (text" in query(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_items_that_cover_the_same_bands_are_counted_once(spark):
+    items = spark.createDataFrame([(1, 1, 0.125, 0.25, "body")] * 3 + [(1, 1, 0.25, 0.125, "body")], "doc_id int, page int, x double, w double, source string")
+    found = column_histogram(items)
+    assert {r.bin: r.n for r in found.collect()} == {b: 3 + (25 <= b) for b in range(12, 39)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.rindex("Aggregate")
+
+
+def test_a_last_heading_without_a_known_name_is_text(spark):
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(["Ada Archer", "Skills", "Python, SQL, Docker", "MY JOURNEY"])], "doc_id long, line_no int, text string")
+    found = attach_entries(assign_sections(classify_lines(with_fonts(lines))))
+    assert [(r.kind, r.section) for r in found.orderBy("line_no").collect()][-1] == ("text", "skills")
